@@ -47,16 +47,20 @@ def _grams(words: Column) -> Column:
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """One row for each 2-gram of each template: h, template, tpos, a, b, grams, bit, label, phrase. Bounded by the fixed list."""
-    rows = [(k, text, label, k <= len(phrases)) for k, (text, label) in enumerate([*phrases, *notices], 1)]
-    if any(not 2 <= len(text.split()) <= 63 for _, text, _, _ in rows):
+    """One row for each template, by the fixed list: template, label, phrase, words, grams. Template 0 is the document itself."""
+    rows = [(0, "", "", False)] + [(k, text, label, k <= len(phrases)) for k, (text, label) in enumerate([*phrases, *notices], 1)]
+    if any(not 2 <= len(text.split()) <= 63 for _, text, _, _ in rows[1:]):
         raise ValueError("a template has 2 to 63 words")
     fields = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("template", "text", "label", "phrase"), row, strict=True))) for row in rows))
-    words = F.split("text", " ")
-    each = spark.range(1).select(F.inline(fields)).withColumn("words", words).select("template", "label", "phrase", "words", F.size("words").alias("size"), F.posexplode(_grams(F.col("words"))).alias("tpos", "h"))
-    grams = each.select("h", "template", "tpos", F.get("words", F.col("tpos")).alias("a"), F.get("words", F.col("tpos") + 1).alias("b"), (F.col("size") - 1).alias("grams"), F.expr("shiftleft(1L, tpos)").alias("bit"), "label", "phrase")
-    itself = spark.range(1).select(F.lit(SELF).cast("long").alias("h"), F.lit(0).alias("template"), F.lit(-1).alias("tpos"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).alias("grams"), F.lit(0).cast("long").alias("bit"), F.lit("").alias("label"), F.lit(False).alias("phrase"))
-    return grams.unionByName(itself)
+    each = spark.range(1).select(F.inline(fields)).withColumn("words", F.split("text", " "))
+    return each.select("template", "label", "phrase", "words", (F.size("words") - 1).alias("grams"))
+
+
+def _positions(listed: DataFrame) -> DataFrame:
+    """One row for each 2-gram of each template: h, template, tpos, a, b, bit; and one for template 0."""
+    grams = listed.filter("template > 0").select("template", "words", F.posexplode(_grams(F.col("words"))).alias("tpos", "h"))
+    itself = listed.filter("template = 0").select(F.lit(SELF).cast("long").alias("h"), "template", F.lit(-1).alias("tpos"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("bit"))
+    return grams.select("h", "template", "tpos", F.get("words", F.col("tpos")).alias("a"), F.get("words", F.col("tpos") + 1).alias("b"), F.expr("shiftleft(1L, tpos)").alias("bit")).unionByName(itself)
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -71,21 +75,21 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0)).alias("words"))
     grams = tokens.select("doc_id", "tid", "words", F.posexplode(F.concat(F.array(F.lit(SELF).cast("long")), _grams(F.col("words")))).alias("pos", "h"))
-    known = F.broadcast(templates(docs.sparkSession, phrases, notices))  # the fixed list above
+    listed = templates(docs.sparkSession, phrases, notices)
     at = F.col("pos") - 1
     verified = ((F.col("template") == 0) & (F.col("pos") == 0)) | ((F.get("words", at) == F.col("a")) & (F.get("words", F.col("pos")) == F.col("b")))
-    hits = grams.join(known, "h").filter(verified)
-    by = ["doc_id", "tid", "template"]
-    votes = hits.groupBy(*by, F.when(F.col("template") > 0, at - F.col("tpos")).alias("diagonal")).agg(
-        F.bit_or("bit").alias("mask"),
-        F.max(F.when(F.col("template") == 0, F.size("words"))).alias("n_words"), F.min(at).alias("low"), F.max(at).alias("high"),
-        F.max("grams").alias("grams"), F.max("label").alias("label"), F.max("phrase").alias("phrase"),
+    # Both broadcasts are of the fixed list above. Hits are narrow, so votes are counted before they are shuffled.
+    hits = grams.join(F.broadcast(_positions(listed)), "h").filter(verified).select(
+        "doc_id", "tid", "template", F.when(F.col("template") > 0, at - F.col("tpos")).alias("diagonal"), at.alias("at"), "bit",
+        F.when(F.col("template") == 0, F.size("words")).alias("n_words"),
     )
+    by = ["doc_id", "tid", "template"]
+    votes = hits.groupBy(*by, "diagonal").agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.min("at").alias("low"), F.max("at").alias("high"))
+    votes = votes.join(F.broadcast(listed.select("template", "label", "phrase", "grams")), "template")
     run = Window.partitionBy(*by).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(run) > F.when(F.col("phrase"), 0).otherwise(BAND), F.lit(False))
-    merged = votes.withColumn("span", F.sum(apart.cast("int")).over(run)).groupBy(*by, "span").agg(
-        F.bit_count(F.bit_or("mask")).alias("found"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.max("grams").alias("grams"), F.max("label").alias("label"), F.max("phrase").alias("phrase"),
+    merged = votes.withColumn("span", F.sum(apart.cast("int")).over(run)).groupBy(*by, "label", "phrase", "grams", "span").agg(
+        F.bit_count(F.bit_or("mask")).alias("found"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     share = F.col("found") / F.greatest("grams", F.lit(1))
     tight = F.col("high") - F.col("low") + 1 <= F.ceil(F.col("grams") * STRETCH)
