@@ -71,13 +71,13 @@ def hypergeometric(u: Column, population: Column, marked: Column, draws: Column)
     return _let(_let(given, bounds), inside)
 
 
-def _left(node: Column, quotas: Column, depth: int) -> Column:
+def _left(node: Column, quotas: Column, depth: Column) -> Column:
     """The left child's quotas: half of the node's draws, dealt source by source."""
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda s, q: s + q)
     zero = F.struct(total.alias("n"), F.floor(total / 2).cast("long").alias("d"), F.array().cast("array<bigint>").alias("out"))
 
     def deal(s, q):
-        u = (F.pmod(F.xxhash64(F.lit(SEED), F.lit(depth), node, F.size(s["out"])), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        u = (F.pmod(F.xxhash64(F.lit(SEED), depth, node, F.size(s["out"])), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         return _let(hypergeometric(u, s["n"], q, s["d"]), lambda x: F.struct((s["n"] - q).alias("n"), (s["d"] - x).alias("d"), F.concat(s["out"], F.array(x)).alias("out")))
 
     return F.aggregate(quotas, zero, deal, lambda s: s["out"])
@@ -85,12 +85,12 @@ def _left(node: Column, quotas: Column, depth: int) -> Column:
 
 def shard_quotas(root: DataFrame, shards: int) -> DataFrame:
     """(node, quotas) for each of ``shards`` leaves, a power of two, from one row with the sources' draws as ``quotas``."""
-    tree, depth = root.select(F.lit(0).cast("long").alias("node"), "quotas"), 0
+    tree, depth = root.select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"), "quotas"), 0
+    left, right = _left(F.col("node"), F.col("quotas"), F.col("depth")), F.zip_with("quotas", "left", lambda q, x: q - x)
+    child = lambda k, quotas: F.struct((2 * F.col("node") + k).alias("node"), (F.col("depth") + 1).alias("depth"), quotas.alias("quotas"))
+    children = F.inline(F.array(child(0, F.col("left")), child(1, right)))
     while 1 << depth < shards:
-        split = tree.select("node", "quotas", _left(F.col("node"), F.col("quotas"), depth).alias("left"))
-        right = F.zip_with("quotas", "left", lambda q, x: q - x)
-        children = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("quotas")), F.struct((2 * F.col("node") + 1).alias("node"), right.alias("quotas")))
-        tree, depth = split.select(F.inline(children)), depth + 1
+        tree, depth = tree.select("node", "depth", "quotas", left.alias("left")).select(children), depth + 1
     return tree
 
 
