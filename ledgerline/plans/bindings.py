@@ -20,3 +20,15 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for name in names:
+        read(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+from . import marts, matching, quality, reconciliation, relational, staging  # noqa: E402,F401
