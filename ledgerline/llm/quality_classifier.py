@@ -41,7 +41,7 @@ class OrdinalModel:
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values, as log counts: words, their first 4, 5 and 6 bytes, and bands of repetition and punctuation."""
+    """Buckets and values, log counts over the root of how many there are: words, their first 4, 5 and 6 bytes, and bands of repetition and punctuation."""
     tokens = TOKEN.findall(text.lower())
     counts = Counter(tokens)
     kinds = [counts]
@@ -55,22 +55,26 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     kinds.append({b"repeats %d" % int(2 * math.log2(len(tokens) / len(counts) if counts else 1)): 1, b"signs %d" % (20 * signs // max(1, len(tokens))): 1})
     n = sum(map(len, kinds))
     bucket = np.fromiter(map(zlib.crc32, chain(*kinds)), np.uint32, n).astype(np.int64) & ((1 << BITS) - 1)
-    value = 1 + np.log(np.fromiter(chain(*(k.values() for k in kinds)), np.float64, n))
+    value = (1 + np.log(np.fromiter(chain(*(k.values() for k in kinds)), np.float64, n))) / np.sqrt(max(n, 50) / 500)
     return bucket.astype(np.int32), value.astype(np.float32)
 
 
-def fit_ordinal(grade: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_grades: int, l1: float = 5e-4, steps: int = 200, rate: float = 0.05, least_rows: int = 4) -> OrdinalModel:
-    """Proximal Adam on the mean negative log likelihood; the absolute penalty keeps rare words at zero."""
+def fit_ordinal(grade: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_grades: int, weight: np.ndarray | None = None, l1: float = 5e-4, steps: int = 200, rate: float = 0.05, least_rows: int = 4) -> OrdinalModel:
+    """Proximal Adam on the mean negative log likelihood; the absolute penalty keeps rare words at zero.
+
+    ``weight`` says how many rated rows each row of the sample stands for, so thresholds fit the rows' own mix of grades.
+    """
     size = np.array([len(b) for b, _ in rows])
     index = np.concatenate([b for b, _ in rows]) if len(rows) else np.zeros(0, np.int32)
-    value = np.concatenate([v for _, v in rows]).astype(np.float64) if len(rows) else np.zeros(0)
-    owner = np.repeat(np.arange(len(rows)), size)
-    used, column, seen = np.unique(index, return_inverse=True, return_counts=True)
-    often = seen[column] >= min(least_rows, max(1, len(rows) // 100))
-    used, column = np.unique(index[often], return_inverse=True)
-    value, owner = value[often], owner[often]
+    often = (np.bincount(index, minlength=1 << BITS) >= min(least_rows, max(1, len(rows) // 100)))[index]
+    value = (np.concatenate([v for _, v in rows]) if len(rows) else np.zeros(0, np.float32))[often]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)[often]
+    used = np.flatnonzero(np.bincount(index[often], minlength=1 << BITS))
+    column = np.searchsorted(used, index[often]).astype(np.int32)
+    del index, often
     n, d = len(rows), len(used)
-    share = np.cumsum(np.bincount(grade, minlength=n_grades) + 0.5)[:-1] / (n + 0.5 * n_grades)
+    weight = np.ones(n) / n if weight is None else weight / weight.sum()
+    share = np.cumsum(np.bincount(grade, weight, n_grades) + 0.5 / n)[:-1] / (1 + 0.5 * n_grades / n)
     theta = np.log(share / (1 - share))
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     tm, tv = np.zeros(n_grades - 1), np.zeros(n_grades - 1)
@@ -80,9 +84,9 @@ def fit_ordinal(grade: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_
         up, down = low[np.arange(n), grade + 1], low[np.arange(n), grade]
         p = np.maximum(up - down, 1e-12)
         du, dd = up * (1 - up), down * (1 - down)
-        gz = (du - dd) / p / n
+        gz = (du - dd) / p * weight
         g = np.bincount(column, weights=value * gz[owner], minlength=d)
-        gt = np.array([-(du[grade == k] / p[grade == k]).sum() + (dd[grade == k + 1] / p[grade == k + 1]).sum() for k in range(n_grades - 1)]) / n
+        gt = np.array([(weight * dd / p)[grade == k + 1].sum() - (weight * du / p)[grade == k].sum() for k in range(n_grades - 1)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         tm, tv = 0.9 * tm + 0.1 * gt, 0.999 * tv + 0.001 * gt * gt
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -109,7 +113,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([b.tobytes() for b, _ in bags], pa.binary()), pa.array([x.tobytes() for _, x in bags], pa.binary())], names=["doc_id", "grade", "buckets", "values"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, n_grades: int = 3) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, per_grade: int = 1500, n_grades: int = 3) -> OrdinalModel:
     """Fits on about ``per_grade`` rated rows of each grade, chosen by a hash of doc_id, so reruns agree."""
     bound_batches(docs.sparkSession)
     rated = grades(labels)
@@ -124,7 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, n_grades: i
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.zeros(0))
     frame = frame.sort_values(["doc_id", "grade", "buckets"]).drop_duplicates("doc_id")
     rows = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32)) for b, v in zip(frame["buckets"], frame["values"], strict=True)]
-    return fit_ordinal(frame["grade"].to_numpy().astype(np.int64), rows, n_grades)
+    grade = frame["grade"].to_numpy().astype(np.int64)
+    stands_for = np.array([count.get(k, 0) for k in range(n_grades)]) / np.maximum(np.bincount(grade, minlength=n_grades), 1)
+    return fit_ordinal(grade, rows, n_grades, stands_for[grade])
 
 
 def _scores(model: OrdinalModel, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +139,7 @@ def _scores(model: OrdinalModel, texts) -> tuple[np.ndarray, np.ndarray]:
     return tails.sum(axis=1), tails[:, -1]
 
 
-def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.6) -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, p_top (probability of the top grade) and keep.
 
     keep is p_top >= ``threshold``. Null and empty texts are scored as texts without words. If nothing was rated, the
@@ -173,7 +179,7 @@ def filter_rows(docs: DataFrame, test: Callable[[], Callable[[list], np.ndarray]
     return docs.mapInArrow(run, docs.schema)
 
 
-def keep_good(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, model: OrdinalModel, threshold: float = 0.6) -> DataFrame:
     """``docs`` without the rows that score() rejects."""
     own = docs.sparkSession.sparkContext.broadcast((model.weights, model.thetas))
 
