@@ -54,12 +54,16 @@ def three_way_match(spark, sf):
 
 #: Sums of doubles depend on their order; sums of whole pence do not.
 _CENTS = "CAST(sum(CAST(floor(value_at_risk * 100) AS BIGINT)) AS DOUBLE) / 100"
-_PENCE = F.floor(F.col("value_at_risk") * 100)
+
+
+def _pence():
+    return F.floor(F.col("value_at_risk") * 100)
+
 
 
 @query("three_way_summary", _THREE + f", c AS (SELECT * FROM (VALUES ('matched'), ('quantity variance'), ('price variance'), ('missing GRN'), ('missing invoice'), ('invoice with no PO'), ('not yet due')) AS v(category)) SELECT c.category, count(r.category) AS n_rows, coalesce({_CENTS}, 0.0::DOUBLE) AS total FROM c LEFT JOIN risked r ON c.category = r.category GROUP BY 1")
 def three_way_summary(spark, sf):
-    out = reconcile.summary(matched_lines(spark, sf).withColumn("pence", _PENCE), "category", reconcile.CATEGORIES, "pence")
+    out = reconcile.summary(matched_lines(spark, sf).withColumn("pence", _pence()), "category", reconcile.CATEGORIES, "pence")
     return out.withColumn("total", F.col("total") / 100)
 
 
@@ -154,7 +158,7 @@ def fifo_deadline(spark, sf):
 
 @query("headline_verify", _THREE + "SELECT count(*) AS n_orders, count(*) FILTER (WHERE category = 'price variance') AS n_price, CAST(sum(CAST(floor(value_at_risk * 100) AS BIGINT)) AS DOUBLE) / 100 AS at_risk, true AS verified FROM risked")
 def headline_verify(spark, sf):
-    rows = matched_lines(spark, sf).select("o_orderkey", "category", _PENCE.alias("pence"))
+    rows = matched_lines(spark, sf).select("o_orderkey", "category", _pence().alias("pence"))
     rows.createOrReplaceTempView("three_way")
     found = rows.agg(F.count("*").alias("n_orders"), F.count_if(F.col("category") == "price variance").alias("n_price"), (F.sum("pence") / 100).alias("at_risk"))
     n_orders, n_price, at_risk = found.first()
