@@ -8,6 +8,7 @@ from collections import defaultdict
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -69,6 +70,16 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_linking_offers_all_places_of_a_partitions_first_document():
+    """A run that began in an earlier partition: both places of document 5 must meet the run's first document."""
+    words = pa.array([b"x"] * 4, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 9, 9, 10]), pa.array([5, 5, 6, 7]), pa.array([10, 300, 4, 0], pa.int32()), words], names=["h", "doc_id", "pos", "words"])
+    for batches in ([batch], [batch.slice(i, 1) for i in range(4)]):
+        found = [r for b in substring_dedup._link(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["h"], r["doc_id"], r["pos"]) for r in found if r["is_head"]) == [(9, 5, 10), (9, 5, 300), (10, 7, 0)]
+        assert {(r["doc_id"], r["pos"], r["other_id"], r["other_pos"]) for r in found if not r["is_head"]} == {(6, 4, 5, 10), (6, 4, 5, 300)}
+
+
 def test_chains_are_ordered_and_hold_every_segment():
     p, q = np.array([0, 10, 12, 24, 90]), np.array([0, 50, 11, 23, 89])
     found = substring_dedup.chain(p, p + 8, q, q + 8)
