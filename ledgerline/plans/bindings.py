@@ -31,4 +31,4 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         read(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-from . import marts, matching, quality, reconciliation, relational, staging  # noqa: E402,F401
+from . import entities, marts, matching, quality, reconciliation, relational, staging, traceability  # noqa: E402,F401
