@@ -114,3 +114,25 @@ def exceptions(evaluation: Evaluation) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("rule_id").orderBy("record_key", "observed"))
     failing = evaluation.checks.filter(~F.col("passed")).withColumn("place", place)
     return failing.join(F.broadcast(evaluation.results.select("rule_id", "severity", "owner")), "rule_id").select("rule_id", "place", "record_key", "observed", "severity", "owner")
+
+
+def fingerprint(hashes: DataFrame, path: str = "path", digest: str = "sha256") -> str:
+    """One SHA-256 for a set of files, whatever order they are listed in; hashes has a row for each file."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(path, digest))), lambda f: f[digest]), "")
+    return hashes.agg(F.sha2(joined, 256).alias("found")).first()["found"]
+
+
+def defect_coverage(spark: SparkSession, rules: list[Rule], defects: list[int], results: DataFrame) -> DataFrame:
+    """Each known defect with the rules that cover it and the records they fail; uncovered defects have none."""
+    covers = spark.createDataFrame([(d, r.id) for r in rules for d in r.covers] or [], "defect int, rule_id string")
+    known = spark.createDataFrame([(d,) for d in defects], "defect int")
+    failed = results.filter("status = 'ok'").select("rule_id", "failed")
+    joined = known.join(F.broadcast(covers), "defect", "left").join(failed, "rule_id", "left")
+    return joined.groupBy("defect").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ", ").alias("rules"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
+
+
+def trend(history: DataFrame, order: str = "run") -> DataFrame:
+    """The index of each run of ``history`` (results with a run column) and its change since the run before."""
+    by_run = index(history, [order])
+    before = F.lag("index").over(Window.orderBy(order))  # one row a run
+    return by_run.withColumn("change", F.col("index") - before)

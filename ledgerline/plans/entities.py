@@ -57,7 +57,7 @@ WITH RECURSIVE r0 AS (SELECT p_name AS name, min(p_partkey) AS key, count(*) AS
 pairs AS (SELECT x.key AS a, y.key AS b, CAST(100 - 5 * levenshtein(x.name, y.name) AS DOUBLE) AS score, x.system <> y.system AS cross_system, x.name AS na, y.name AS nb, x.system AS sa FROM rec x JOIN rec y ON split_part(x.name, ' ', 1) = split_part(y.name, ' ', 1) AND x.key < y.key),
 held AS (SELECT DISTINCT l_orderkey, p_name AS name, system FROM lineitem JOIN part ON l_partkey = p_partkey JOIN rec ON rec.name = p_name),
 inv AS (SELECT x.name AS code, y.name AS account, count(*) AS n FROM held x JOIN held y USING (l_orderkey) WHERE x.system = 'mrp' AND y.system = 'finance' GROUP BY 1, 2),
-scored AS (SELECT a, b, score, CASE WHEN score >= 75 THEN 'auto' WHEN score >= 50 THEN 'review' ELSE 'unmatched' END AS status, cross_system, CAST(coalesce(CASE
+scored AS (SELECT a, b, score, CASE WHEN score >= 80 THEN 'auto' WHEN score >= 75 THEN 'review' ELSE 'unmatched' END AS status, cross_system, CAST(coalesce(CASE
   WHEN cross_system THEN (SELECT sum(n) FROM inv WHERE (code = na AND account = nb) OR (code = nb AND account = na))
   WHEN sa = 'mrp' THEN (SELECT sum(least(u.n, v.n)) FROM inv u JOIN inv v USING (account) WHERE u.code = na AND v.code = nb)
   ELSE (SELECT count(*) FROM inv u JOIN inv v USING (code) WHERE u.account = na AND v.account = nb) END, 0) AS BIGINT) AS support FROM pairs),
@@ -73,7 +73,7 @@ def _records(spark, sf):
 
 def _scored(spark, sf):
     records = _records(spark, sf)
-    pairs = block_pairs(records, "key", "name").select("a", "b", (100 - 5 * F.levenshtein("name_a", "name_b")).cast("double").alias("score")).withColumn("status", band(F.col("score"), 75, 50))
+    pairs = block_pairs(records, "key", "name").select("a", "b", (100 - 5 * F.levenshtein("name_a", "name_b")).cast("double").alias("score")).withColumn("status", band(F.col("score"), 80, 75))
     parts = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("code"))
     held = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").select("l_orderkey", "code").distinct().join(records.select("code", "system"), "code")
     codes, accounts = held.filter("system = 'mrp'").select("l_orderkey", "code"), held.filter("system = 'finance'").select("l_orderkey", F.col("code").alias("account"))

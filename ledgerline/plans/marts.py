@@ -57,3 +57,43 @@ UNION ALL SELECT 'KPI-02', 'Returned value', 'Quality Manager', b, NULL, CASE WH
 def kpi_scorecard(spark, sf):
     views(spark, sf, "lineitem", "orders")
     return marts.build(spark, VIEWS, KPIS)
+
+
+_LINES = "SELECT l_partkey, l_suppkey, l_orderkey, CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, l_shipdate FROM lineitem"
+
+
+@query("material_price", f"SELECT l_partkey, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(price) AS DOUBLE) AS value, CAST(sum(price) AS DOUBLE) / nullif(CAST(sum(quantity) AS DOUBLE), 0) AS price FROM ({_LINES}) GROUP BY l_partkey")
+def material_price(spark, sf):
+    views(spark, sf, "lineitem")
+    value, quantity = F.sum("price").cast("double"), F.sum("quantity")
+    return spark.sql(_LINES).groupBy("l_partkey").agg(quantity.alias("quantity"), value.alias("value"), F.try_divide(value, quantity.cast("double")).alias("price"))
+
+
+@query("labour_variance", """
+WITH booked AS (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS hours FROM lineitem GROUP BY 1)
+SELECT o_custkey AS job, count(*) AS n_orders, count(*) FILTER (WHERE hours > planned) AS n_over, CAST(sum(planned) AS BIGINT) AS planned, CAST(sum(coalesce(hours, 0)) AS BIGINT) AS booked, CAST(sum(coalesce(hours, 0)) - sum(planned) AS DOUBLE) / nullif(CAST(sum(planned) AS DOUBLE), 0) AS variance
+FROM (SELECT o_orderkey, o_custkey, o_orderkey % 90 AS planned FROM orders) o LEFT JOIN booked ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def labour_variance(spark, sf):
+    booked = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("hours"))
+    orders = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("job"), (F.col("o_orderkey") % 90).alias("planned"))
+    hours, planned = F.sum(F.coalesce("hours", F.lit(0))), F.sum("planned")
+    joined = orders.join(booked, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.groupBy("job").agg(F.count("*").alias("n_orders"), F.count_if(F.col("hours") > F.col("planned")).alias("n_over"), planned.alias("planned"), hours.alias("booked"), F.try_divide((hours - planned).cast("double"), planned.cast("double")).alias("variance"))
+
+
+@query("despatch_within_window", """
+SELECT o_orderkey, min(l_shipdate) AS first_despatch, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_suppliers FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 45 DAYS GROUP BY o_orderkey""")
+def despatch_within_window(spark, sf):
+    inside = F.col("l_shipdate").between(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 45 DAYS"))
+    pairs = read(spark, sf, "orders").join(read(spark, sf, "lineitem"), (F.col("l_orderkey") == F.col("o_orderkey")) & inside)
+    return pairs.groupBy("o_orderkey").agg(F.min("l_shipdate").alias("first_despatch"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+
+
+@query("category_labels", """
+WITH v AS (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_type) ELSE p_type END AS written, CAST(p_retailprice AS DECIMAL(12,2)) AS price FROM part), c AS (SELECT lower(written) AS key, written, count(*) AS n, sum(price) AS price FROM v GROUP BY 1, 2)
+SELECT arg_min(written, (-n, written)) AS category, CAST(sum(n) AS BIGINT) AS n_reports, CAST(sum(price) AS DOUBLE) AS cost FROM c GROUP BY key""")
+def category_labels(spark, sf):
+    written = read(spark, sf, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_type")).otherwise(F.col("p_type")).alias("written"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    spelled = written.groupBy("written").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+    label = F.min(F.struct((-F.col("n")).alias("o"), F.col("written").alias("written")))["written"]
+    return spelled.groupBy(F.lower("written").alias("_key")).agg(label.alias("category"), F.sum("n").alias("n_reports"), F.sum("price").cast("double").alias("cost")).drop("_key")

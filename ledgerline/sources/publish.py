@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 POINTER = "CURRENT"
 
@@ -41,3 +42,25 @@ def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
 def append_history(df: DataFrame, root: str, name: str, run_id: str) -> None:
     """Results that outlive the run; writing a run again replaces its own part only."""
     df.write.mode("overwrite").parquet(f"{root}/history/{name}/run={run_id}")
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with the same keys; null keys are equal. Columns are matched by name."""
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    kept = old.alias("o").join(new.select(*keys).distinct().alias("n"), same, "left_anti")
+    return kept.unionByName(new)
+
+
+def replace_slices(df: DataFrame, path: str, by: str) -> None:
+    """Writes ``df`` partitioned by ``by`` and replaces the slices it holds; slices that it does not hold stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def described(spark: SparkSession, views: dict[str, str]) -> DataFrame:
+    """name and comment of the catalogue's tables and views; a name of ``views`` that is not there is an error."""
+    found = {t.name for t in spark.catalog.listTables()}
+    missing = sorted(set(views) - found)
+    if missing:
+        raise ValueError(f"described but not built: {missing}")
+    rows = [(name, text, len(spark.catalog.listColumns(name))) for name, text in sorted(views.items())]
+    return spark.createDataFrame(rows, "name string, comment string, n_columns int")

@@ -1,5 +1,6 @@
 """The library against DuckDB on the given tables, and its functions against known values and brute force."""
 
+import hashlib
 import os
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerline.functions import similarity, text
-from ledgerline.operators import allocation, components, joins, marts, profiling, provenance, quality, reconcile, staging
+from ledgerline.operators import allocation, components, joins, marts, parties, profiling, provenance, quality, reconcile, reports, staging
 from ledgerline.plans import bindings
 from ledgerline.plans import staging as bound
 from ledgerline.sources import config, publish, raw
@@ -188,3 +189,67 @@ def test_config(spark, tmp_path):
     assert config.catalogue(spark, f"{tmp_path}/c.csv").first().designation == "203X133X25"
     with pytest.raises(ValueError):
         config.aliases(spark, {"A": ["x"], "B": ["X"]})
+
+
+def test_job_references_are_linked_or_listed(spark):
+    jobs = spark.createDataFrame([("J-24-0001",), ("J-24-0002",), ("J-24-0003",)], "job_no string")
+    customers = spark.createDataFrame([("J-24-0001", "ACME STEEL"), ("J-24-0002", "NORTH BRIDGES")], "job_no string, customer string")
+    written = spark.createDataFrame(
+        [("J-24-0001", "ACME STEEL", 3), ("j24-0001", None, 1), ("24-0002", "ZZZ", 2), ("J-24-3", "ANY", 1), ("J-24-0009", "ACME STEEL", 1), ("no job", "X", 1), (None, None, 1)], "written string, customer string, n_rows long"
+    )
+    links = parties.job_links(written, jobs, customers)
+    got = {r.written: (r.job_no, r.method, r.score, r.status) for r in links.collect()}
+    assert got == {
+        "J-24-0001": ("J-24-0001", "exact", 100.0, "auto"), "j24-0001": ("J-24-0001", "missing_hyphen+customer_disagrees", 85.0, "review"), "24-0002": ("J-24-0002", "missing_prefix+customer_disagrees", 85.0, "review"),
+        "J-24-3": ("J-24-0003", "zero_padding_restored", 95.0, "auto"), "J-24-0009": (None, "exact_not_found", 0.0, "unmatched"), "no job": (None, "unparsed", 0.0, "unmatched"), None: (None, "unparsed", 0.0, "unmatched"),
+    }
+    finance = spark.createDataFrame([("241",), ("240002",), ("249",)], "code string")
+    listed = {(r.side, r.value, r.reason) for r in parties.unlinked(jobs, finance, links).collect()}
+    assert {("jobs", "J-24-0003", "no finance job code"), ("jobs", "J-24-0002", "no shop-floor delivery note"), ("finance", "249", "derived_key_not_found"), ("shop_floor", "24-0002", "held for review: missing_prefix+customer_disagrees")} <= listed
+    assert len(listed) == 8
+
+
+def test_evidence_within_and_across_systems(spark):
+    records = spark.createDataFrame([("a", "m", "m1"), ("b", "m", "m2"), ("c", "f", "f1"), ("d", "f", "f2")], "key string, system string, code string")
+    invoiced = spark.createDataFrame([("m1", "f1", 3), ("m2", "f1", 2), ("m2", "f2", 7)], "code string, account string, n long")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("a", "d")], "a string, b string")
+    assert {(r.a, r.b): (r.cross_system, r.support) for r in parties.evidence(pairs, records, invoiced).collect()} == {("a", "b"): (False, 2), ("a", "c"): (True, 3), ("c", "d"): (False, 1), ("a", "d"): (True, 0)}
+
+
+def test_designations(spark):
+    values = ["203x133x25UB S355JO", "Universal Beam 203 x 133 x 25", "20mm PLATE S275 JR", "Unequal Angle 100x75x8 S355NL", "CHS 100", "BOLT-M16", "", None]
+    got = [tuple(r.x) for r in one(spark, text.designation, *values)]
+    assert got == [("UB", "203X133X25", "S355J0"), ("UB", "203X133X25", None), ("PLATE", "20", "S275JR"), ("L", "100X75X8", "S355NL"), (None, None, None), (None, None, None), (None, None, None), (None, None, None)]
+
+
+def test_reports(spark):
+    table = spark.createDataFrame([("a|b", 1), (None, 2)], "x string, y int")
+    shown = reports.markdown(table)
+    assert reports.markdown_rows(f"text\n\n{shown}\nmore", "| x") == [["a|b", "1"], ["", "2"]] and reports.markdown_rows(shown, "| z") == []
+    table.createOrReplaceTempView("reported")
+    values = reports.figures(spark, {"n": ("SELECT count(*) FROM reported", reports.count), "m": ("SELECT -1234.5D", reports.pounds)})
+    assert reports.fill("{{n}} rows, {{ m }}", values) == "2 rows, -£1,234.50" and reports.percent(0.1234) == "12.3%"
+    with pytest.raises(ValueError, match="no value"):
+        reports.fill("{{n}} {{q}}", {"n": "1"})
+    with pytest.raises(ValueError, match="not one figure"):
+        reports.figures(spark, {"n": ("SELECT y FROM reported", str)})
+    with pytest.raises(ValueError, match="more than"):
+        reports.markdown(table, most=1)
+
+
+def test_upserts_and_slices(spark, tmp_path):
+    old, new = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int"), spark.createDataFrame([(9, "b"), (8, None), (7, "c")], "v int, k string")
+    assert {(r.k, r.v) for r in publish.upserted(old, new, ["k"]).collect()} == {("a", 1), ("b", 9), (None, 8), ("c", 7)}
+    publish.replace_slices(old.filter("k is not null"), f"{tmp_path}/s", "k")
+    publish.replace_slices(new.filter("k = 'b'"), f"{tmp_path}/s", "k")
+    assert {(r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/s").collect()} == {("a", 1), ("b", 9)}
+
+
+def test_fingerprint_coverage_and_trend(spark):
+    files = spark.createDataFrame([("b", "2"), ("a", "1")], "path string, sha256 string")
+    assert quality.fingerprint(files) == hashlib.sha256(b"12").hexdigest()
+    rules = [quality.Rule("A", "a", "validity", "low", "s", "o", 1.0, "SELECT 1 AS record_key, false AS passed, 1 AS observed", covers=(1, 2)), quality.Rule("B", "b", "validity", "low", "s", "o", 1.0, "SELECT 1 AS record_key, true AS passed, 1 AS observed", covers=(2,))]
+    results = quality.evaluate(spark, rules).results
+    assert {(r.defect, r.rules, r.failed) for r in quality.defect_coverage(spark, rules, [1, 2, 3], results).collect()} == {(1, "A", 1), (2, "A, B", 1), (3, "", 0)}
+    runs = results.withColumn("run", F.lit(1)).unionAll(results.withColumns({"score": F.lit(1.0), "run": F.lit(2)}).select(*results.columns, "run"))
+    assert [r.change for r in quality.trend(runs).orderBy("run").collect()] == [None, 50.0]
