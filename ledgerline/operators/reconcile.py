@@ -97,3 +97,30 @@ def verify(spark: SparkSession, headlines: list[Headline]) -> None:
         wrong += [f"{h.engine}.{h.key}: {h.value} published, {v} found" for h, v in zip(own, found, strict=True) if v is None or abs(v - h.value) > max(0.011, 1e-9 * abs(h.value))]
     if wrong:
         raise AssertionError("; ".join(wrong))
+
+
+def without_order(invoices: DataFrame, orders: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
+    """Invoices whose order is not known or not named, but for exempt nominals: category, value_at_risk and exception_date are added.
+
+    invoices: po_no, nominal, amount, invoiced_on; orders: po_no. A null nominal is not exempt.
+    """
+    known = orders.select("po_no").filter("po_no is not null").distinct()
+    lost = invoices.join(known, "po_no", "left_anti")
+    if exempt:
+        lost = lost.filter(~F.coalesce(F.col("nominal").isin(*exempt), F.lit(False)))
+    return lost.select("*", F.lit(CATEGORIES[5]).alias("category"), F.col("amount").alias("value_at_risk"), F.col("invoiced_on").alias("exception_date"))
+
+
+def explained(planned: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """planned, actual and gap by ``keys``, which either side may lack (0). Both sides are summed before they meet."""
+    p, a = (df.groupBy(*keys).agg(F.sum(value).alias(n)) for df, n in ((planned, "planned"), (actual, "actual")))
+    both = p.join(a, keys, "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(both.schema[c].dataType))
+    return both.select(*keys, zero("planned").alias("planned"), zero("actual").alias("actual"), (zero("actual") - zero("planned")).alias("gap"))
+
+
+def extremes(gaps_by_item: DataFrame, job: str, item: str) -> DataFrame:
+    """Of each job: its gap, the item that is most over and the one most under, with their gaps (null if none is); ties by item."""
+    most = lambda sign, name: F.min(F.when(F.col("gap") * sign > 0, F.struct((-F.col("gap") * sign).alias("o"), F.col(item).alias("item"), F.col("gap").alias("gap")))).alias(name)
+    one = gaps_by_item.groupBy(job).agg(F.sum("gap").alias("gap"), F.sum(F.abs("gap")).alias("gross"), most(1, "_over"), most(-1, "_under"))
+    return one.select(job, "gap", "gross", F.col("_over.item").alias("most_over"), F.col("_over.gap").alias("over"), F.col("_under.item").alias("most_under"), F.col("_under.gap").alias("under"))

@@ -97,3 +97,9 @@ def lineage(judged: DataFrame) -> DataFrame:
 def assert_balanced(received: int, kept: int, rejected: int) -> None:
     if received != kept + rejected:
         raise AssertionError(f"{received} rows received, {kept} staged and {rejected} quarantined")
+
+
+def marked_extract(raw: DataFrame, judged: DataFrame) -> DataFrame:
+    """``raw`` with the rule and column that reject a row (null: it was staged), found by file and line."""
+    verdicts = judged.filter("rule is not null").select("_source_file", "_source_row", "rule", "failing_column")
+    return raw.join(verdicts, ["_source_file", "_source_row"], "left")

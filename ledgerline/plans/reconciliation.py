@@ -165,3 +165,39 @@ def headline_verify(spark, sf):
     headlines = [reconcile.Headline("three_way", "orders", n_orders, "three_way", "true", "count(*)"), reconcile.Headline("three_way", "price", n_price, "three_way", "category = 'price variance'", "count(*)"), reconcile.Headline("three_way", "at_risk", at_risk, "three_way", "true", "sum(pence) / 100")]
     reconcile.verify(spark, headlines)
     return found.withColumn("verified", F.lit(True))
+
+
+@query("invoices_without_order", """
+SELECT l_orderkey, l_linenumber, l_partkey, nominal, category, amount AS value_at_risk, exception_date FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS nominal, 'invoice with no PO' AS category, CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, CAST(l_shipdate AS DATE) AS exception_date,
+CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN l_orderkey + 100000000 ELSE l_orderkey END AS po_no FROM lineitem) i WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = po_no) AND nominal <> 'N'""")
+def invoices_without_order(spark, sf):
+    po = F.when(F.col("l_linenumber") == 6, F.col("l_orderkey") + 100000000).when(F.col("l_linenumber") != 7, F.col("l_orderkey"))
+    invoices = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", po.alias("po_no"), F.col("l_returnflag").alias("nominal"), F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"), F.col("l_shipdate").cast("date").alias("invoiced_on"))
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("po_no"))
+    return reconcile.without_order(invoices, orders, ("N",)).select("l_orderkey", "l_linenumber", "l_partkey", "nominal", "category", "value_at_risk", "exception_date")
+
+
+_EXPLAINED = """
+WITH l AS (SELECT o_custkey AS job, l_suppkey AS item, l_linestatus AS side, CAST(l_extendedprice AS DECIMAL(12,2)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT job, item, coalesce(sum(v) FILTER (WHERE side = 'F'), 0) AS planned, coalesce(sum(v) FILTER (WHERE side = 'O'), 0) AS actual FROM l WHERE side IN ('F', 'O') GROUP BY 1, 2),
+gaps AS (SELECT *, actual - planned AS gap FROM g)
+"""
+
+
+def _explained(spark, sf):
+    orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("job"))
+    lines = read(spark, sf, "lineitem").join(orders, "l_orderkey").select("job", F.col("l_suppkey").alias("item"), "l_linestatus", F.col("l_extendedprice").cast("decimal(12,2)").alias("v"))
+    return reconcile.explained(lines.filter("l_linestatus = 'F'"), lines.filter("l_linestatus = 'O'"), ["job", "item"], "v")
+
+
+@query("job_cost_explained", _EXPLAINED + "SELECT job, item, CAST(planned AS DOUBLE) AS planned, CAST(actual AS DOUBLE) AS actual, CAST(gap AS DOUBLE) AS gap FROM gaps")
+def job_cost_explained(spark, sf):
+    return _explained(spark, sf).select("job", "item", *(F.col(c).cast("double").alias(c) for c in ("planned", "actual", "gap")))
+
+
+@query("job_cost_extremes", _EXPLAINED + """
+SELECT job, CAST(sum(gap) AS DOUBLE) AS gap, CAST(sum(abs(gap)) AS DOUBLE) AS gross, arg_min(item, (-gap, item)) FILTER (WHERE gap > 0) AS most_over, CAST(max(gap) FILTER (WHERE gap > 0) AS DOUBLE) AS over,
+  arg_min(item, (gap, item)) FILTER (WHERE gap < 0) AS most_under, CAST(min(gap) FILTER (WHERE gap < 0) AS DOUBLE) AS under FROM gaps GROUP BY job""")
+def job_cost_extremes(spark, sf):
+    found = reconcile.extremes(_explained(spark, sf), "job", "item")
+    return found.select("job", "most_over", "most_under", *(F.col(c).cast("double").alias(c) for c in ("gap", "gross", "over", "under")))

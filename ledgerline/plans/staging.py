@@ -96,3 +96,14 @@ def parse_reference_forms(spark, sf):
     formed = read(spark, sf, "orders").select("o_orderkey", F.expr(_FORMS.format(t="STRING")).alias("form"))
     job = F.when(F.col("form").startswith("j"), job_reference(F.col("form")))
     return formed.select("o_orderkey", works_order_form(F.col("form")).alias("w"), job.alias("job")).select("o_orderkey", "w.*", "job")
+
+
+@query("marked_extract", _JUDGED + "SELECT _source_row, reading_id, kind, rule, CASE rule WHEN 'ST-03' THEN 'operator' WHEN 'ST-04' THEN 'taken_on' WHEN 'ST-05' THEN 'amount' WHEN 'ST-07' THEN 'kind' WHEN 'ST-08' THEN 'reading_id' END AS failing_column FROM judged")
+def marked_extract(spark, sf):
+    received = raw(spark, sf)
+    return staging.marked_extract(received, staging.judge(received, CONTRACT)).select("_source_row", "reading_id", "kind", "rule", "failing_column")
+
+
+@query("quarantine_summary", _JUDGED + "SELECT rule, count(*) AS n_rows FROM judged WHERE rule IS NOT NULL GROUP BY rule")
+def quarantine_summary(spark, sf):
+    return staging.quarantine(staging.judge(raw(spark, sf), CONTRACT)).groupBy("rule").agg(F.count("*").alias("n_rows"))
