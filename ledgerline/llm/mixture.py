@@ -155,7 +155,8 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
         return F.struct(shard.cast("int").alias("shard"), p.cast("int").alias("pass"), words.cast("long").alias("words"), F.xxhash64(F.lit(SEED), shard, F.col("doc_id"), p).alias("place"))
 
     draws = F.filter(F.transform("shards", draw), lambda x: x["words"] > 0)
-    return at.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + partial).cast("long").alias("taken"), draws.alias("draws"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    return at.withColumn("draws", draws).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
