@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 4096, megabytes: int = 16) -> None:
-    """Bounds the Arrow batches that Python workers get, in rows and in bytes, so long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get, in rows and in bytes, so long texts cannot fill a worker.
+
+    The bounds are the session's and the same for every operator, so it doesn't matter which one was built last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def cut(df: DataFrame) -> DataFrame:
