@@ -1,7 +1,7 @@
 """Secret scans by multipart credential linking.
 
 Strong candidates are reported as they stand: assignments, access identifiers and long hexadecimal runs. Parts that prove
-nothing alone (a 40-character key, an endpoint, a user name) are weak: in each scope, a paragraph, an interval join pairs
+nothing alone (a key of 32 characters or more, an endpoint, a user name) are weak: in each scope, a paragraph, an interval join pairs
 identifiers, secrets and endpoints that stand within ``REACH`` code points of one another, and a weak candidate is reported
 only where a complementary part stands beside it. All of it happens where a text is read; nothing is shuffled.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,9 +23,9 @@ from .common import bound_batches
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KEY40 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"(?:https?|s3|postgres|mysql|mongodb)://[A-Za-z0-9.:/_@-]{4,200}")
-USER = re.compile(r"(?:user|username|login|account|client_id)\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,64}", re.ASCII | re.IGNORECASE)
+KEY = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])")
+ENDPOINT = re.compile(r"(?:https?|s3|postgres|mysql|mongodb)://[A-Za-z0-9.:/_@-]{4,}")
+USER = re.compile(r"(?:user|username|login|account|client_id)\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", re.ASCII | re.IGNORECASE)
 
 KINDS = ("assign", "access", "hex", "key", "endpoint", "user")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "key": "secret", "endpoint": "endpoint", "user": "identifier"}
@@ -51,7 +51,7 @@ def _order(span: Span):
 
 def weak_spans(text: str) -> list[Span]:
     mixed = lambda x: any(map(str.isdigit, x)) and any(map(str.isupper, x)) and any(map(str.islower, x))
-    found = [(m.start(), m.end(), "key") for m in KEY40.finditer(text) if mixed(m[0])]
+    found = [(m.start(), m.end(), "key") for m in KEY.finditer(text) if mixed(m[0])]
     if "://" in text:
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
     if ":" in text or "=" in text:
@@ -60,24 +60,25 @@ def weak_spans(text: str) -> list[Span]:
 
 
 def linked(text: str, base: list[Span], weak: list[Span]) -> list[Span]:
-    """The weak spans that a span of another role stands within REACH of, in the same paragraph, one of them a secret."""
+    """The weak spans that a span of another role stands within REACH of, in the same paragraph, one of them a secret.
+
+    Of the spans of a role that start before a weak span's reach ends, the one that ends last tells whether any is near,
+    so the join takes one search for each weak span, however many or long the spans are.
+    """
     if not weak:
         return []
-    parts = sorted([*base, *weak], key=_order)
     breaks = [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
-    scope = [bisect_left(breaks, s) for s, _, _ in parts]
-    starts = [s for s, _, _ in parts]
-    longest = max(e - s for s, e, _ in parts)
+    sides: dict[tuple[int, bool], tuple[list[int], list[int]]] = {}
+    for s, e, kind in sorted([*base, *weak], key=_order):
+        starts, ends = sides.setdefault((bisect_left(breaks, s), ROLE[kind] == "secret"), ([], []))
+        starts.append(s)
+        ends.append(max(e, ends[-1]) if ends else e)
     out = []
-    for k, (s, e, kind) in enumerate(parts):
-        if kind in ("assign", "access", "hex"):
-            continue
-        for j in range(bisect_left(starts, s - REACH - longest), bisect_left(starts, e + REACH + 1)):
-            a, b, other = parts[j]
-            near = b + REACH >= s and a <= e + REACH and scope[j] == scope[k]
-            if j != k and near and ROLE[other] != ROLE[kind] and "secret" in (ROLE[other], ROLE[kind]):
-                out.append((s, e, kind))
-                break
+    for s, e, kind in weak:
+        starts, ends = sides.get((bisect_left(breaks, s), ROLE[kind] != "secret"), ((), ()))
+        k = bisect_right(starts, e + REACH)
+        if k and ends[k - 1] + REACH >= s:
+            out.append((s, e, kind))
     return out
 
 
