@@ -41,9 +41,14 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SELF = 0
 
 
+def _gram(a: Column, b: Column) -> Column:
+    return F.struct(F.xxhash64(a, b).alias("h"), a.alias("a"), b.alias("b"))
+
+
 def _grams(words: Column) -> Column:
+    """All 2-grams, each with its own two words alone, so that a row of it stays narrow however long the text is."""
     n = F.size(words)
-    return F.when(n >= 2, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= 2, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), _gram)).otherwise(F.array().cast("array<struct<h:bigint,a:string,b:string>>"))
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -58,38 +63,40 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
 
 def _positions(listed: DataFrame) -> DataFrame:
     """One row for each 2-gram of each template: h, template, tpos, a, b, bit; and one for template 0."""
-    grams = listed.filter("template > 0").select("template", "words", F.posexplode(_grams(F.col("words"))).alias("tpos", "h"))
+    grams = listed.filter("template > 0").select("template", F.posexplode(_grams(F.col("words"))).alias("tpos", "gram"))
     itself = listed.filter("template = 0").select(F.lit(SELF).cast("long").alias("h"), "template", F.lit(-1).alias("tpos"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("bit"))
-    return grams.select("h", "template", "tpos", F.get("words", F.col("tpos")).alias("a"), F.get("words", F.col("tpos") + 1).alias("b"), F.expr("shiftleft(1L, tpos)").alias("bit")).unionByName(itself)
+    return grams.select("gram.h", "template", "tpos", "gram.a", "gram.b", F.expr("shiftleft(1L, tpos)").alias("bit")).unionByName(itself)
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of phrases; first_word and last_word are their smallest and largest starts, from 0, or null.
     labels has the phrases' labels and those of verified notices, distinct, sorted and comma-joined; score is the largest
     share of a template that was found, 1 for a phrase, 0 for nothing. Null and empty texts have no words and no labels.
-    Rows with the same doc_id and text are one document and give one row; an empty table gives an empty result; other
-    columns are ignored.
+    Repeated rows are judged once and give repeated results; an empty table gives an empty result; other columns are
+    ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0)).alias("words"))
-    grams = tokens.select("doc_id", "tid", "words", F.posexplode(F.concat(F.array(F.lit(SELF).cast("long")), _grams(F.col("words")))).alias("pos", "h"))
+    itself = F.array(F.struct(F.lit(SELF).cast("long").alias("h"), F.lit("").alias("a"), F.lit("").alias("b")))
+    grams = tokens.select("doc_id", "tid", F.size("words").alias("n_words"), F.posexplode(F.concat(itself, _grams(F.col("words")))).alias("pos", "gram"))
+    grams = grams.select("doc_id", "tid", "n_words", "pos", "gram.h", F.col("gram.a").alias("one"), F.col("gram.b").alias("two"))
     listed = templates(docs.sparkSession, phrases, notices)
     at = F.col("pos") - 1
-    verified = ((F.col("template") == 0) & (F.col("pos") == 0)) | ((F.get("words", at) == F.col("a")) & (F.get("words", F.col("pos")) == F.col("b")))
+    verified = ((F.col("template") == 0) & (F.col("pos") == 0)) | ((F.col("template") > 0) & (F.col("pos") > 0) & (F.col("one") == F.col("a")) & (F.col("two") == F.col("b")))
     # Both broadcasts are of the fixed list above. Hits are narrow, so votes are counted before they are shuffled.
     hits = grams.join(F.broadcast(_positions(listed)), "h").filter(verified).select(
         "doc_id", "tid", "template", F.when(F.col("template") > 0, at - F.col("tpos")).alias("diagonal"), at.alias("at"), "bit",
-        F.when(F.col("template") == 0, F.size("words")).alias("n_words"),
+        F.when(F.col("template") == 0, F.col("n_words")).alias("n_words"),
     )
     by = ["doc_id", "tid", "template"]
-    votes = hits.groupBy(*by, "diagonal").agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.min("at").alias("low"), F.max("at").alias("high"))
+    votes = hits.groupBy(*by, "diagonal").agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("n_words").alias("copies"))
     votes = votes.join(F.broadcast(listed.select("template", "label", "phrase", "grams")), "template")
     run = Window.partitionBy(*by).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(run) > F.when(F.col("phrase"), 0).otherwise(BAND), F.lit(False))
     merged = votes.withColumn("span", F.sum(apart.cast("int")).over(run)).groupBy(*by, "label", "phrase", "grams", "span").agg(
-        F.bit_count(F.bit_or("mask")).alias("found"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.bit_count(F.bit_or("mask")).alias("found"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("copies").alias("copies")
     )
     share = F.col("found") / F.greatest("grams", F.lit(1))
     tight = F.col("high") - F.col("low") + 1 <= F.ceil(F.col("grams") * STRETCH)
@@ -100,5 +107,5 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame
         F.max("n_words").cast("long").alias("n_words"), F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("low"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("low"))).cast("long").alias("last_word"),
         joined(base).alias("base_labels"), joined(base | notice).alias("labels"),
-        F.coalesce(F.max(F.when(base | notice, share)), F.lit(0.0)).alias("score"),
-    ).drop("tid")
+        F.coalesce(F.max(F.when(base | notice, share)), F.lit(0.0)).alias("score"), F.max("copies").cast("int").alias("copies"),
+    ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("tid", "copies", "copy")

@@ -53,7 +53,23 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_de
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join(f"({k}, '{label}', {k <= len(license_scan.PHRASES)}, string_split('{text}', ' '))" for k, (text, label) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES], 1))
+
 ORACLES = {
+    "op2_license_scan": f"""
+WITH tokens AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '{license_scan.WORDS}') AS w FROM documents),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(template, label, phrase, w)),
+wanted AS (SELECT template, pos AS tpos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT template, w, unnest(range(len(w) - 1)) AS pos FROM templates)),
+grams AS (SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 0))) AS pos FROM tokens)),
+votes AS (SELECT doc_id, template, pos - tpos AS diagonal, bit_or(CAST(1 AS BIGINT) << tpos) AS mask, min(pos) AS low, max(pos) AS high FROM grams JOIN wanted USING (a, b) GROUP BY ALL),
+marked AS (SELECT v.*, label, phrase, len(w) - 1 AS n, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN phrase THEN 0 ELSE {license_scan.BAND} END, false) AS apart FROM votes v JOIN templates USING (template)),
+numbered AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+spans AS (SELECT doc_id, label, phrase, n, bit_count(bit_or(mask))::DOUBLE / n AS share, min(low) AS low, max(high) AS high FROM numbered GROUP BY doc_id, template, label, phrase, n, span),
+judged AS (SELECT *, phrase AND share = 1 AS base, NOT phrase AND share >= {license_scan.COVERAGE} AND high - low + 1 <= ceil(n * {license_scan.STRETCH}::DOUBLE) AS notice FROM spans),
+found AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(low) FILTER (WHERE base) AS first_word, max(low) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base OR notice) AS labels, max(share) FILTER (WHERE base OR notice) AS score FROM judged GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM tokens t LEFT JOIN found USING (doc_id)
+""",
     "op6_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 whole AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS u FROM cut),
