@@ -8,8 +8,9 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -32,17 +33,22 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared checkpoint folder, so lost executors cost no recomputation.
-
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made.
-    """
+    """Materialises ``df`` in the shared checkpoint folder, so lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one where that is unset and the master is local, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints")
+
+
 def ascii_lower(column):
     """Lower-cases A to Z only, unlike lower(), which follows Unicode."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,3 +74,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, h: Column, *first: Column) -> DataFrame:
+    """``docs`` with one row for each row (doc_id, h) of ``kept``: the first by ``first`` of those with that doc_id and hash."""
+    doc = F.col("doc_id").cast("long")
+    key = F.struct(F.coalesce(doc, F.lit(0)).alias("id"), doc.isNull().alias("none"))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), h.alias("h"), F.struct(F.lit(0), *first, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("place"))
+    # Rows and verdicts meet by the same columns that number the rows, so texts are shuffled once.
+    met = named.join(kept.select(key.alias("key"), "h").hint("shuffle_hash"), ["key", "h"], "left_semi")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("key", "h").orderBy("place")))
+    return ranked.filter("rank = 1").select("row.*")

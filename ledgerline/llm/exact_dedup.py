@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bound_batches, cut, ids, longs
+from .common import SPACE, bound_batches, cut, ids, longs, only_rows
 
 PREFIX = 48
-RUN_SCHEMA = "doc_id long, keep_id long, best_points long, group_size long, text_sha256 string, is_open boolean, is_head boolean"
+RUN_SCHEMA = "doc_id long, h long, keep_id long, best_points long, group_size long, text_sha256 string, is_open boolean, is_head boolean"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,14 +38,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = np.array([hashlib.sha256(norm[int(s)].as_py()).hexdigest() for s in starts], dtype=object)
         yield pa.RecordBatch.from_arrays(
             [
-                ids(doc), ids(doc[best][run]), pa.array(points[best][run], pa.int64()),
+                ids(doc), batch.column("h"), ids(doc[best][run]), pa.array(points[best][run], pa.int64()),
                 pa.array(np.diff(np.append(starts, n))[run], pa.int64()), pa.array(sha[run], pa.string()),
                 pa.array((run == 0) | (run == run[-1])), pa.array(head),
             ],
-            names=["doc_id", "keep_id", "best_points", "group_size", "text_sha256", "is_open", "is_head"],
+            names=["doc_id", "h", "keep_id", "best_points", "group_size", "text_sha256", "is_open", "is_head"],
         )
 
 
+def _normalised(text: Column) -> Column:
+    return F.translate(text, SPACE, "")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -54,26 +58,36 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     doc_id each count in group_size and carry the same verdict. An empty table gives an empty result; columns other than
     doc_id and text are ignored.
     """
+    return _judged(docs).drop("h")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """exact_dedup() with the hash h of the normalised text."""
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.translate(text, SPACE, "")
+    norm = _normalised(text)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_points"),
         F.substring(norm, 1, PREFIX).alias("prefix"), F.xxhash64(norm).alias("h"), norm.cast("binary").alias("norm"),
     )
     ordered = rows.repartitionByRange("prefix", "h", "doc_id").sortWithinPartitions("prefix", "h", "norm", "doc_id")
-    runs = cut(ordered.select("doc_id", "n_points", "norm").mapInArrow(_settle, RUN_SCHEMA))
+    runs = cut(ordered.select("doc_id", "h", "n_points", "norm").mapInArrow(_settle, RUN_SCHEMA))
     merged = (
         runs.filter("is_open and is_head").groupBy("text_sha256")
         .agg(F.sum("group_size").alias("whole"), F.min(F.struct((-F.col("best_points")).alias("p"), "keep_id")).alias("best"))
         .select("text_sha256", "whole", F.col("best.keep_id").alias("stays"))
     )
-    settled = runs.filter("not is_open").select("doc_id", "keep_id", "group_size", "text_sha256")
-    joined = runs.filter("is_open").join(merged, "text_sha256").select("doc_id", F.col("stays").alias("keep_id"), F.col("whole").alias("group_size"), "text_sha256")
-    return settled.unionByName(joined).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    settled = runs.filter("not is_open").select("doc_id", "h", "keep_id", "group_size", "text_sha256")
+    joined = runs.filter("is_open").join(merged, "text_sha256").select("doc_id", "h", F.col("stays").alias("keep_id"), F.col("whole").alias("group_size"), "text_sha256")
+    return settled.unionByName(joined).select("doc_id", "h", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that exact_dedup() drops."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """``docs`` with one row of each group of equal texts: the one that exact_dedup() lets stay.
+
+    Rows are told apart by doc_id and text, so a row isn't kept for another one with its doc_id, and of rows repeated with
+    both one stays. Null texts, repeated and null ids and an empty table are as in exact_dedup().
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kept = _judged(docs).filter("kept").select("doc_id", "h").distinct()
+    return only_rows(docs, kept, F.xxhash64(_normalised(text)), -F.length(text))

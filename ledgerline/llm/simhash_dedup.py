@@ -21,10 +21,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, ids, longs, text_bytes
+from .common import bound_batches, cut, longs, only_rows, text_bytes
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Anchors with more homes than this are dealt anew; groups of more rows than SMALL are compared one by one.
@@ -47,13 +47,17 @@ def _fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([_fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())], names=["doc_id", "h", "fp"])
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) for each row; null text counts as empty and has fingerprint zero."""
+    """doc_id, a hash h of the text and fp (the 64 bits as a signed long) for each row; null text counts as empty and has fingerprint zero."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), text_bytes().alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def _hamming(bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -267,24 +271,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
+def _groups(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as (doc_id, h, fp), h a hash of the text, and the component (its smallest fingerprint) of each fp."""
+    prints = cut(fingerprints(docs).select("doc_id", "h", "fp"))
+    reps = cut(prints.select("fp").distinct().select("fp", F.col("fp").alias("rep")))
+    found = components(links(reps, heavy))
+    return prints, reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+
+
 def simhash_dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
     Texts without words, empty and null ones have fingerprint zero and link like any other. A row whose doc_id is null
-    takes part under the smallest long, so its component_id is null. Repeated rows are equal rows of the result; an empty
-    table gives an empty result; columns other than doc_id and text are ignored.
+    takes part under the smallest long, so its component_id is null. Rows link by their fingerprints alone: rows that share
+    a doc_id may be of different components. Repeated rows are equal rows of the result; an empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
-    prints = cut(fingerprints(docs).select(F.col("doc_id"), "fp"))
+    prints, groups = _groups(docs, heavy)
     floor = F.lit(int(np.iinfo(np.int64).min))
-    reps = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", floor)).alias("rep")))
-    found = components(links(reps, heavy))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    # A fingerprint that many rows have is one row before it meets its component.
+    least = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", floor)).alias("least")).join(groups, "fp")
+    named = least.select("fp", "component").join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     return prints.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif(F.col("component"), floor).alias("component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif(F.col("component_id"), floor).alias("component_id")
     )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component."""
-    first = simhash_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """``docs`` with one row of each component: that with the smallest doc_id, null first, then the smallest hash of the text.
+
+    Rows are told apart by doc_id and text; of rows repeated with both one stays. An empty table gives an empty result.
+    """
+    prints, groups = _groups(docs, HEAVY)
+    floor = F.lit(int(np.iinfo(np.int64).min))
+    row = F.struct(F.coalesce("doc_id", floor).alias("doc_id"), "h")
+    least = prints.groupBy("fp").agg(F.min(row).alias("least")).join(groups, "fp").groupBy("component").agg(F.min("least").alias("least"))
+    kept = least.select(F.nullif(F.col("least.doc_id"), floor).alias("doc_id"), "least.h")
+    return only_rows(docs, kept, text_hash())
