@@ -25,7 +25,8 @@ from .common import bound_batches, text_bytes
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 BITS = 18
 PREFIXES = (4, 5, 6)
-SHARE = 1_000_000
+#: Features of one rated text that the driver gets at most, those of the highest counts.
+PER_TEXT = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,17 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int32), value.astype(np.float32)
 
 
+def loss(z: np.ndarray, theta: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log likelihood of the grades, and its derivatives by each row's z and by each threshold."""
+    n, row = len(z), np.arange(len(z))
+    low = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(z[:, None] - theta[None, :], -40, 40))), np.ones((n, 1))], axis=1)
+    up, down = low[row, grade + 1], low[row, grade]
+    p = np.maximum(up - down, 1e-12)
+    du, dd = up * (1 - up), down * (1 - down)
+    by_theta = [(weight * dd / p)[grade == k + 1].sum() - (weight * du / p)[grade == k].sum() for k in range(len(theta))]
+    return float(-(weight * np.log(p)).sum()), (du - dd) / p * weight, np.array(by_theta)
+
+
 def fit_ordinal(grade: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_grades: int, weight: np.ndarray | None = None, l1: float = 5e-4, steps: int = 200, rate: float = 0.05, least_rows: int = 4) -> OrdinalModel:
     """Proximal Adam on the mean negative log likelihood; the absolute penalty keeps rare words at zero.
 
@@ -79,14 +91,8 @@ def fit_ordinal(grade: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     tm, tv = np.zeros(n_grades - 1), np.zeros(n_grades - 1)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, weights=value * w[column], minlength=n)
-        low = np.concatenate([np.full((n, 1), 0.0), 1 / (1 + np.exp(np.clip(z[:, None] - theta[None, :], -40, 40))), np.full((n, 1), 1.0)], axis=1)
-        up, down = low[np.arange(n), grade + 1], low[np.arange(n), grade]
-        p = np.maximum(up - down, 1e-12)
-        du, dd = up * (1 - up), down * (1 - down)
-        gz = (du - dd) / p * weight
+        _, gz, gt = loss(np.bincount(owner, weights=value * w[column], minlength=n), theta, grade, weight)
         g = np.bincount(column, weights=value * gz[owner], minlength=d)
-        gt = np.array([(weight * dd / p)[grade == k + 1].sum() - (weight * du / p)[grade == k].sum() for k in range(n_grades - 1)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         tm, tv = 0.9 * tm + 0.1 * gt, 0.999 * tv + 0.001 * gt * gt
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -109,18 +115,27 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [features(t.as_py()) for t in batch.column("text")]
+        bags = []
+        for bucket, value in (features(t.as_py()) for t in batch.column("text")):
+            if len(bucket) > PER_TEXT:
+                best = np.lexsort((bucket, -value))[:PER_TEXT]
+                bucket, value = bucket[best], value[best]
+            bags.append((bucket, value))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([b.tobytes() for b, _ in bags], pa.binary()), pa.array([x.tobytes() for _, x in bags], pa.binary())], names=["doc_id", "grade", "buckets", "values"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = 1500, n_grades: int = 3) -> OrdinalModel:
-    """Fits on about ``per_grade`` rated rows of each grade, chosen by a hash of doc_id, so reruns agree."""
+    """Fits on about ``per_grade`` rated rows of each grade, chosen by a hash of doc_id, so reruns agree; at most PER_TEXT features of each.
+
+    Rows of ``labels`` without doc_id or quality rate nothing, and a doc_id that is rated again has its lowest grade. With
+    empty tables, or no rated text, the model has no thresholds and keeps everything.
+    """
     bound_batches(docs.sparkSession)
     rated = grades(labels)
     count = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
     keep = F.lit(False)
     for k, n in count.items():
-        keep = keep | ((F.col("grade") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) < int(SHARE * min(1.0, per_grade / n))))
+        keep = keep | ((F.col("grade") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < F.lit(2.0**53 * min(1.0, per_grade / n))))
     sample = rated.filter(keep)  # at most about per_grade rows of each grade, so it can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(sample), "doc_id")
     frame = texts.select("doc_id", "grade", "text").mapInArrow(_bags, "doc_id long, grade int, buckets binary, values binary").toPandas()
