@@ -115,8 +115,12 @@ def _power(n: float, most: int) -> int:
     return out
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken and draws (shard, pass, words, place).
+    """One row per row of ``docs``: doc_id, h (a hash of the text), source, size, source_size, target, taken and draws (shard, pass, words, place).
 
     Size is the number of runs without ASCII white space; null and empty texts have 0 and are never drawn. Sources are
     ranked by code point, null last, and weigh ``weights`` in turn; together they get ``share`` of all sizes, none more
@@ -125,7 +129,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     rows are rows of their own; an empty table gives an empty result; other columns are ignored.
     """
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SIZE)).cast("long").alias("size"), hashed.alias("hash")))
+    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SIZE)).cast("long").alias("size"), hashed.alias("hash")))
     n = slim.count()
     bits = _power(n / BLOCK_DOCS, MAX_BLOCKS)
     shards = shards or 1 << max(4, _power(n / SHARD_DOCS, MAX_SHARDS))
@@ -156,10 +160,29 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
     draws = F.filter(F.transform("shards", draw), lambda x: x["words"] > 0)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return at.withColumn("draws", draws).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return at.withColumn("draws", draws).select("doc_id", "h", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: shard, place, doc_id, source, pass and words, each shard in its own order."""
-    rows = mix_plan(docs, **options).select("doc_id", "source", F.inline("draws"))
-    return rows.select("shard", "place", "doc_id", "source", "pass", "words").repartition("shard").sortWithinPartitions("shard", "place", "doc_id", "pass")
+    """The mixture: shard, place, doc_id, source, pass, words and the text drawn, each shard in its own order.
+
+    A document that the mix draws twice gives two rows and one that it doesn't draw gives none. Where the partial pass ends
+    within a document its first words are drawn, joined by spaces. Null texts and texts without words are never drawn;
+    rows repeated with the same doc_id, text and source are drawn each for itself; an empty table gives an empty result.
+    """
+    same = Window.partitionBy("id", "none", "h", "source", "no_source").orderBy("order")
+    doc, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+
+    def named(rows: DataFrame, h: Column, order: Column, *columns: Column) -> DataFrame:
+        key = (F.coalesce(doc, F.lit(0)).alias("id"), doc.isNull().alias("none"), h.alias("h"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("no_source"))
+        return rows.select(*key, order.alias("order"), *columns).withColumn("copy", F.row_number().over(same)).drop("order")
+
+    plan = mix_plan(docs, **options).filter("size > 0")
+    drawn = named(plan, F.col("h"), F.to_json("draws"), F.col("size"), F.col("draws"))
+    texts = named(docs, _text_hash(), F.lit(0), F.col("text").alias("text"))
+    rows = texts.join(drawn, ["id", "none", "h", "source", "no_source", "copy"]).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), F.when(~F.col("no_source"), F.col("source")).alias("source"), "text", "size", F.inline("draws")
+    )
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SIZE), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    rows = rows.select("shard", "place", "doc_id", "source", "pass", "words", F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text")).alias("text"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "place", "doc_id", "pass")
