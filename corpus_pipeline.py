@@ -1,14 +1,17 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
+
+Null texts count as empty, rows are told apart by doc_id and text so repeated and null ids are no fault, other columns go
+along unread, and an empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import decontaminate, exact_dedup, mixture, quality_classifier, simhash_dedup
-from ledgerline.llm.common import table
+from ledgerline.llm.common import shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document, and in which shards they are drawn."""
-    return mixture.mix_plan(docs)
+    """The mixture itself: a row for each draw, with its shard, its place there and the text drawn."""
+    return mixture.mix(docs)
 
 
 STAGES = [
@@ -47,12 +50,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to ``documents``; what stands between them is in the shared checkpoint folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """Applies STAGES to ``documents``; what stands between them is in the shared folder, until the next stage has been written."""
+    folder, docs, last = shared_folder(spark), table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/corpus-pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            _delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
