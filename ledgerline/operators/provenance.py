@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import deque
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +28,46 @@ def masked(text: str) -> str:
 
 
 def attribute(tokens: list[str], ledger: list[tuple[str, str]]) -> list[str | None]:
-    """The origin of each token, by aligning the tokens with the ledger's texts in order, then from what is left over."""
-    texts = [t for t, _ in ledger]
-    out: list[str | None] = [None] * len(tokens)
-    used = set()
-    for a, b, n in SequenceMatcher(None, tokens, texts, autojunk=False).get_matching_blocks():
-        for i in range(n):
-            out[a + i] = ledger[b + i][1]
-            used.add(b + i)
-    for i, token in enumerate(tokens):
-        if out[i] is None:
-            spare = next((j for j, t in enumerate(texts) if t == token and j not in used), None)
-            if spare is not None:
-                out[i] = ledger[spare][1]
-                used.add(spare)
-    return out
+    """The origin of each token: of a longest run of entries (text, origin) in the same order, then of spare entries with its text.
+
+    Entries of a text are met in falling order, so a rising run of met entries, found by patience, takes each token once.
+    """
+    places: dict[str, list[int]] = {}
+    for at, (text, _) in enumerate(ledger):
+        places.setdefault(text, []).append(at)
+    tops: list[int] = []  # the smallest entry on which a run of each length ends
+    nodes: list[tuple] = []  # the same, as (token, entry, node before)
+    for place, token in enumerate(tokens):
+        for at in reversed(places.get(token, ())):
+            length = bisect_left(tops, at)
+            if length == len(tops) or at < tops[length]:
+                tops[length:length + 1] = [at]
+                nodes[length:length + 1] = [(place, at, nodes[length - 1] if length else None)]
+    met: dict[int, int] = {}
+    node = nodes[-1] if nodes else None
+    while node:
+        met[node[0]], node = node[1], node[2]
+    taken = set(met.values())
+    spare = {text: deque(at for at in found if at not in taken) for text, found in places.items()}
+    for place, token in enumerate(tokens):
+        if place not in met and spare.get(token):
+            met[place] = spare[token].popleft()
+    return [ledger[met[place]][1] if place in met else None for place in range(len(tokens))]
+
+
+def attributed(tokens: DataFrame, ledger: DataFrame, scope: str) -> DataFrame:
+    """scope, place, token and origin (null if none) of tokens (scope, place, token), by the ledger (scope, place, text, origin).
+
+    A figure is vouched for within its own scope alone, such as a page of a report, so scopes are judged apart.
+    """
+    kind = tokens.schema[scope].dataType.simpleString()
+
+    def judge(own: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        own, entries = own.sort_values("place"), entries.sort_values("place")
+        return own.assign(origin=attribute(own["token"].tolist(), list(zip(entries["text"], entries["origin"], strict=True))))
+
+    names = tokens.select(scope, F.col("place").cast("int").alias("place"), "token")
+    return names.groupBy(scope).cogroup(ledger.groupBy(scope)).applyInPandas(judge, f"{scope} {kind}, place int, token string, origin string")
 
 
 class Traced(float):

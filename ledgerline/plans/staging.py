@@ -90,7 +90,7 @@ _FORMS = "CASE o_orderkey % 6 WHEN 0 THEN lpad(CAST(o_orderkey % 100000 AS {t}),
 
 @query("parse_reference_forms", f"""
 WITH f AS (SELECT o_orderkey, o_orderkey % 6 AS k, {_FORMS.format(t='VARCHAR')} AS form FROM orders)
-SELECT o_orderkey, CASE WHEN k <= 3 THEN CAST(o_orderkey % 100000 AS INT) END AS number, CASE WHEN k = 2 THEN 'rev B' END AS revision, CASE k WHEN 0 THEN 'bare' WHEN 1 THEN 'prefix' WHEN 2 THEN 'revision' WHEN 3 THEN 'embedded' ELSE 'none' END AS method,
+SELECT o_orderkey, CASE WHEN k <= 3 THEN CAST(o_orderkey % 100000 AS INT) END AS number, CASE WHEN k = 2 THEN 'B' END AS revision, CASE k WHEN 0 THEN 'bare_number' WHEN 1 THEN 'wo_prefix' WHEN 2 THEN 'revision_suffix' WHEN 3 THEN 'embedded_number' ELSE 'unparsed' END AS method,
 CASE k WHEN 0 THEN 100 WHEN 1 THEN 99 WHEN 2 THEN 97 WHEN 3 THEN 85 ELSE 0 END AS score, CASE WHEN k = 4 THEN 'J-24-' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 4, '0') END AS job FROM f""")
 def parse_reference_forms(spark, sf):
     formed = read(spark, sf, "orders").select("o_orderkey", F.expr(_FORMS.format(t="STRING")).alias("form"))

@@ -51,7 +51,9 @@ def one(spark, expression, *values):
 def test_text_functions(spark):
     assert [r.x for r in one(spark, text.coerce_number, "£ 1,234.50", "7,5", "1,23,456", "-3", "8 hrs")] == ["1234.50", None, None, "-3", None]
     assert [r.x for r in one(spark, text.job_reference, "J24-0871", "J-24-871", "24-0871", "j-24-0871", "x")] == ["J-24-0871"] * 4 + [None]
-    assert [tuple(r.x) for r in one(spark, text.works_order_form, "12345 (rev B)", "WO 12345", "wo-12345", "no")] == [(12345, "rev B", "revision", 97), (12345, None, "prefix", 99), (12345, None, "prefix", 99), (None, None, "none", 0)]
+    assert [tuple(r.x) for r in one(spark, text.works_order_form, "12345 (rev B)", "WO 12345", "wo-12345", "no")] == [(12345, "B", "revision_suffix", 97), (12345, None, "wo_prefix", 99), (12345, None, "wo_prefix", 99), (None, None, "unparsed", 0)]
+    assert [tuple(r.x) for r in one(spark, text.works_order_form, "12345  (rev  b)", " 12345 ", "see 12345!", "123456")] == [(12345, "B", "revision_suffix", 97), (12345, None, "bare_number", 100), (12345, None, "embedded_number", 85), (None, None, "unparsed", 0)]
+    assert [r.x.kind for r in one(spark, text.designation, "PLATE 1 2", "20 PLATE", "OLD ANGLE 75X75X8", "UB203X133", "12mm PLATE", "PLATE 12MM S355J2", "UNEQUAL ANGLE 150x90x10", "ub 203 x 133 x 25", None)] == [None, None, None, None, "PLATE", "PLATE", "L", "UB", None]
     assert [tuple(r.x) for r in one(spark, text.designation, "203x133x25UB", "UNIV BEAM 203X133X25", "UB 203x133x25 S355J2", "PLT12-S355J2", "PLATE12", "PL12MM", "L75X75X8-S355JO", "bolt")] == [("UB", "203X133X25", None)] * 2 + [("UB", "203X133X25", "S355J2"), ("PLATE", "12", "S355J2"), ("PLATE", "12", None), ("PLATE", "12", None), ("L", "75X75X8", "S355J0"), (None, None, None)]
     assert [r.x for r in one(spark, lambda c: text.parse_date(c, ["%d/%m/%Y", "%d-%b-%y"]), "1/2/2025", "31/02/2025", "05-Mar-25", "TBC")] == [__import__("datetime").date(2025, 2, 1), None, __import__("datetime").date(2025, 3, 5), None]
     assert [r.x for r in one(spark, text.strip, "\u00a0a \t", None)] == ["a", None]
