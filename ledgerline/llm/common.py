@@ -17,6 +17,8 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Words of letters, digits and everything beyond ASCII, in lower-cased UTF-8.
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 NULL_ID = np.iinfo(np.int64).min
+#: Rows of one key that a copy of its verdict serves.
+SHARE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spread_join(rows: DataFrame, verdicts: DataFrame, keys: list[str], n: str, share: int = SHARE) -> DataFrame:
+    """``rows`` with the one row of ``verdicts`` for their keys, of which ``n`` rows or fewer have each.
+
+    A key of more than ``share`` rows is dealt to several copies of its verdict, so no task gets all of them. Such keys are
+    the rows' number / ``share`` at most, so their list can be broadcast; where there is none the join is a plain one.
+    """
+    verdicts = cut(verdicts)
+    hot = verdicts.filter(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_copies"))
+    if not hot.head(1):
+        return rows.join(verdicts, keys)
+    one = F.lit(1)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_copy", F.floor(F.rand(0) * F.coalesce("_copies", one)).cast("int")).drop("_copies")
+    copied = verdicts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / share).cast("int"), one) - 1)))
+    return dealt.join(copied, [*keys, "_copy"]).drop("_copy")
+
+
 def only_rows(docs: DataFrame, kept: DataFrame, h: Column, *first: Column) -> DataFrame:
     """``docs`` with one row for each row (doc_id, h) of ``kept``: the first by ``first`` of those with that doc_id and hash."""
     doc = F.col("doc_id").cast("long")

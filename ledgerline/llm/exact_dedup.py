@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bound_batches, cut, ids, longs, only_rows
+from .common import SPACE, bound_batches, cut, ids, longs, only_rows, spread_join
 
 PREFIX = 48
 RUN_SCHEMA = "doc_id long, h long, keep_id long, best_points long, group_size long, text_sha256 string, is_open boolean, is_head boolean"
@@ -78,7 +78,7 @@ def _judged(docs: DataFrame) -> DataFrame:
         .select("text_sha256", "whole", F.col("best.keep_id").alias("stays"))
     )
     settled = runs.filter("not is_open").select("doc_id", "h", "keep_id", "group_size", "text_sha256")
-    joined = runs.filter("is_open").join(merged, "text_sha256").select("doc_id", "h", F.col("stays").alias("keep_id"), F.col("whole").alias("group_size"), "text_sha256")
+    joined = spread_join(runs.filter("is_open").select("doc_id", "h", "text_sha256"), merged, ["text_sha256"], "whole").select("doc_id", "h", F.col("stays").alias("keep_id"), F.col("whole").alias("group_size"), "text_sha256")
     return settled.unionByName(joined).select("doc_id", "h", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, bound_batches, cut, ids, longs, text_bytes
+from .common import SPACE, ascii_lower, bound_batches, cut, ids, longs, spread_join, text_bytes
 
 ROW_SCHEMA = "h1 long, h2 long, doc_id long, tid long, pos int, n_docs long, is_open boolean, is_head boolean"
 
@@ -61,7 +61,7 @@ def line_drops(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Data
     order = ["h1", "h2", F.col("doc_id").desc_nulls_last()]
     seen = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order, "pos").mapInArrow(_first_occurrences(min_docs), ROW_SCHEMA))
     whole = seen.filter("is_open and is_head").groupBy("h1", "h2").agg(F.sum("n_docs").alias("whole"), F.max("doc_id").alias("keeper")).filter(F.col("whole") >= min_docs)
-    late = seen.filter("is_open").join(whole, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    late = spread_join(seen.filter("is_open").select("h1", "h2", "doc_id", "tid", "pos"), whole, ["h1", "h2"], "whole").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return seen.filter("not is_open").select("doc_id", "tid", "pos").unionByName(late.select("doc_id", "tid", "pos")).distinct()
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, longs, only_rows, text_bytes
+from .common import bound_batches, cut, longs, only_rows, spread_join, text_bytes
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Anchors with more homes than this are dealt anew; groups of more rows than SMALL are compared one by one.
@@ -290,9 +290,9 @@ def simhash_dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     prints, groups = _groups(docs, heavy)
     floor = F.lit(int(np.iinfo(np.int64).min))
     # A fingerprint that many rows have is one row before it meets its component.
-    least = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", floor)).alias("least")).join(groups, "fp")
-    named = least.select("fp", "component").join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    return prints.join(named, "fp").select(
+    least = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", floor)).alias("least"), F.count("*").alias("n")).join(groups, "fp")
+    named = least.select("fp", "component", "n").join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    return spread_join(prints.select("doc_id", "fp"), named, ["fp"], "n").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif(F.col("component_id"), floor).alias("component_id")
     )
 

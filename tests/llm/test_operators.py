@@ -441,3 +441,13 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, docs, empty):
     assert quality_classifier.keep_good(docs, model).count() == docs.count()
     rated = quality_classifier.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert not len(rated.thetas) and quality_classifier.score(docs, rated).filter("keep").count() == docs.count()
+
+
+def test_hot_keys_meet_copies_of_their_verdict(spark):
+    """Keys of more rows than a copy serves give what a plain join gives."""
+    from ledgerline.llm import common
+
+    rows = spark.createDataFrame([(i, i % 3 if i < 90 else 100 + i) for i in range(200)], "x long, k long")
+    verdicts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    plain = sorted(rows.join(verdicts, "k").collect())
+    assert sorted(common.spread_join(rows, verdicts, ["k"], "n", 7).collect()) == plain == sorted(common.spread_join(rows, verdicts, ["k"], "n").collect())
