@@ -9,20 +9,27 @@ from pyspark.sql.window import Window
 
 
 def fifo(supply: DataFrame, demand: DataFrame, key: str, supply_order: list[str], demand_order: list[str], quantity: str = "quantity") -> DataFrame:
-    """Allocations without a deadline: overlaps of the running sums of both sides, so no row loop is needed.
+    """Allocations without a deadline, as a merge of the running sums of both sides: no row loop, and no pair that allocates nothing.
 
-    Orders must be total. Gives key, supply_id, demand_id and allocated, for supply rows with supply_id and demand rows
-    with demand_id.
+    The sums of both sides cut a key's quantity into stretches; each is served by the first supply that ends at or after its
+    end and goes to the first such demand, found by looking ahead in one order. Orders must be total. Gives key, supply_id,
+    demand_id and allocated, for supply rows with supply_id and demand rows with demand_id.
     """
 
-    def spans(df, order, name):
+    def ends(df, order, name):
         run = Window.partitionBy(key).orderBy(*order)
-        return df.filter(F.col(quantity) > 0).select(key, f"{name}_id", F.sum(quantity).over(run).alias(f"{name}_to"), F.col(quantity).alias(f"{name}_q"))
-
-    s, d = spans(supply, supply_order, "supply"), spans(demand, demand_order, "demand")
-    low = F.greatest(F.col("supply_to") - F.col("supply_q"), F.col("demand_to") - F.col("demand_q"))
-    high = F.least("supply_to", "demand_to")
-    return s.join(d, key).filter(low < high).select(key, "supply_id", "demand_id", (high - low).alias("allocated"))
+        return df.filter(F.col(quantity) > 0).select(key, F.sum(quantity).over(run).alias("_to"), F.col(f"{name}_id"))
+
+    both = ends(supply, supply_order, "supply").unionByName(ends(demand, demand_order, "demand"), allowMissingColumns=True)
+    # A supply and a demand that end at one sum are one cut.
+    cuts = both.groupBy(key, "_to").agg(F.max("supply_id").alias("supply_id"), F.max("demand_id").alias("demand_id"))
+    order = Window.partitionBy(key).orderBy("_to")
+    ahead = Window.partitionBy(key).orderBy(F.col("_to").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    served = cuts.select(
+        key, F.last("supply_id", ignorenulls=True).over(ahead).alias("supply_id"), F.last("demand_id", ignorenulls=True).over(ahead).alias("demand_id"),
+        (F.col("_to") - F.coalesce(F.lag("_to").over(order), F.lit(0))).alias("allocated"),
+    )
+    return served.filter("supply_id IS NOT NULL AND demand_id IS NOT NULL")
 
 
 def fifo_with_deadline(supply: DataFrame, demand: DataFrame, key: str) -> DataFrame:

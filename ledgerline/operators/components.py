@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the folder that spark.checkpoint.dir names; where it is unset, in a local one."""
+    """Materialises ``df`` in the folder that spark.checkpoint.dir names; a local one will do only where the master is local."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints"))
     return df.checkpoint(eager=True)
 

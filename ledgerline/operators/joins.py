@@ -26,10 +26,17 @@ def nearest_prior(events: DataFrame, states: DataFrame, event_keys: list[str], o
 
     ``event_keys`` identify an event; of states at one distance the smallest ``tie`` is taken.
     """
-    pairs = events.alias("e").join(states.alias("s"), (F.col(f"e.{on}") == F.col(f"s.{on}")) & F.col(f"e.{event_time}").between(F.col(f"s.{state_time}"), F.col(f"s.{state_time}") + F.expr(f"INTERVAL {within_days} DAYS")), "left")
-    nearest = Window.partitionBy(*(F.col(f"e.{k}") for k in event_keys)).orderBy(F.col(f"s.{state_time}").desc_nulls_last(), F.col(f"s.{tie}").asc_nulls_last())
+    # States and events stand in one order by time, and each event looks back to the last state: nothing is multiplied.
+    # A state of the same moment comes before the event; of states of one moment the smallest ``tie`` comes last.
     own = [c for c in states.columns if c != on]
-    return pairs.withColumn("_n", F.row_number().over(nearest)).filter("_n = 1").select("e.*", *(F.col(f"s.{c}") for c in own))
+    first = states.groupBy(on, state_time).agg(F.min(F.struct(tie, *(c for c in own if c != tie))).alias("_s"))
+    rows = events.select(F.col(on).alias("_on"), F.col(event_time).alias("_at"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_e"))
+    rows = rows.unionByName(first.select(F.col(on).alias("_on"), F.col(state_time).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(state_time).alias("_t"), "_s").alias("_state")), allowMissingColumns=True)
+    back = Window.partitionBy("_on").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_last", F.last("_state", ignorenulls=True).over(back)).filter("_kind = 1")
+    near = F.col("_last._t") >= F.col("_at") - F.expr(f"INTERVAL {within_days} DAYS")
+    named = lambda c: F.col("_last._t") if c == state_time else F.col(f"_last._s.{c}")
+    return met.select("_e.*", *(F.when(near & F.col("_on").isNotNull(), named(c)).alias(c) for c in own))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.similarity import best_pair_score
 from ..functions.text import transpositions
 from .components import connected_components
+from .numbering import numbered
 
 
 def band(score: Column, auto: float = 95, review: float = 80) -> Column:
@@ -60,4 +60,4 @@ def quality(rows: DataFrame, minutes: float) -> DataFrame:
 
 def review_queue(scored: DataFrame, key: list[str]) -> DataFrame:
     """What needs a person, best first, numbered."""
-    return scored.filter("status = 'review'").withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), *key)))
+    return numbered(scored.filter("status = 'review'"), [F.col("score").desc(), *key])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import checkpointed
+from .numbering import numbered
+
 #: Weights of severities. Fixed values.
 SEVERITY = {"critical": 8, "high": 4, "medium": 2, "low": 1}
 DIMENSIONS = ("completeness", "validity", "uniqueness", "consistency", "timeliness", "accuracy", "integrity")
@@ -62,6 +66,55 @@ def exists_in(child: str, key: str, column: str, parent: str, parent_column: str
     return f"SELECT c.{key} AS record_key, p.k IS NOT NULL AS passed, CAST(c.{column} AS STRING) AS observed FROM {child} c LEFT JOIN (SELECT DISTINCT {parent_column} AS k FROM {parent}) p ON c.{column} = p.k"
 
 
+def one_value(table: str, key: str, column: str) -> str:
+    """Every key has one value of a column, nulls apart; observed lists what was seen."""
+    return f"SELECT {key} AS record_key, count(DISTINCT {column}) <= 1 AS passed, array_join(array_sort(collect_set(CAST({column} AS STRING))), ', ') AS observed FROM {table} GROUP BY {key}"
+
+
+def unique(table: str, *keys: str) -> str:
+    """Every key stands once."""
+    named = ", ".join(keys)
+    return f"SELECT concat_ws('/', {named}) AS record_key, count(*) = 1 AS passed, count(*) AS observed FROM {table} GROUP BY {named}"
+
+
+def by_kind(table: str, key: str, kind: str, column: str, allowed: dict[str, tuple[str, ...]], otherwise: tuple[str, ...]) -> str:
+    """A column's values are those that the row's kind allows."""
+    listed = lambda values: f"{column} IN ({', '.join(repr(v) for v in values)})"
+    cases = " ".join(f"WHEN {kind} = {k!r} THEN {listed(v)}" for k, v in allowed.items())
+    return predicate(table, key, f"CASE {cases} ELSE {listed(otherwise)} END", f"concat({kind}, ' in ', {column})")
+
+
+def in_order(table: str, key: str, first: str, last: str) -> str:
+    """One date isn't after another; passes where either is missing."""
+    return predicate(table, key, f"coalesce({first} <= {last}, true)", f"concat({first}, ' to ', {last})")
+
+
+def agrees(left: str, key: str, value: str, right: str, right_key: str, right_value: str, tolerance: float) -> str:
+    """A figure agrees with the sum of its parts, within a share of it; a record without parts fails."""
+    return (
+        f"SELECT l.{key} AS record_key, abs(CAST(l.{value} AS DOUBLE) - r.s) <= {tolerance}D * abs(r.s) AS passed, CAST(round(CAST(l.{value} AS DOUBLE) - r.s, 2) AS STRING) AS observed "
+        f"FROM {left} l LEFT JOIN (SELECT {right_key} AS k, CAST(sum(CAST({right_value} AS DECIMAL(18,2))) AS DOUBLE) AS s FROM {right} GROUP BY {right_key}) r ON l.{key} = r.k"
+    )
+
+
+def none_after(parent: str, key: str, closed: str, child: str, child_key: str, at: str) -> str:
+    """No child is dated after its parent closed; a parent without children, or still open, passes."""
+    return f"SELECT p.{key} AS record_key, coalesce(max(c.{at}) <= p.{closed}, true) AS passed, CAST(max(c.{at}) AS STRING) AS observed FROM {parent} p LEFT JOIN {child} c ON c.{child_key} = p.{key} GROUP BY p.{key}, p.{closed}"
+
+
+def both_ways(left: str, left_key: str, right: str, right_key: str) -> str:
+    """Keys of either table stand in the other; observed names the side that has it."""
+    return (
+        f"SELECT coalesce(l.k, r.k) AS record_key, l.k IS NOT NULL AND r.k IS NOT NULL AS passed, CASE WHEN r.k IS NULL THEN '{left} only' WHEN l.k IS NULL THEN '{right} only' END AS observed "
+        f"FROM (SELECT DISTINCT {left_key} AS k FROM {left} WHERE {left_key} IS NOT NULL) l FULL JOIN (SELECT DISTINCT {right_key} AS k FROM {right} WHERE {right_key} IS NOT NULL) r ON l.k = r.k"
+    )
+
+
+def all_of(*checks: str) -> str:
+    """The records of several checks under one rule."""
+    return " UNION ALL ".join(f"SELECT CAST(record_key AS STRING) AS record_key, passed, CAST(observed AS STRING) AS observed FROM ({c})" for c in checks)
+
+
 def within(table: str, key: str, value: str, target: str, tolerance: str) -> str:
     return predicate(table, key, f"abs({value} - {target}) <= ({tolerance}) * abs({target})", f"{value} - {target}")
 
@@ -83,16 +136,32 @@ class Evaluation:
 def evaluate(spark: SparkSession, rules: list[Rule], parameters: dict | None = None) -> Evaluation:
     """All rules' records, tagged, and one row of results for each rule; a rule that fails to analyse is an error and not scored.
 
-    pass_rate is 1 where nothing was checked; score = min(1, pass_rate / threshold); a null ``passed`` fails.
+    pass_rate is 1 where nothing was checked; score = min(1, pass_rate / threshold); a null ``passed`` fails. The records are
+    written once. If that fails, for a cast that breaks on some row, each rule is tried alone and only those that break are
+    errors.
     """
-    frames, errors = [], {}
+    frames, errors = {}, {}
+    log = logging.getLogger("SQLQueryContextLogger")  # which would write the stack of every rule that breaks
+    level = log.level
+    log.setLevel(logging.CRITICAL + 1)
     for r in rules:
         try:
             df = r.check(spark, parameters or {}) if callable(r.check) else spark.sql(substituted(r.check, parameters or {}))
-            frames.append(df.select(F.lit(r.id).alias("rule_id"), F.col("record_key").cast("string").alias("record_key"), F.coalesce(F.col("passed"), F.lit(False)).alias("passed"), F.col("observed").cast("string").alias("observed")))
+            frames[r.id] = df.select(F.lit(r.id).alias("rule_id"), F.col("record_key").cast("string").alias("record_key"), F.coalesce(F.col("passed"), F.lit(False)).alias("passed"), F.col("observed").cast("string").alias("observed"))
         except (AnalysisException, ValueError) as e:
             errors[r.id] = str(e).splitlines()[0]
-    checks = reduce(DataFrame.unionAll, frames) if frames else spark.createDataFrame([], "rule_id string, record_key string, passed boolean, observed string")
+    none = spark.createDataFrame([], "rule_id string, record_key string, passed boolean, observed string")
+    try:
+        checks = checkpointed(reduce(DataFrame.unionAll, frames.values(), none))
+    except Exception:  # whatever a rule's rows raise
+        whole = {}
+        for rule, frame in frames.items():
+            try:
+                whole[rule] = checkpointed(frame)
+            except Exception as e:
+                errors[rule] = str(e).splitlines()[0]
+        checks = reduce(DataFrame.unionAll, whole.values(), none)
+    log.setLevel(level)
     listed = spark.createDataFrame([(r.id, r.name, r.dimension, r.severity, SEVERITY[r.severity], r.system, r.owner, float(r.threshold), "error" if r.id in errors else "ok") for r in rules], "rule_id string, name string, dimension string, severity string, weight int, system string, owner string, threshold double, status string")
     counted = checks.groupBy("rule_id").agg(F.count("*").alias("checked"), F.count_if(~F.col("passed")).alias("failed"))
     rate = F.when(F.col("checked") > 0, 1 - F.col("failed").cast("double") / F.col("checked")).otherwise(1.0)
@@ -111,8 +180,7 @@ def index(results: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def exceptions(evaluation: Evaluation) -> DataFrame:
     """Failing records with their rule's owner and severity, numbered within each rule by key."""
-    place = F.row_number().over(Window.partitionBy("rule_id").orderBy("record_key", "observed"))
-    failing = evaluation.checks.filter(~F.col("passed")).withColumn("place", place)
+    failing = numbered(evaluation.checks.filter(~F.col("passed")).select("rule_id", "record_key", "observed"), ["record_key", "observed"], group=["rule_id"])
     return failing.join(F.broadcast(evaluation.results.select("rule_id", "severity", "owner")), "rule_id").select("rule_id", "place", "record_key", "observed", "severity", "owner")
 
 

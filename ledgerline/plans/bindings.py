@@ -1,34 +1,6 @@
 """The library's operators, bound to the TPC-H-like tables, each with the SQL of its result."""
 
-from __future__ import annotations
+from . import conformance, entities, marts, matching, quality, reconciliation, relational, staging, traceability  # noqa: F401
+from .registry import ORACLES, QUERIES, query, read, views
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Registers a function of (spark, sf_dir) as query ``name``."""
-
-    def register(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for name in names:
-        read(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
-from . import entities, marts, matching, quality, reconciliation, relational, staging, traceability  # noqa: E402,F401
+__all__ = ["ORACLES", "QUERIES", "query", "read", "views"]

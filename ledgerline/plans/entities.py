@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import materials, parties
 from ..operators.components import connected_components
 from ..operators.matching import band, block_pairs
-from .bindings import query, read
+from .registry import query, read
 
 #: Forms derived from part keys, in expressions that Spark and DuckDB share.
 _LOW = "CASE {} WHEN 0 THEN '203x133x25UB' WHEN 1 THEN '20mm plate' WHEN 2 THEN '100x50x5RHS' ELSE '152x152x37 UC' END"

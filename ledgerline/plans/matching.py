@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_name
 from ..operators import matching
 from ..operators.components import connected_components
-from .bindings import query, read
+from .registry import query, read
 
 SUFFIXES, ABBREVIATIONS = ["LTD", "LIMITED", "PLC", "CO", "COMPANY", "LLP", "UK"], {"NTH": "NORTHERN", "SECT": "SECTIONS", "SVCS": "SERVICES"}
 

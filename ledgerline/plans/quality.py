@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as dq
-from .bindings import query, read, views
+from .registry import query, read, views
 
 PARAMETERS = {"as_of": "2001-06-01", "grace": 90, "max_quantity": 50}
 
@@ -79,3 +79,38 @@ def dq_scorecard(spark, sf):
 @query("dq_exceptions", _CHECKS + "SELECT rule_id, row_number() OVER (PARTITION BY rule_id ORDER BY record_key, observed NULLS FIRST) AS place, record_key, observed, severity, owner FROM checks JOIN rules USING (rule_id) WHERE NOT passed")
 def dq_exceptions(spark, sf):
     return dq.exceptions(evaluated(spark, sf))
+
+
+#: A rule of each shape that the first set lacks; the last breaks on its rows and so isn't scored.
+SHAPES = [
+    dq.Rule("DQ-21", "One segment per nation", "consistency", "medium", "customer", "Finance Manager", 1.0, dq.one_value("customer", "c_nationkey", "c_mktsegment")),
+    dq.Rule("DQ-22", "One row per order", "uniqueness", "high", "orders", "Production Controller", 1.0, dq.unique("orders", "o_orderkey")),
+    dq.Rule("DQ-23", "Status fits the return flag", "validity", "high", "lineitem", "Quality Manager", 0.9, dq.by_kind("lineitem", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)", "l_returnflag", "l_linestatus", {"R": ("F",), "N": ("O", "F")}, ("F",))),
+    dq.Rule("DQ-24", "Orders are before the extract", "timeliness", "low", "orders", "Production Controller", 1.0, dq.in_order("orders", "o_orderkey", "CAST(o_orderdate AS DATE)", "DATE '${as_of}'")),
+    dq.Rule("DQ-25", "Order agrees with its lines", "accuracy", "high", "orders", "Finance Manager", 0.9, dq.agrees("orders", "o_orderkey", "o_totalprice", "lineitem", "l_orderkey", "l_extendedprice", 0.25)),
+    dq.Rule("DQ-26", "Nothing ships long after the order", "timeliness", "medium", "orders", "Production Controller", 0.9, dq.none_after("(SELECT o_orderkey, o_orderdate + INTERVAL 100 DAYS AS closes FROM orders)", "o_orderkey", "closes", "lineitem", "l_orderkey", "l_shipdate")),
+    dq.Rule("DQ-27", "Orders and lines know each other", "integrity", "critical", "orders", "Production Controller", 1.0, dq.both_ways("orders", "o_orderkey", "lineitem", "l_orderkey")),
+    dq.Rule("DQ-28", "Names are there", "completeness", "critical", "customer", "Finance Manager", 1.0, dq.all_of(dq.not_null("customer", "c_custkey", "c_name"), dq.not_null("supplier", "s_suppkey", "s_name"))),
+    dq.Rule("DQ-29", "Price is near the list price", "accuracy", "low", "lineitem", "Finance Manager", 0.5, dq.within("part", "p_partkey", "p_retailprice", "1000", "0.3")),
+    dq.Rule("DQ-30", "A check that breaks on its rows", "validity", "low", "customer", "Quality Manager", 1.0, "SELECT c_custkey AS record_key, CAST(c_name AS INT) > 0 AS passed, NULL AS observed FROM customer"),
+]
+
+_SHAPES = """
+WITH checks AS (
+SELECT 'DQ-21' AS rule_id, count(DISTINCT c_mktsegment) <= 1 AS passed FROM customer GROUP BY c_nationkey
+UNION ALL SELECT 'DQ-22', count(*) = 1 FROM orders GROUP BY o_orderkey
+UNION ALL SELECT 'DQ-23', CASE l_returnflag WHEN 'R' THEN l_linestatus = 'F' WHEN 'N' THEN l_linestatus IN ('O', 'F') ELSE l_linestatus = 'F' END FROM lineitem
+UNION ALL SELECT 'DQ-24', coalesce(CAST(o_orderdate AS DATE) <= DATE '2001-06-01', true) FROM orders
+UNION ALL SELECT 'DQ-25', coalesce(abs(CAST(o_totalprice AS DOUBLE) - s) <= 0.25::DOUBLE * abs(s), false) FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
+UNION ALL SELECT 'DQ-26', coalesce(max(l_shipdate) <= o_orderdate + INTERVAL 100 DAYS, true) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+UNION ALL SELECT 'DQ-27', o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL FROM (SELECT DISTINCT o_orderkey FROM orders) FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey
+UNION ALL SELECT 'DQ-28', c_name IS NOT NULL FROM customer UNION ALL SELECT 'DQ-28', s_name IS NOT NULL FROM supplier
+UNION ALL SELECT 'DQ-29', abs(p_retailprice - 1000) <= 0.3::DOUBLE * 1000 FROM part)
+"""
+
+
+@query("dq_shapes", _SHAPES + "SELECT rule_id, 'ok' AS status, count(*) AS checked, count(*) FILTER (WHERE NOT passed) AS failed FROM checks GROUP BY 1 UNION ALL SELECT 'DQ-30', 'error', 0, 0")
+def dq_shapes(spark, sf):
+    views(spark, sf, "orders", "customer", "lineitem", "supplier", "part")
+    dq.validate(SHAPES)
+    return dq.evaluate(spark, SHAPES, PARAMETERS).results.select("rule_id", "status", "checked", "failed")

@@ -6,40 +6,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import allocation, reconcile
-from .bindings import query, read
+from ..operators.components import checkpointed
+from .registry import query, read
 
 AS_OF = "2001-06-01"
 _M = "CAST({} AS DECIMAL(12,2))"
 
 
 def three_way_lines(spark, sf):
-    """Orders with what their lines say was ordered, received (not returned) and invoiced (received, status F)."""
+    """Orders, those without lines too, with what their lines say was ordered, received (not returned) and invoiced (received, status F)."""
     line = read(spark, sf, "lineitem")
     money = lambda c: F.col(c).cast("decimal(12,2)")
     received, billed = F.col("l_returnflag") != "R", (F.col("l_returnflag") != "R") & (F.col("l_linestatus") == "F")
     sums = line.groupBy("l_orderkey").agg(
-        F.sum(money("l_quantity")).alias("ordered"), F.sum(F.when(received, money("l_quantity"))).alias("received"), F.sum(F.when(received, money("l_extendedprice"))).alias("worth"),
-        F.sum(money("l_extendedprice")).alias("order_value"),
+        F.sum(money("l_quantity")).alias("ordered"), F.sum(F.when(received, money("l_quantity"))).alias("received"), F.sum(F.when(received, money("l_extendedprice"))).alias("received_value"),
+        F.sum(money("l_extendedprice")).alias("line_value"),
         F.sum(F.when(billed, (money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)")) * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,6)"))).alias("invoiced"),
         F.max(F.when(received, F.col("l_shipdate").cast("date"))).alias("received_on"),
     )
-    doubles = [F.col(c).cast("double").alias(c) for c in ("ordered", "received", "worth", "order_value", "invoiced")]
-    joined = read(spark, sf, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.select("o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("promised"), "received_on", *doubles).withColumn("price", F.col("worth") / F.col("received"))
+    joined = read(spark, sf, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select(
+        "o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("promised"), "received_on", F.coalesce("ordered", F.lit(0)).alias("ordered"), "received", "received_value", "invoiced",
+        F.coalesce("line_value", money("o_totalprice")).alias("order_value"),
+    )
 
 
 _THREE = f"""
-WITH sums AS (SELECT l_orderkey, CAST(sum({_M.format('l_quantity')}) AS DOUBLE) AS ordered, CAST(sum({_M.format('l_quantity')}) FILTER (WHERE l_returnflag <> 'R') AS DOUBLE) AS received,
-CAST(sum({_M.format('l_extendedprice')}) FILTER (WHERE l_returnflag <> 'R') AS DOUBLE) AS worth, CAST(sum({_M.format('l_extendedprice')}) AS DOUBLE) AS order_value,
-CAST(sum(CAST({_M.format('l_extendedprice')} * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,6))) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS DOUBLE) AS invoiced,
+WITH sums AS (SELECT l_orderkey, sum({_M.format('l_quantity')}) AS ordered, sum({_M.format('l_quantity')}) FILTER (WHERE l_returnflag <> 'R') AS received,
+sum({_M.format('l_extendedprice')}) FILTER (WHERE l_returnflag <> 'R') AS worth, sum({_M.format('l_extendedprice')}) AS line_value,
+sum(CAST({_M.format('l_extendedprice')} * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,6))) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS invoiced,
 max(CAST(l_shipdate AS DATE)) FILTER (WHERE l_returnflag <> 'R') AS received_on FROM lineitem GROUP BY 1),
-lines AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS promised, s.*, worth / received AS price, received * (worth / received) AS due FROM orders JOIN sums s ON o_orderkey = l_orderkey),
+lines AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS promised, received_on, coalesce(ordered, 0) AS ordered, received, worth, invoiced, coalesce(line_value, {_M.format('o_totalprice')}) AS order_value,
+CAST(received AS DOUBLE) AS r, CAST(coalesce(ordered, 0) AS DOUBLE) AS o, CAST(worth AS DOUBLE) AS w, CAST(invoiced AS DOUBLE) AS i FROM orders LEFT JOIN sums ON o_orderkey = l_orderkey),
 judged AS (SELECT *, CASE WHEN received IS NULL THEN CASE WHEN promised + 5 > DATE '{AS_OF}' THEN 'not yet due' ELSE 'missing GRN' END
 WHEN invoiced IS NULL THEN CASE WHEN received_on + 30 > DATE '{AS_OF}' THEN 'not yet due' ELSE 'missing invoice' END
-WHEN abs(invoiced - due) > due * 0.05::DOUBLE + greatest(1.0::DOUBLE, due * 0.05::DOUBLE) * 1e-9 THEN 'price variance'
-WHEN abs(received - ordered) > ordered * 0.02::DOUBLE + greatest(1.0::DOUBLE, ordered * 0.02::DOUBLE) * 1e-9 THEN 'quantity variance' ELSE 'matched' END AS category FROM lines),
-risked AS (SELECT *, CAST(CASE category WHEN 'missing GRN' THEN order_value WHEN 'missing invoice' THEN due WHEN 'price variance' THEN abs(invoiced - due) WHEN 'quantity variance' THEN abs(received - ordered) * price ELSE 0.0 END AS DOUBLE) AS value_at_risk,
-CASE category WHEN 'missing GRN' THEN promised WHEN 'not yet due' THEN NULL WHEN 'matched' THEN NULL ELSE received_on END AS exception_date FROM judged)
+WHEN abs(i - w) > w * 0.05::DOUBLE + greatest(1.0::DOUBLE, w * 0.05::DOUBLE) * 1e-9 THEN 'price variance'
+WHEN abs(r - o) > o * 0.02::DOUBLE + greatest(1.0::DOUBLE, o * 0.02::DOUBLE) * 1e-9 THEN 'quantity variance' ELSE 'matched' END AS category FROM lines),
+risked AS (SELECT *, CASE category WHEN 'missing GRN' THEN CAST(order_value AS DECIMAL(20,6)) WHEN 'missing invoice' THEN CAST(worth AS DECIMAL(20,6)) WHEN 'price variance' THEN CAST(abs(invoiced - worth) AS DECIMAL(20,6)) WHEN 'quantity variance' THEN CAST(abs(r - o) * w / r AS DECIMAL(20,6)) ELSE CAST(0 AS DECIMAL(20,6)) END AS value_at_risk,
+CASE category WHEN 'missing GRN' THEN promised WHEN 'not yet due' THEN NULL WHEN 'matched' THEN NULL ELSE received_on END AS exception_date FROM judged),
+invoices AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS line_id, {_M.format('l_extendedprice')} AS amount, CAST(l_shipdate AS DATE) AS invoiced_on, CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN l_orderkey + 100000000 ELSE l_orderkey END AS po_no, l_returnflag AS nominal FROM lineitem),
+whole AS (SELECT 'PO line' AS line_type, CAST(o_orderkey AS VARCHAR) AS line_id, category, value_at_risk, exception_date FROM risked
+UNION ALL SELECT 'invoice', line_id, 'invoice with no PO', CAST(amount AS DECIMAL(20,6)), invoiced_on FROM invoices v WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = po_no) AND nominal <> 'N')
 """
 
 
@@ -47,33 +54,43 @@ def matched_lines(spark, sf):
     return reconcile.three_way(three_way_lines(spark, sf), AS_OF)
 
 
-@query("three_way_match", _THREE + "SELECT o_orderkey, category, ordered, received, invoiced, value_at_risk, exception_date FROM risked")
+@query("three_way_match", _THREE + "SELECT o_orderkey, category, CAST(ordered AS DOUBLE) AS ordered, CAST(received AS DOUBLE) AS received, CAST(invoiced AS DOUBLE) AS invoiced, CAST(value_at_risk AS DOUBLE) AS value_at_risk, exception_date FROM risked")
 def three_way_match(spark, sf):
-    return matched_lines(spark, sf).select("o_orderkey", "category", "ordered", "received", "invoiced", "value_at_risk", "exception_date")
-
+    doubles = [F.col(c).cast("double").alias(c) for c in ("ordered", "received", "invoiced", "value_at_risk")]
+    return matched_lines(spark, sf).select("o_orderkey", "category", *doubles, "exception_date")
 
-#: Sums of doubles depend on their order; sums of whole pence do not.
-_CENTS = "CAST(sum(CAST(floor(value_at_risk * 100) AS BIGINT)) AS DOUBLE) / 100"
 
+def whole_match(spark, sf):
+    """Order lines and invoices that no order accounts for."""
+    invoices = _invoices(spark, sf)
+    lost = reconcile.without_order(invoices, read(spark, sf, "orders").select(F.col("o_orderkey").alias("po_no")), ("N",))
+    return reconcile.both_sides(matched_lines(spark, sf), lost.withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "o_orderkey", "line_id")
 
-def _pence():
-    return F.floor(F.col("value_at_risk") * 100)
 
+@query("three_way_both_sides", _THREE + "SELECT line_type, line_id, category, CAST(value_at_risk AS DOUBLE) AS value_at_risk, exception_date FROM whole")
+def three_way_both_sides(spark, sf):
+    return whole_match(spark, sf).withColumn("value_at_risk", F.col("value_at_risk").cast("double"))
 
 
-@query("three_way_summary", _THREE + f", c AS (SELECT * FROM (VALUES ('matched'), ('quantity variance'), ('price variance'), ('missing GRN'), ('missing invoice'), ('invoice with no PO'), ('not yet due')) AS v(category)) SELECT c.category, count(r.category) AS n_rows, coalesce({_CENTS}, 0.0::DOUBLE) AS total FROM c LEFT JOIN risked r ON c.category = r.category GROUP BY 1")
+@query("three_way_summary", _THREE + ", c AS (SELECT * FROM (VALUES ('matched'), ('quantity variance'), ('price variance'), ('missing GRN'), ('missing invoice'), ('invoice with no PO'), ('not yet due')) AS v(category)) SELECT c.category, count(r.category) AS n_rows, CAST(round(coalesce(sum(value_at_risk), 0), 2) AS DOUBLE) AS total FROM c LEFT JOIN whole r ON c.category = r.category GROUP BY 1")
 def three_way_summary(spark, sf):
-    out = reconcile.summary(matched_lines(spark, sf).withColumn("pence", _pence()), "category", reconcile.CATEGORIES, "pence")
-    return out.withColumn("total", F.col("total") / 100)
+    return reconcile.summary(whole_match(spark, sf), "category", reconcile.CATEGORIES, "value_at_risk")
 
 
-_BUCKET = "CASE WHEN {0} <= 30 THEN '0-30' WHEN {0} <= 60 THEN '31-60' WHEN {0} <= 90 THEN '61-90' WHEN {0} <= 180 THEN '91-180' ELSE 'over 180' END"
+_BUCKET = "CASE WHEN {0} <= 30 THEN '0-30 days' WHEN {0} <= 60 THEN '31-60 days' WHEN {0} <= 90 THEN '61-90 days' WHEN {0} <= 180 THEN '91-180 days' ELSE 'over 180 days' END"
 
 
-@query("three_way_ageing", _THREE + f"SELECT category, {_BUCKET.format(f'''date_diff('day', exception_date, DATE '{AS_OF}')''')} AS bucket, count(*) AS n_rows FROM risked WHERE exception_date IS NOT NULL GROUP BY 1, 2")
+@query("three_way_ageing", _THREE + f"SELECT category, {_BUCKET.format(f"""date_diff('day', exception_date, DATE '{AS_OF}')""")} AS bucket, count(*) AS n_rows, CAST(round(sum(value_at_risk), 2) AS DOUBLE) AS total FROM whole WHERE exception_date IS NOT NULL GROUP BY 1, 2")
 def three_way_ageing(spark, sf):
     age = F.datediff(F.lit(AS_OF).cast("date"), "exception_date")
-    return matched_lines(spark, sf).filter("exception_date is not null").groupBy("category", reconcile.age_bucket(age).alias("bucket")).agg(F.count("*").alias("n_rows"))
+    return whole_match(spark, sf).filter("exception_date is not null").groupBy("category", reconcile.age_bucket(age).alias("bucket")).agg(F.count("*").alias("n_rows"), F.round(F.sum("value_at_risk"), 2).cast("double").alias("total"))
+
+
+@query("exception_rate", _THREE + "SELECT category, count(*) AS n_lines, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM whole WHERE line_type = 'PO line' AND exception_date IS NOT NULL GROUP BY category")
+def exception_rate(spark, sf):
+    counted = whole_match(spark, sf).filter("line_type = 'PO line' AND exception_date IS NOT NULL").groupBy("category").agg(F.count("*").alias("n_lines"))
+    every = counted.agg(F.sum("n_lines").alias("n"))
+    return counted.crossJoin(F.broadcast(every)).select("category", "n_lines", (F.col("n_lines").cast("double") / F.col("n")).alias("share"))
 
 
 _COST = f"""
@@ -156,23 +173,34 @@ def fifo_deadline(spark, sf):
     return allocation.fifo_with_deadline(supply, demand.withColumn("deadline", F.col("at") + F.expr("INTERVAL 30 DAYS")), "l_partkey")
 
 
-@query("headline_verify", _THREE + "SELECT count(*) AS n_orders, count(*) FILTER (WHERE category = 'price variance') AS n_price, CAST(sum(CAST(floor(value_at_risk * 100) AS BIGINT)) AS DOUBLE) / 100 AS at_risk, true AS verified FROM risked")
-def headline_verify(spark, sf):
-    rows = matched_lines(spark, sf).select("o_orderkey", "category", _pence().alias("pence"))
-    rows.createOrReplaceTempView("three_way")
-    found = rows.agg(F.count("*").alias("n_orders"), F.count_if(F.col("category") == "price variance").alias("n_price"), (F.sum("pence") / 100).alias("at_risk"))
-    n_orders, n_price, at_risk = found.first()
-    headlines = [reconcile.Headline("three_way", "orders", n_orders, "three_way", "true", "count(*)"), reconcile.Headline("three_way", "price", n_price, "three_way", "category = 'price variance'", "count(*)"), reconcile.Headline("three_way", "at_risk", at_risk, "three_way", "true", "sum(pence) / 100")]
+_OLD = f"exception_date IS NOT NULL AND date_diff('day', exception_date, DATE '{AS_OF}') > 90"
+_HEADS = " UNION ALL ".join(
+    [f"SELECT 'value_at_risk' AS key, CAST(round(sum(value_at_risk), 2) AS DOUBLE) AS value FROM whole WHERE exception_date IS NOT NULL", f"SELECT 'over_90_days', CAST(count(*) AS DOUBLE) FROM whole WHERE {_OLD}"]
+    + [f"SELECT '{c.replace(' ', '_')}_lines', CAST(count(*) AS DOUBLE) FROM whole WHERE category = '{c}'" for c in reconcile.CATEGORIES]
+    + [f"SELECT '{c.replace(' ', '_')}_value', CAST(round(coalesce(sum(value_at_risk), 0), 2) AS DOUBLE) FROM whole WHERE category = '{c}'" for c in reconcile.CATEGORIES if c not in ("matched", "not yet due")]
+)
+
+
+@query("three_way_headlines", _THREE + _HEADS)
+def three_way_headlines(spark, sf):
+    """The 14 figures of the match, each verified against the rows that were published, read again."""
+    published = checkpointed(whole_match(spark, sf))
+    published.createOrReplaceTempView("three_way_lines")
+    headlines = reconcile.exception_headlines("three_way_lines", published, AS_OF)
     reconcile.verify(spark, headlines)
-    return found.withColumn("verified", F.lit(True))
+    return spark.createDataFrame([(h.key, float(h.value)) for h in headlines], "key string, value double")
+
+
+def _invoices(spark, sf):
+    po = F.when(F.col("l_linenumber") == 6, F.col("l_orderkey") + 100000000).when(F.col("l_linenumber") != 7, F.col("l_orderkey"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", po.alias("po_no"), F.col("l_returnflag").alias("nominal"), F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"), F.col("l_shipdate").cast("date").alias("invoiced_on"))
 
 
 @query("invoices_without_order", """
 SELECT l_orderkey, l_linenumber, l_partkey, nominal, category, amount AS value_at_risk, exception_date FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS nominal, 'invoice with no PO' AS category, CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, CAST(l_shipdate AS DATE) AS exception_date,
 CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN l_orderkey + 100000000 ELSE l_orderkey END AS po_no FROM lineitem) i WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = po_no) AND nominal <> 'N'""")
 def invoices_without_order(spark, sf):
-    po = F.when(F.col("l_linenumber") == 6, F.col("l_orderkey") + 100000000).when(F.col("l_linenumber") != 7, F.col("l_orderkey"))
-    invoices = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", po.alias("po_no"), F.col("l_returnflag").alias("nominal"), F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"), F.col("l_shipdate").cast("date").alias("invoiced_on"))
+    invoices = _invoices(spark, sf)
     orders = read(spark, sf, "orders").select(F.col("o_orderkey").alias("po_no"))
     return reconcile.without_order(invoices, orders, ("N",)).select("l_orderkey", "l_linenumber", "l_partkey", "nominal", "category", "value_at_risk", "exception_date")
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import joins
 from ..operators.provenance import number_tokens
-from .bindings import query, read
+from .registry import query, read
 
 
 @query("label_coverage", "SELECT d.doc_id, d.source, l.quality, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import job_reference, works_order_form
 from ..operators import profiling, staging
 from ..sources.contracts import Column, TableContract
-from .bindings import query, read
+from .registry import query, read
 
 CONTRACT = TableContract("shop_floor", "readings", (
     Column("reading_id", "integer", required=True, key=True), Column("taken_on", "date", required=True, formats=("%Y-%m-%d", "%d/%m/%Y")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import allocation, traceability
-from .bindings import ORACLES, query
+from .registry import ORACLES, query
 from .reconciliation import _sides
 
 _LINE = "l_partkey * 1000000000 + {}"

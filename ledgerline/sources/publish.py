@@ -30,9 +30,13 @@ def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataF
     out = fs.create(path(f"{root}/{POINTER}.{run_id}"), True)
     out.write(bytearray(run_id.encode()))
     out.close()
-    fs.delete(path(f"{root}/{POINTER}"), False)
-    if not fs.rename(path(f"{root}/{POINTER}.{run_id}"), path(f"{root}/{POINTER}")):
-        raise OSError(f"{root}: the pointer could not be moved to {run_id}")
+    # One rename that replaces the pointer: a reader sees the last run or this one.
+    context = spark.sparkContext
+    options = context._jvm.org.apache.hadoop.fs.Options.Rename
+    modes = context._gateway.new_array(options, 1)
+    modes[0] = options.OVERWRITE
+    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), context._jsc.hadoopConfiguration())
+    files.rename(path(f"{root}/{POINTER}.{run_id}"), path(f"{root}/{POINTER}"), modes)
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerline.functions import similarity, text
-from ledgerline.operators import allocation, components, joins, marts, parties, profiling, provenance, quality, reconcile, reports, staging
+from ledgerline.operators import allocation, components, conformance, joins, marts, numbering, parties, profiling, provenance, quality, reconcile, reports, staging
 from ledgerline.plans import bindings
 from ledgerline.plans import staging as bound
 from ledgerline.sources import config, publish, raw
@@ -255,3 +255,62 @@ def test_fingerprint_coverage_and_trend(spark):
     assert {(r.defect, r.rules, r.failed) for r in quality.defect_coverage(spark, rules, [1, 2, 3], results).collect()} == {(1, "A", 1), (2, "A, B", 1), (3, "", 0)}
     runs = results.withColumn("run", F.lit(1)).unionAll(results.withColumns({"score": F.lit(1.0), "run": F.lit(2)}).select(*results.columns, "run"))
     assert [r.change for r in quality.trend(runs).orderBy("run").collect()] == [None, 50.0]
+
+
+def test_numbers_over_partitions(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("x"), (F.col("id") % 3).alias("g"), "id")
+    got = [(r.x, r.id) for r in numbering.numbered(df, [F.col("x").desc(), "id"]).orderBy("place").collect()]
+    assert got == sorted(got, key=lambda r: (-r[0], r[1])) and len(got) == 500
+    by_group = numbering.numbered(df, ["x", "id"], group=["g"]).collect()
+    for g in range(3):
+        own = sorted((r.place, r.x, r.id) for r in by_group if r.g == g)
+        assert [p for p, _, _ in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+    assert [r.id for r in numbering.identified(spark.range(2).withColumnRenamed("id", "n"), ["n"], "Q-", 4).orderBy("n").collect()] == ["Q-0001", "Q-0002"]
+
+
+def test_extracts_split_within_quoted_cells(spark, tmp_path):
+    """Records keep their cells and physical lines however the file is split."""
+    rng, lines, expected = random.Random(5), [], []
+    for i in range(300):
+        note = rng.choice(["plain", "", 'a "b", c', "two\nlines", "x\n\n,y\nz"])
+        lines.append(f'{i},"{note.replace(chr(34), chr(34) * 2)}"')
+        expected.append((str(i), note, 2 + "\n".join(lines).count("\n") + 1))
+    (tmp_path / "t.csv").write_bytes(("# c\nid,note\n" + "\n".join(lines) + "\n").encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        good, ragged, files = raw.read_raw(spark, f"{tmp_path}/t.csv", CONTRACT)
+        assert sorted((r.id, r.note, r._source_row) for r in good.collect()) == sorted(expected) and ragged.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.comment, r.rows_received, r.rows_ragged) for r in files.collect()] == [("# c", 300, 0)]
+
+
+def test_figures_are_attributed_within_their_scope(spark):
+    tokens = spark.createDataFrame([("p", 0, "1"), ("p", 1, "2"), ("q", 0, "2")], "page string, place int, token string")
+    ledger = spark.createDataFrame([("p", 0, "2", "b"), ("p", 1, "1", "a"), ("p", 2, "2", "c")], "page string, place int, text string, origin string")
+    assert {(r.page, r.place): r.origin for r in provenance.attributed(tokens, ledger, "page").collect()} == {("p", 0): "a", ("p", 1): "c", ("q", 0): None}
+
+
+def test_conformance_keeps_rows_and_knows_nulls(spark):
+    rows = spark.createDataFrame([(1, " North  Yard "), (2, "nowhere"), (3, None)], "id int, site string")
+    aliases = spark.createDataFrame([("north yard", "N"), ("NORTH YARD", "M"), (None, "X")], "alias string, canonical string")
+    out = conformance.with_alias(rows, "site", aliases, "code")
+    assert conformance.assert_no_row_lost(rows, out) == 3 and {r.id: r.code for r in out.collect()} == {1: "M", 2: None, 3: None}
+    with pytest.raises(AssertionError):
+        conformance.assert_no_row_lost(rows, out.filter("code = 'M'"))
+    assert {r.id: r.known for r in conformance.with_parent(out, "code", aliases, "canonical", "known").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_deadlines_bind(spark):
+    """A supply that comes after a demand's deadline goes to the next demand; what is short stays short."""
+    supply = spark.createDataFrame([("p", 1, 5, 4.0), ("p", 2, 9, 6.0)], "k string, supply_id long, at long, quantity double")
+    demand = spark.createDataFrame([("p", 1, 1, 6, 7.0), ("p", 2, 2, 20, 5.0)], "k string, demand_id long, at long, deadline long, quantity double")
+    assert {(r.supply_id, r.demand_id): r.allocated for r in allocation.fifo_with_deadline(supply, demand, "k").collect()} == {(1, 1): 4.0, (2, 2): 5.0}
+
+
+def test_any_plan_module_can_be_imported_first():
+    import subprocess
+    import sys
+
+    for name in ("reconciliation", "quality", "bindings"):
+        subprocess.run([sys.executable, "-c", f"import ledgerline.plans.{name}"], check=True, timeout=60)
