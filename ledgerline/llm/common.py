@@ -30,7 +30,7 @@ def bound_batches(spark: SparkSession) -> None:
 
     The bounds are the session's and the same for every operator, so it doesn't matter which one was built last.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
@@ -84,10 +84,10 @@ def spread_join(rows: DataFrame, verdicts: DataFrame, keys: list[str], n: str, s
     A key of more than ``share`` rows is dealt to several copies of its verdict, so no task gets all of them. Such keys are
     the rows' number / ``share`` at most, so their list can be broadcast; where there is none the join is a plain one.
     """
-    verdicts = cut(verdicts)
     hot = verdicts.filter(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_copies"))
     if not hot.head(1):
         return rows.join(verdicts, keys)
+    hot, verdicts = cut(hot), cut(verdicts)
     one = F.lit(1)
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_copy", F.floor(F.rand(0) * F.coalesce("_copies", one)).cast("int")).drop("_copies")
     copied = verdicts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / share).cast("int"), one) - 1)))
