@@ -74,7 +74,7 @@ def three_way_both_sides(spark, sf):
 
 @query("three_way_summary", _THREE + ", c AS (SELECT * FROM (VALUES ('matched'), ('quantity variance'), ('price variance'), ('missing GRN'), ('missing invoice'), ('invoice with no PO'), ('not yet due')) AS v(category)) SELECT c.category, count(r.category) AS n_rows, CAST(round(coalesce(sum(value_at_risk), 0), 2) AS DOUBLE) AS total FROM c LEFT JOIN whole r ON c.category = r.category GROUP BY 1")
 def three_way_summary(spark, sf):
-    return reconcile.summary(whole_match(spark, sf), "category", reconcile.CATEGORIES, "value_at_risk")
+    return reconcile.summary(whole_match(spark, sf), "category", reconcile.CATEGORIES, "value_at_risk").withColumn("total", F.round("total", 2))
 
 
 _BUCKET = "CASE WHEN {0} <= 30 THEN '0-30 days' WHEN {0} <= 60 THEN '31-60 days' WHEN {0} <= 90 THEN '61-90 days' WHEN {0} <= 180 THEN '91-180 days' ELSE 'over 180 days' END"

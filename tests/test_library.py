@@ -171,7 +171,7 @@ def test_headlines_and_marts_refuse_what_does_not_add_up(spark):
 
 def test_tolerance_edges(spark):
     row = spark.range(1).select(reconcile.beyond(F.lit(5.0), F.lit(5.0)).alias("on"), reconcile.beyond(F.lit(-5.1), F.lit(5.0)).alias("over"), *(reconcile.age_bucket(F.lit(d)).alias(f"b{d}") for d in (0, 30, 31, 181))).first()
-    assert tuple(row) == (False, True, "0-30", "0-30", "31-60", "over 180")
+    assert tuple(row) == (False, True, "0-30 days", "0-30 days", "31-60 days", "over 180 days")
 
 
 def test_joins_keep_rows(spark):
