@@ -80,9 +80,10 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0)).alias("words"))
     itself = F.array(F.struct(F.lit(SELF).cast("long").alias("h"), F.lit("").alias("a"), F.lit("").alias("b")))
-    # The words' number is taken before the grams are dealt out: beside them it would carry all words into each row.
-    counted = tokens.select("doc_id", "tid", F.size("words").alias("n_words"), F.concat(itself, _grams(F.col("words"))).alias("grams"))
-    grams = counted.select("doc_id", "tid", "n_words", F.posexplode("grams").alias("pos", "gram"))
+    # The words' number is a column of its own before the grams are dealt out, or each row would carry all words beside it. The
+    # grams are dealt out of an expression: of a column, Spark would infer a filter that splits the text again.
+    counted = tokens.select("doc_id", "tid", F.size("words").alias("n_words"), "words")
+    grams = counted.select("doc_id", "tid", "n_words", F.posexplode(F.concat(itself, _grams(F.col("words")))).alias("pos", "gram"))
     grams = grams.select("doc_id", "tid", "n_words", "pos", "gram.h", F.col("gram.a").alias("one"), F.col("gram.b").alias("two"))
     listed = templates(docs.sparkSession, phrases, notices)
     at = F.col("pos") - 1
