@@ -39,6 +39,15 @@ def nearest_prior(events: DataFrame, states: DataFrame, event_keys: list[str], o
     return met.select("_e.*", *(F.when(near & F.col("_on").isNotNull(), named(c)).alias(c) for c in own))
 
 
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join by ``key``; a key that either side repeats is an error, raised before a row is joined."""
+    for side, df in (("left", left), ("right", right)):
+        again = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").first()
+        if again:
+            raise ValueError(f"{side}: {key} {again[key]} stands {again['n']} times")
+    return left.join(right, key)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")

@@ -49,6 +49,44 @@ def transposition_queue(unknown: DataFrame, known: DataFrame, number: str, known
     return swapped.join(one, "candidate").select("wrong", "candidate", "n_rows", F.lit(85).alias("score"))
 
 
+#: How sure a swap of two digits is, and what a person is asked to do about it.
+SWAPPED, LIKELY, WEAK = 85, "likely keying error: confirm and correct the record", "weak candidate: ask who made the record"
+
+
+def transposition_evidence(unknown: DataFrame, known: DataFrame, days: int = 30) -> DataFrame:
+    """One row for each wrong number and known number a swap away, with the evidence of all its spellings.
+
+    ``unknown`` has source, written, number, sites (an array), first_date, last_date, n_rows; ``known`` has number, job, site,
+    start, finish, unique by number. site_matches is null where no spelling names a site; dates_in_window says whether some
+    spelling's dates lie within ``days`` of the candidate's. Spellings and sources are sorted and comma-joined.
+    """
+    swapped = unknown.filter("number is not null").withColumn("candidate", F.explode(transpositions(F.col("number").cast("bigint"))))
+    facts = known.select(F.col("number").cast("bigint").alias("candidate"), "job", F.col("site").alias("_site"), "start", "finish")
+    met = swapped.join(facts, "candidate")
+    site = F.when(F.size("sites") > 0, F.coalesce(F.array_contains("sites", F.col("_site")), F.lit(False)))
+    inside = F.coalesce((F.col("first_date") >= F.date_sub("start", days)) & (F.col("last_date") <= F.date_add("finish", days)), F.lit(False))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    # The spellings of a number are few; its rows were counted before.
+    items = met.groupBy(F.col("number").cast("bigint").alias("wrong"), "candidate").agg(
+        listed("written").alias("written_as"), listed("source").alias("sources"), F.min("job").alias("job"), F.sum("n_rows").alias("n_rows"),
+        F.bool_or(site).alias("site_matches"), F.bool_or(inside).alias("dates_in_window"),
+    )
+    likely = F.coalesce("site_matches", F.lit(False)) & F.col("dates_in_window")
+    return items.select("*", F.lit(SWAPPED).alias("score"), F.when(likely, LIKELY).otherwise(WEAK).alias("suggested_action"))
+
+
+QUEUE = ("item_id", "source_value", "proposed_match", "score", "method", "suggested_action", "est_minutes")
+
+
+def combined_queue(domains: dict[str, DataFrame], minutes: dict[str, float]) -> DataFrame:
+    """The review queues of all domains in one, each with its domain and the minutes an item of it takes; columns by name."""
+    parts = [df.withColumn("est_minutes", F.lit(float(minutes[name]))).select(F.lit(name).alias("domain"), F.col("item_id").cast("string").alias("item_id"), F.col("source_value").cast("string").alias("source_value"), F.col("proposed_match").cast("string").alias("proposed_match"), F.col("score").cast("double").alias("score"), *QUEUE[4:]) for name, df in domains.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def quality(rows: DataFrame, minutes: float) -> DataFrame:
     """Of (status, n_rows) forms: counts by band, share accepted by form and by row, and minutes of review."""
     n = lambda s: F.count_if(F.col("status") == s)

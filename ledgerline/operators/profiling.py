@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import coerce_number, parse_date, strip
+from ..functions.text import DATE_FORMATS, coerce_number, parse_date, strip
 from ..sources.contracts import TableContract
 
 #: Inferred types that fit a declared one. Fixed values.
@@ -32,6 +32,41 @@ def profile_columns(df: DataFrame, columns: list[str], formats: list[str] | None
     )
 
 
+def mismatches(df: DataFrame, contract: TableContract) -> DataFrame:
+    """column_name, declared, inferred of the columns whose cells are of a type that doesn't fit the declared one."""
+    profile = profile_columns(df, contract.names, list(DATE_FORMATS))
+    declared = F.create_map(*(F.lit(x) for c in contract.columns for x in (c.name, c.type)))
+    fits = F.create_map(*(x for kind, types in COMPATIBLE.items() for x in (F.lit(kind), F.array(*(F.lit(t) for t in types)))))
+    named = profile.select("column_name", F.try_element_at(declared, F.col("column_name")).alias("declared"), F.col("inferred_type").alias("inferred"))
+    return named.filter(~F.array_contains(F.try_element_at(fits, F.col("declared")), F.col("inferred")))
+
+
+def table_profile(df: DataFrame, contract: TableContract) -> DataFrame:
+    """One row: n_rows, n_columns, blank_cells, exact_duplicates and duplicate_keys, the latter among rows that are no exact duplicates.
+
+    Null cells count as blank. Equal rows meet before their keys do, so a hot row or key is counted where it is read.
+    """
+    cells = df.select(*(F.coalesce(F.col(n), F.lit("")).alias(n) for n in contract.names))
+    rows = cells.groupBy(*contract.names).agg(F.count("*").alias("_n"))
+    blanks = sum(((strip(F.col(n)) == "").cast("int") for n in contract.names), F.lit(0))
+    keys = rows.groupBy(*(contract.key or contract.names)).agg(F.sum("_n").alias("n"), F.count("*").alias("texts"), F.sum(F.col("_n") * blanks).alias("blanks"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return keys.agg(total("n").alias("n_rows"), F.lit(len(contract.names)).alias("n_columns"), total("blanks").alias("blank_cells"), (total("n") - total("texts")).alias("exact_duplicates"), (total("texts") - F.count("*")).alias("duplicate_keys"))
+
+
+def mixed_date_formats(df: DataFrame, contract: TableContract) -> DataFrame:
+    """column_name, formats (as ``%Y-%m-%d 12``, by format) and affected, the cells outside the commonest format, of date columns that use several."""
+    dates = [c.name for c in contract.columns if c.type == "date"]
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), strip(F.col(n)).alias("v")) for n in dates)) if dates else F.expr("CAST(array() AS array<struct<column_name:string,v:string>>)")).alias("c")).select("c.*")
+    values = cells.groupBy("column_name", "v").agg(F.count("*").alias("n"))  # a text is parsed once, however often it stands
+    counts = values.groupBy("column_name").agg(*(F.coalesce(F.sum(F.when(parse_date(F.col("v"), [f]).isNotNull(), F.col("n"))), F.lit(0)).alias(f) for f in DATE_FORMATS))
+    used = F.filter(F.array(*(F.struct(F.lit(f).alias("format"), F.col(f"`{f}`").alias("n")) for f in sorted(DATE_FORMATS))), lambda x: x["n"] > 0)
+    found = counts.select("column_name", used.alias("used")).filter("size(used) > 1")
+    written = F.array_join(F.transform("used", lambda x: F.concat(x["format"], F.lit(" "), x["n"].cast("string"))), ", ")
+    affected = F.aggregate("used", F.lit(0).cast("long"), lambda s, x: s + x["n"]) - F.array_max(F.transform("used", lambda x: x["n"]))
+    return found.select("column_name", written.alias("formats"), affected.alias("affected"))
+
+
 def anomalies(df: DataFrame, contract: TableContract) -> DataFrame:
     """column_name, anomaly, affected and up to five distinct samples in file order, for anomalies that occur."""
     out = []
@@ -43,7 +78,9 @@ def anomalies(df: DataFrame, contract: TableContract) -> DataFrame:
         if c.required:
             tests["blank in required"] = ~filled
         if c.type == "date":
-            tests["unreadable date"] = filled & parse_date(bare, list(c.formats)).isNull()
+            known, declared = parse_date(bare, list(DATE_FORMATS)), parse_date(bare, list(c.formats))
+            tests["undeclared date format"] = filled & known.isNotNull() & declared.isNull()
+            tests["unreadable date"] = filled & known.isNull()
         if c.type in ("decimal", "integer"):
             tests["number as text"] = filled & coerce_number(bare).isNotNull() & (coerce_number(bare) != bare)
             tests["not a number"] = filled & coerce_number(bare).isNull()

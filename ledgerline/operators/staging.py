@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import coerce_number, parse_date, strip
 from ..sources.contracts import TYPES, TableContract
+from .numbering import identified
 
 #: The rules in order; each sees only what the ones before it let through. Fixed values.
 RULES = {
@@ -84,6 +85,12 @@ def quarantine(judged: DataFrame) -> DataFrame:
     return judged.filter("rule is not null").select("_source_file", "_source_row", "rule", "failing_column", value.alias("received_value"), F.to_json("original").alias("record"), F.lit("open").alias("status"))
 
 
+def register(quarantined: DataFrame, contract: TableContract, layer: str = "staging") -> DataFrame:
+    """Quarantined rows under ids Q000001 and so on, by file and line, with the layer, system and table that rejected them."""
+    named = quarantined.select(F.lit(layer).alias("layer"), F.lit(contract.system).alias("system"), F.lit(contract.table).alias("table"), "*")
+    return identified(named, ["_source_file", "_source_row"], "Q", 6, "quarantine_id")
+
+
 def lineage(judged: DataFrame) -> DataFrame:
     """One row per rule: rows_in = rows_out + rows_rejected, and each rule's rows_in is the rows_out before it."""
     counts = judged.groupBy("rule").agg(F.count("*").alias("n"))

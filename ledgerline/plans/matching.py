@@ -74,3 +74,46 @@ def crosswalk_bands(spark, sf):
 def match_quality(spark, sf):
     forms = read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n_rows")).withColumn("status", matching.band(100 - F.col("l_partkey") % 30))
     return matching.quality(forms, 4.0)
+
+
+#: Bookings of every seventh order's neighbours under two spellings, and the orders that are known. SQL that both engines read.
+_BOOKED = """
+SELECT 'bookings' AS source, CAST(o_orderkey AS {text}) AS written, o_orderkey AS number, o_orderstatus AS site, CAST(o_orderdate AS DATE) AS day, 1 AS n FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT 'travel', 'WO ' || CAST(o_orderkey AS {text}), o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END, CAST(o_orderdate AS DATE), 2 FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0"""
+
+
+def _transpositions(spark, sf):
+    booked = spark.sql(_BOOKED.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=read(spark, sf, "orders"))
+    unknown = booked.groupBy("source", "written", "number").agg(F.collect_set("site").alias("sites"), F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.sum("n").alias("n_rows"))
+    day = F.col("o_orderdate").cast("date")
+    known = read(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("number"), F.col("o_custkey").alias("job"), F.col("o_orderstatus").alias("site"), day.alias("start"), F.date_add(day, 400).alias("finish"))
+    return matching.transposition_evidence(unknown, known)
+
+
+_EVIDENCE = f"""
+WITH booked AS ({_BOOKED.format(text='VARCHAR')}), t AS (SELECT source, written, number AS w, CAST(number AS VARCHAR) AS t, list(DISTINCT site) FILTER (WHERE site IS NOT NULL) AS sites, min(day) AS first_date, max(day) AS last_date, sum(n) AS n FROM booked GROUP BY 1, 2, 3),
+swaps AS (SELECT DISTINCT source, written, w, sites, first_date, last_date, n, CAST(substr(t, 1, i - 1) || substr(t, i + 1, 1) || substr(t, i, 1) || substr(t, i + 2) AS BIGINT) AS c FROM (SELECT *, unnest(range(1, length(t))) AS i FROM t)),
+met AS (SELECT s.*, o_custkey AS job, CASE WHEN sites IS NOT NULL THEN list_contains(sites, o_orderstatus) END AS same, first_date >= CAST(o_orderdate AS DATE) - 30 AND last_date <= CAST(o_orderdate AS DATE) + 430 AS inside FROM swaps s JOIN orders ON c = o_orderkey AND o_orderkey % 7 = 0 WHERE c <> w),
+items AS (SELECT w AS wrong, c AS candidate, string_agg(DISTINCT written, ', ' ORDER BY written) AS written_as, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources, min(job) AS job, CAST(sum(n) AS BIGINT) AS n_rows, bool_or(same) AS site_matches, bool_or(inside) AS dates_in_window FROM met GROUP BY 1, 2)
+"""
+
+
+@query("transposition_evidence", _EVIDENCE + f"SELECT *, {matching.SWAPPED} AS score, CASE WHEN site_matches AND dates_in_window THEN '{matching.LIKELY}' ELSE '{matching.WEAK}' END AS suggested_action FROM items")
+def transposition_evidence(spark, sf):
+    return _transpositions(spark, sf)
+
+
+@query("combined_review_queue", _EVIDENCE.replace("WITH booked", _PAIRS + ", booked") + f"""
+SELECT 'supplier' AS domain, a || '-' || b AS item_id, name_a AS source_value, name_b AS proposed_match, 100.0::DOUBLE - levenshtein(name_a, name_b) AS score, 'name' AS method, 'compare the names' AS suggested_action, 6.0::DOUBLE AS est_minutes FROM pairs WHERE levenshtein(name_a, name_b) BETWEEN 5 AND 8
+UNION ALL SELECT 'works_order', wrong || '-' || candidate, written_as, CAST(candidate AS VARCHAR), {matching.SWAPPED}, 'adjacent_digit_transposition', CASE WHEN site_matches AND dates_in_window THEN '{matching.LIKELY}' ELSE '{matching.WEAK}' END, 5.0 FROM items
+UNION ALL SELECT 'job', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), 100 - o_orderkey % 30, 'crosswalk', 'confirm the job', 3.0 FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE o_orderkey % 30 BETWEEN 6 AND 20""")
+def combined_review_queue(spark, sf):
+    names = matching.block_pairs(read(spark, sf, "part"), "p_partkey", "p_name").withColumn("distance", F.levenshtein("name_a", "name_b")).filter("distance BETWEEN 5 AND 8")
+    named = lambda method, action: (F.lit(method).alias("method"), F.lit(action).alias("suggested_action"))
+    suppliers = names.select(F.concat_ws("-", "a", "b").alias("item_id"), F.col("name_a").alias("source_value"), F.col("name_b").alias("proposed_match"), (100 - F.col("distance")).alias("score"), *named("name", "compare the names"))
+    swaps = _transpositions(spark, sf)
+    orders = swaps.select(F.concat_ws("-", "wrong", "candidate").alias("item_id"), F.col("written_as").alias("source_value"), F.col("candidate").alias("proposed_match"), "score", F.lit("adjacent_digit_transposition").alias("method"), "suggested_action")
+    forms = read(spark, sf, "orders").select("o_orderkey", "o_custkey", (100 - F.col("o_orderkey") % 30).alias("score"))
+    walked = matching.crosswalk(forms, read(spark, sf, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey", "score").filter("status = 'review'")
+    jobs = walked.select(F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("source_value"), F.col("o_custkey").alias("proposed_match"), F.col("confidence").alias("score"), *named("crosswalk", "confirm the job"))
+    return matching.combined_queue({"supplier": suppliers, "works_order": orders, "job": jobs}, {"supplier": 6, "works_order": 5, "job": 3})

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import joins
 from ..operators.provenance import number_tokens
+from ..sources import publish
 from .registry import query, read
 
 
@@ -124,3 +125,30 @@ def conversation_turn_gaps(spark, sf):
 @query("number_tokens", "SELECT doc_id, tokens[i] AS token, i - 1 AS place FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?') AS tokens FROM documents))")
 def number_tokens_query(spark, sf):
     return number_tokens(read(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("one_to_one_merge", "SELECT o_orderkey, o_custkey, n_lines, quantity FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def one_to_one_merge(spark, sf):
+    sums = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    return joins.one_to_one(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), sums, "o_orderkey")
+
+
+_YEAR = "SELECT c_mktsegment, o_orderstatus, count(*) AS n_orders FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderdate > (SELECT max(o_orderdate) FROM {orders}) - INTERVAL 12 MONTH GROUP BY ALL ORDER BY ALL"
+
+
+@query("orders_of_last_year", _YEAR.format(orders="orders", customer="customer"))
+def orders_of_last_year(spark, sf):
+    return spark.sql(_YEAR, orders=read(spark, sf, "orders"), customer=read(spark, sf, "customer"))
+
+
+_LOOKUP = "SELECT s_suppkey, (SELECT max(n_name) FROM {nation} WHERE n_nationkey = s_nationkey AND n_regionkey < 3) AS nation, CAST(try_cast(s_acctbal AS DOUBLE) < 0 AS INT) AS in_debt FROM {supplier}"
+
+
+@query("correlated_lookup", _LOOKUP.format(nation="nation", supplier="supplier"))
+def correlated_lookup(spark, sf):
+    return spark.sql(_LOOKUP, nation=read(spark, sf, "nation"), supplier=read(spark, sf, "supplier"))
+
+
+@query("updated_in_place", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def updated_in_place(spark, sf):
+    return publish.updated(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey % 5 = 0", {"o_orderstatus": "'X'", "o_orderpriority": "o_orderstatus"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import job_reference, works_order_form
-from ..operators import profiling, staging
+from ..operators import profiling, runs, staging
 from ..sources.contracts import Column, TableContract
 from .registry import query, read
 
@@ -49,7 +49,10 @@ def quarantined_rows(spark, sf):
     return staging.quarantine(staging.judge(raw(spark, sf), CONTRACT)).select("_source_row", "rule", "failing_column", "received_value")
 
 
-@query("quarantine_records")
+@query("quarantine_records", _JUDGED + """
+SELECT 'readings.csv' AS _source_file, _source_row, rule, CASE rule WHEN 'ST-03' THEN 'operator' WHEN 'ST-04' THEN 'taken_on' WHEN 'ST-05' THEN 'amount' WHEN 'ST-07' THEN 'kind' WHEN 'ST-08' THEN 'reading_id' END AS failing_column,
+CASE rule WHEN 'ST-03' THEN received_operator WHEN 'ST-04' THEN taken_on WHEN 'ST-05' THEN amount WHEN 'ST-07' THEN kind WHEN 'ST-08' THEN reading_id END AS received_value,
+'{"reading_id":"' || reading_id || '","taken_on":"' || taken_on || '","operator":"' || received_operator || '","kind":"' || kind || '","amount":"' || amount || '"}' AS record, 'open' AS status FROM judged WHERE rule IS NOT NULL""")
 def quarantine_records(spark, sf):
     return staging.quarantine(staging.judge(raw(spark, sf), CONTRACT))
 
@@ -74,7 +77,12 @@ def profile_columns(spark, sf):
     return profiling.profile_columns(raw(spark, sf), list(_PROFILED), ["%Y-%m-%d", "%d/%m/%Y"])
 
 
-@query("profile_anomalies")
+@query("profile_anomalies", f"WITH raw AS ({_RAW.format(text='VARCHAR')}), " + f"""
+hits AS (SELECT 'operator' AS column_name, 'padding' AS anomaly, operator AS v, _source_row AS line FROM raw WHERE trim(operator) <> operator UNION ALL SELECT 'operator', 'blank in required', operator, _source_row FROM raw WHERE trim(operator) = ''
+UNION ALL SELECT 'taken_on', 'unreadable date', taken_on, _source_row FROM raw WHERE taken_on = '31/02/2025' UNION ALL SELECT 'amount', 'number as text', amount, _source_row FROM raw WHERE amount = '1,250.50'
+UNION ALL SELECT 'amount', 'not a number', amount, _source_row FROM raw WHERE amount = '7,5' UNION ALL SELECT 'kind', 'outside domain', kind, _source_row FROM raw WHERE kind NOT IN ({_DOMAIN})),
+spelt AS (SELECT column_name, anomaly, v, count(*) AS n, min(line) AS line FROM hits GROUP BY 1, 2, 3)
+SELECT column_name, anomaly, CAST(sum(n) AS BIGINT) AS affected, list(v ORDER BY line, v)[1:5] AS samples FROM spelt GROUP BY 1, 2""")
 def profile_anomalies(spark, sf):
     return profiling.anomalies(raw(spark, sf), CONTRACT)
 
@@ -107,3 +115,45 @@ def marked_extract(spark, sf):
 @query("quarantine_summary", _JUDGED + "SELECT rule, count(*) AS n_rows FROM judged WHERE rule IS NOT NULL GROUP BY rule")
 def quarantine_summary(spark, sf):
     return staging.quarantine(staging.judge(raw(spark, sf), CONTRACT)).groupBy("rule").agg(F.count("*").alias("n_rows"))
+
+
+@query("quarantine_register", _JUDGED + "SELECT 'Q' || lpad(CAST(row_number() OVER (ORDER BY _source_row) AS VARCHAR), 6, '0') AS quarantine_id, 'staging' AS layer, 'shop_floor' AS system, 'readings' AS \"table\", _source_row, rule FROM judged WHERE rule IS NOT NULL")
+def quarantine_register(spark, sf):
+    rejected = staging.quarantine(staging.judge(raw(spark, sf), CONTRACT))
+    return staging.register(rejected, CONTRACT).select("quarantine_id", "layer", "system", "table", "_source_row", "rule")
+
+
+#: The extract dealt to four files, so that several are balanced.
+_FILE = "'readings-' || CAST(_source_row % 4 AS {text}) || '.csv'"
+
+
+@query("file_balance", _JUDGED + f"""
+, f AS (SELECT {_FILE.format(text='VARCHAR')} AS _source_file, rule FROM judged)
+SELECT _source_file, count(*) AS received, count(*) FILTER (WHERE rule IS NULL) AS staged, count(*) FILTER (WHERE rule IS NOT NULL) AS quarantined, count(*) FILTER (WHERE rule IS NULL) AS core, true AS balanced FROM f GROUP BY 1""")
+def file_balance(spark, sf):
+    named = F.expr(_FILE.format(text="STRING"))
+    received = raw(spark, sf)
+    judged = staging.judge(received, CONTRACT)  # judged as one extract, so that repeats are found across files
+    lines = received.groupBy(named.alias("_source_file")).agg(F.count("*").alias("data_lines"))
+    kept, rejected = (df.withColumn("_source_file", named) for df in (staging.staged(judged, CONTRACT), staging.quarantine(judged)))
+    return runs.balance(lines, kept, rejected)
+
+
+@query("table_profile", f"WITH raw AS ({_RAW.format(text='VARCHAR')}), " + """
+g AS (SELECT reading_id, taken_on, operator, kind, amount, count(*) AS n, CAST(trim(operator) = '' AS INT) + CAST(amount = '' AS INT) AS blanks FROM raw GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, 5 AS n_columns, CAST(sum(n * blanks) AS BIGINT) AS blank_cells, CAST(sum(n) - count(*) AS BIGINT) AS exact_duplicates, count(*) - count(DISTINCT reading_id) AS duplicate_keys FROM g""")
+def table_profile(spark, sf):
+    return profiling.table_profile(raw(spark, sf), CONTRACT)
+
+
+@query("mixed_date_formats", f"WITH raw AS ({_RAW.format(text='VARCHAR')}), " + """
+n AS (SELECT count(*) FILTER (WHERE taken_on = '07/03/2024') AS a, count(*) FILTER (WHERE taken_on LIKE '2024-%') AS b FROM raw)
+SELECT 'taken_on' AS column_name, '%Y-%m-%d ' || CAST(b AS VARCHAR) || ', %d/%m/%Y ' || CAST(a AS VARCHAR) AS formats, least(a, b) AS affected FROM n WHERE a > 0 AND b > 0""")
+def mixed_date_formats(spark, sf):
+    return profiling.mixed_date_formats(raw(spark, sf), CONTRACT)
+
+
+@query("type_mismatches", f"WITH raw AS ({_RAW.format(text='VARCHAR')}) " + """
+SELECT 'taken_on' AS column_name, 'date' AS declared, 'TEXT' AS inferred FROM raw WHERE taken_on = '31/02/2025' UNION SELECT 'amount', 'decimal', 'TEXT' FROM raw WHERE amount LIKE '%,%'""")
+def type_mismatches(spark, sf):
+    return profiling.mismatches(raw(spark, sf), CONTRACT)

@@ -55,6 +55,12 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(new)
 
 
+def updated(df: DataFrame, where: str, values: dict[str, str]) -> DataFrame:
+    """``df`` with the columns of ``values`` set to those SQL expressions in the rows that ``where`` holds for; all see the old row."""
+    hit = F.coalesce(F.expr(where), F.lit(False))
+    return df.select(*(F.when(hit, F.expr(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
+
+
 def replace_slices(df: DataFrame, path: str, by: str) -> None:
     """Writes ``df`` partitioned by ``by`` and replaces the slices it holds; slices that it does not hold stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerline.functions import similarity, text
-from ledgerline.operators import allocation, components, conformance, joins, marts, numbering, parties, profiling, provenance, quality, reconcile, reports, staging
+from ledgerline.operators import allocation, components, conformance, joins, marts, numbering, parties, profiling, provenance, quality, reconcile, reports, runs, staging
 from ledgerline.plans import bindings
 from ledgerline.plans import staging as bound
 from ledgerline.sources import config, publish, raw
@@ -314,3 +314,51 @@ def test_any_plan_module_can_be_imported_first():
 
     for name in ("reconciliation", "quality", "bindings"):
         subprocess.run([sys.executable, "-c", f"import ledgerline.plans.{name}"], check=True, timeout=60)
+
+
+def test_one_to_one_refuses_repeats(spark):
+    one, two = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, "c"), (1, "d")], "k int, y string")
+    with pytest.raises(ValueError, match="right: k 1 stands 2 times"):
+        joins.one_to_one(one, two, "k")
+    with pytest.raises(ValueError, match="left"):
+        joins.one_to_one(two, one, "k")
+
+
+def test_printed_numbers(spark):
+    found = lambda t: one(spark, text.printed_numbers, t)[0].x
+    assert found("Of -£1,250.50, 3m and 12% (Two or TWELVE) 4k") == ["-£1,250.50", "3m", "12%", "two", "twelve", "4k"]
+    assert found("v1.2 a12 12a £x 1,23 often someone 7.") == ["1", "23", "7"]
+    assert found(None) == [] == found("none")
+    values = [r.x for r in one(spark, text.printed_value, "-£1,250.50", "3m", "12%", "two", "4k", "x")]
+    assert values == [-1250.5, 3e6, 0.12, 2.0, 4000.0, None]
+
+
+def test_date_anomalies(spark):
+    contract = TableContract("a", "t", (Column("d", "date", formats=("%Y-%m-%d",)),))
+    rows = spark.createDataFrame([("2024-01-02", 1), ("2024-01-03", 2), ("05/03/2024", 3), ("31/02/2024", 4), (None, 5), ("", 6)], "d string, _source_row int")
+    assert {(r.anomaly, r.affected) for r in profiling.anomalies(rows, contract).collect()} == {("undeclared date format", 1), ("unreadable date", 1)}
+    assert [tuple(r) for r in profiling.mixed_date_formats(rows, contract).collect()] == [("d", "%Y-%m-%d 2, %d/%m/%Y 1", 1)]
+    assert [tuple(r) for r in profiling.mismatches(rows, contract).collect()] == [("d", "date", "TEXT")]
+    assert tuple(profiling.table_profile(rows.limit(0), contract).first()) == (0, 1, 0, 0, 0) and profiling.mixed_date_formats(rows.limit(0), contract).count() == 0
+    assert tuple(profiling.table_profile(rows, contract).first())[:4] == (6, 1, 2, 1)
+
+
+def test_run_ingest(spark, tmp_path, monkeypatch):
+    (tmp_path / "t.csv").write_bytes(b"id,note\n1,x\n1,x\n1,y\n2,\n3,a,b\n,z\nq,z\n")
+    (tmp_path / "u.csv").write_bytes(b"# empty\nid,note\n")
+    other = TableContract("a", "u", CONTRACT.columns)
+    root, extracts = f"{tmp_path}/out", {f"{tmp_path}/t.csv": CONTRACT, f"{tmp_path}/u.csv": other}
+    run = runs.run_ingest(spark, root, extracts)
+    assert publish.current(spark, root) == run
+    kept = publish.read_published(spark, root, "t").orderBy("id").collect()
+    assert [(r.id, r.note, r._run_id) for r in kept] == [(1, "x", run), (2, None, run)] and publish.read_published(spark, root, "u").count() == 0
+    out = publish.read_published(spark, root, "quarantine").orderBy("quarantine_id").collect()
+    assert [(r.quarantine_id, r.layer, r._source_row, r.rule) for r in out] == [("Q000001", "staging", 3, "ST-02"), ("Q000002", "staging", 4, "ST-08"), ("Q000003", "raw", 6, "RAW-02"), ("Q000004", "staging", 7, "ST-03"), ("Q000005", "staging", 8, "ST-05")]
+    steps = publish.read_published(spark, root, "lineage").filter("table = 't'").orderBy("step").collect()
+    assert [s.rule for s in steps] == [*runs.RAW_RULES, *staging.RULES] and (steps[0].rows_in, steps[-1].rows_out) == (7, 2)
+    assert all(s.rows_in == s.rows_out + s.rows_rejected for s in steps) and all(a.rows_out == b.rows_in for a, b in zip(steps, steps[1:], strict=False))
+    monkeypatch.setattr(staging, "quarantine", lambda judged, real=staging.quarantine: real(judged).filter("rule <> 'ST-03'"))
+    with pytest.raises(AssertionError, match="t.csv: 7 rows received, 2 staged, 4 quarantined"):
+        runs.run_ingest(spark, root, extracts)
+    assert publish.current(spark, root) == run
+    assert sorted(r.status for r in spark.read.parquet(f"{root}/history/runs").collect()) == ["succeeded", "unbalanced"]
