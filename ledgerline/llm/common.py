@@ -51,6 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(column):
     """Lower-cases A to Z only, unlike lower(), which follows Unicode."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, mixture, quality_classifier, secret_scan, simhash_dedup, substring_dedup, url_filter
-from .common import table
+from . import conversation_repair, conversation_sql, conversation_trie, decontaminate, exact_dedup, license_scan, line_dedup, mixture, quality_classifier, secret_scan, simhash_dedup, substring_dedup, url_filter, warc
+from .common import cut, remove, shared_folder, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_texts(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_decontaminate, op4_quality_classifier, op5_simhash_dedup, op6_url_filter, op7_exact_dedup, op8_mixture, op9_secret_scan, op10_line_dedup)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair_digests(conversation_repair.damage(convs))
+    every = convs.select(F.col("conv_id").cast("long").alias("every_id")).distinct()
+    nothing = {c: F.coalesce(c, F.lit(0)) for c in (*conversation_repair.COUNTS, "cost")} | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return every.join(found, F.col("every_id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("every_id", "conv_id").withColumns(nothing)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    read = cut(warc.read_warc(spark, folder).drop("url"))
+    remove(spark, folder)
+    return read
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = conversation_trie.turn_arrays(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.grafted(arrays))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_decontaminate, op4_quality_classifier, op5_simhash_dedup, op6_url_filter, op7_exact_dedup, op8_mixture, op9_secret_scan, op10_line_dedup, op11_conversation_repair, op12_warc, op13_conversation_trie)}
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -104,4 +128,7 @@ common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
 marked AS (SELECT doc_id, pos, line, keeper IS NOT NULL AND doc_id <> keeper AS lost FROM keyed LEFT JOIN common USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(lost::INT) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256 FROM marked GROUP BY doc_id
 """,
+    "op11_conversation_repair": conversation_sql.REPAIR,
+    "op12_warc": conversation_sql.WARC,
+    "op13_conversation_trie": conversation_sql.TRIE,
 }
