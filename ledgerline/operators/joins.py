@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import scanned
+
 
 def matched(child: DataFrame, parent: DataFrame, on: dict[str, str], flag: str, take: list[str] = ()) -> DataFrame:
     """``child`` with ``take`` of its parent and whether it has one. The parent is made unique first, so no row is gained."""
@@ -24,19 +26,20 @@ def key_in_either(left: DataFrame, right: DataFrame, columns: list[str], key: st
 def nearest_prior(events: DataFrame, states: DataFrame, event_keys: list[str], on: str, event_time: str, state_time: str, within_days: int, tie: str) -> DataFrame:
     """Each event with the state of the same ``on`` that began last, at most ``within_days`` before it; null if none.
 
-    ``event_keys`` identify an event; of states at one distance the smallest ``tie`` is taken.
+    ``event_keys`` identify an event; of states at one distance the smallest ``tie`` is taken. An event without ``on`` has no
+    state, and the events of one ``on`` spread over partitions.
     """
     # States and events stand in one order by time, and each event looks back to the last state: nothing is multiplied.
-    # A state of the same moment comes before the event; of states of one moment the smallest ``tie`` comes last.
+    # A state of the same moment comes before the event; of states of one moment the smallest ``tie`` is kept.
     own = [c for c in states.columns if c != on]
-    first = states.groupBy(on, state_time).agg(F.min(F.struct(tie, *(c for c in own if c != tie))).alias("_s"))
-    rows = events.select(F.col(on).alias("_on"), F.col(event_time).alias("_at"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_e"))
-    rows = rows.unionByName(first.select(F.col(on).alias("_on"), F.col(state_time).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(state_time).alias("_t"), "_s").alias("_state")), allowMissingColumns=True)
-    back = Window.partitionBy("_on").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.withColumn("_last", F.last("_state", ignorenulls=True).over(back)).filter("_kind = 1")
+    first = states.filter(F.col(on).isNotNull()).groupBy(on, state_time).agg(F.min(F.struct(tie, *(c for c in own if c != tie))).alias("_s"))
+    rows = events.select(F.col(on).alias("_on"), F.col(event_time).alias("_at"), F.lit(1).alias("_kind"), F.struct(*event_keys).alias("_key"), F.struct(*events.columns).alias("_e"))
+    keyed = rows.filter("_on is not null").unionByName(first.select(F.col(on).alias("_on"), F.col(state_time).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(state_time).alias("_t"), "_s").alias("_state")), allowMissingColumns=True)
+    met = scanned(keyed, ["_on"], ["_at", "_kind", "_key"], _last=("last", "_state")).filter("_kind = 1")
     near = F.col("_last._t") >= F.col("_at") - F.expr(f"INTERVAL {within_days} DAYS")
     named = lambda c: F.col("_last._t") if c == state_time else F.col(f"_last._s.{c}")
-    return met.select("_e.*", *(F.when(near & F.col("_on").isNotNull(), named(c)).alias(c) for c in own))
+    found = met.select("_e.*", *(F.when(near, named(c)).alias(c) for c in own))
+    return found.unionByName(rows.filter("_on is null").select("_e.*", *(F.lit(None).cast(states.schema[c].dataType).alias(c) for c in own)))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -4,26 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .components import checkpointed
+from .scan import scanned
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "place", group: list[str] = ()) -> DataFrame:
     """``df`` with the row's number, from 1, in ``order``, or in the order of its ``group``.
 
-    Rows are partitioned by range, numbered within their partition, and moved on by what earlier partitions hold, a row for
-    each group and partition. Rows that are equal in the order stand in one partition, numbered in any order.
+    Rows that are equal in the order stand in one partition, numbered in any order.
     """
-    placed = checkpointed(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()))
-    own = placed.withColumn(name, F.row_number().over(Window.partitionBy("_p", *group).orderBy(*order)))
-    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    held = placed.groupBy("_p", *group).agg(F.count("*").alias("_n"))
-    ahead = held.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_{g}") for g in group), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-    same = F.col("_p") == F.col("_q")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return own.join(ahead, same).select(*df.columns, (F.col(name) + F.col("_ahead")).cast("int").alias(name))
+    return scanned(df, list(group), order, **{name: ("count", None)}).withColumn(name, F.col(name).cast("int"))
 
 
 def identified(df: DataFrame, order: list[Column | str], prefix: str, width: int, name: str = "id") -> DataFrame:

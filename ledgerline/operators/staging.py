@@ -60,7 +60,9 @@ def judge(raw: DataFrame, contract: TableContract) -> DataFrame:
             rule, column = F.when(fails, name).otherwise(rule), F.when(fails, c).otherwise(column)
     marked = marked.withColumn("rule", F.when(F.col("_copy"), "ST-02").otherwise(rule)).withColumn("failing_column", F.when(~F.col("_copy"), column))
     if contract.key:
-        again = Window.partitionBy(*contract.key, F.col("rule").isNull()).orderBy("_source_file", "_source_row")
+        # Rejected rows don't stand for their key: each is its own group, so those of a common or blank key don't meet.
+        apart = F.when(F.col("rule").isNotNull(), F.struct("_source_file", "_source_row"))
+        again = Window.partitionBy(*contract.key, apart).orderBy("_source_file", "_source_row")
         repeat = F.col("rule").isNull() & (F.row_number().over(again) > 1)
         marked = marked.withColumn("_repeat", repeat).withColumn("rule", F.when(F.col("_repeat"), "ST-08").otherwise(F.col("rule"))).withColumn("failing_column", F.when(F.col("_repeat"), contract.key[0]).otherwise(F.col("failing_column"))).drop("_repeat")
     return marked.drop("_copy")

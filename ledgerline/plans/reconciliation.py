@@ -167,7 +167,14 @@ def fifo_allocation(spark, sf):
     return allocation.fifo(supply, demand, "l_partkey", ["at", "supply_id"], ["at", "demand_id"])
 
 
-@query("fifo_deadline")
+@query("fifo_deadline", f"""
+WITH lines AS (SELECT l_partkey, l_linestatus, CAST({_ID} AS BIGINT) AS id, min(l_shipdate) AS t, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY l_partkey, l_linestatus, l_orderkey, l_linenumber),
+s AS (SELECT l_partkey, id, t, q, sum(q) OVER (PARTITION BY l_partkey ORDER BY t, id) AS upto FROM lines WHERE l_linestatus = 'F' AND q > 0),
+d AS (SELECT l_partkey, id, t, q, sum(q) OVER (PARTITION BY l_partkey ORDER BY t, id) AS wanted FROM lines WHERE l_linestatus = 'O' AND q > 0),
+came AS (SELECT d.l_partkey, d.id, coalesce(sum(s.q), 0) AS supplied FROM d LEFT JOIN s ON s.l_partkey = d.l_partkey AND s.t <= d.t + INTERVAL 30 DAYS GROUP BY 1, 2),
+taken AS (SELECT d.*, wanted + least(0, min(supplied - wanted) OVER (PARTITION BY d.l_partkey ORDER BY t, d.id)) AS upto FROM d JOIN came USING (l_partkey, id)),
+cut AS (SELECT *, lag(upto, 1, 0) OVER (PARTITION BY l_partkey ORDER BY t, id) AS since FROM taken)
+SELECT s.l_partkey, s.id AS supply_id, d.id AS demand_id, CAST(least(s.upto, d.upto) - greatest(s.upto - s.q, d.since) AS DOUBLE) AS allocated FROM s JOIN cut d ON s.l_partkey = d.l_partkey WHERE greatest(s.upto - s.q, d.since) < least(s.upto, d.upto)""")
 def fifo_deadline(spark, sf):
     supply, demand = _sides(spark, sf)
     return allocation.fifo_with_deadline(supply, demand.withColumn("deadline", F.col("at") + F.expr("INTERVAL 30 DAYS")), "l_partkey")

@@ -1,13 +1,23 @@
-"""Publication: tables are built in a run's own folder, and a pointer is moved to it only once the run has been verified."""
+"""Publication: tables are built in a run's own folder, and a manifest names the run of each table that is published.
+
+A publication writes the next manifest, once what it has built has been verified, by one rename that doesn't replace: of two
+that began from one manifest the second fails, so neither loses what the other published. Readers take the last manifest.
+"""
 
 from __future__ import annotations
 
+import json
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+MANIFESTS = "manifests"
+
+
+class PublishedMeanwhile(RuntimeError):
+    """Another publication has come between this one's beginning and its end."""
 
 
 def _fs(spark: SparkSession, root: str):
@@ -15,32 +25,123 @@ def _fs(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    """The published run, or None. Readers key their caches by it."""
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of all manifests, ascending."""
     fs, path = _fs(spark, root)
-    return spark.read.text(f"{root}/{POINTER}").first()["value"] if fs.exists(path(f"{root}/{POINTER}")) else None
+    folder = path(f"{root}/{MANIFESTS}")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
 
-def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], verify: Callable[[dict[str, DataFrame]], None] = lambda _: None) -> None:
-    """Writes ``tables`` under the run, verifies what was written, then swaps the pointer; a failure leaves the last run."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/run={run_id}/{name}")
-    verify({name: spark.read.parquet(f"{root}/run={run_id}/{name}") for name in tables})
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """version (0 before anything is published), run (the last to publish) and tables: by name, the run that built each and its stage."""
+    known = versions(spark, root)
+    version = version or (known[-1] if known else 0)
+    if not version:
+        return {"version": 0, "run": None, "tables": {}}
+    return json.loads(spark.read.text(f"{root}/{MANIFESTS}/{version:08d}.json", wholetext=True).first()["value"])
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The run that published last, or None."""
+    return manifest(spark, root)["run"]
+
+
+def _swap(spark: SparkSession, root: str, before: dict, run_id: str, tables: dict) -> int:
+    version = before["version"] + 1
     fs, path = _fs(spark, root)
-    out = fs.create(path(f"{root}/{POINTER}.{run_id}"), True)
-    out.write(bytearray(run_id.encode()))
+    aside, place = path(f"{root}/{MANIFESTS}/_{version:08d}.{run_id}"), path(f"{root}/{MANIFESTS}/{version:08d}.json")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps({"version": version, "run": run_id, "tables": tables}, sort_keys=True).encode()))
     out.close()
-    # One rename that replaces the pointer: a reader sees the last run or this one.
     context = spark.sparkContext
-    options = context._jvm.org.apache.hadoop.fs.Options.Rename
-    modes = context._gateway.new_array(options, 1)
-    modes[0] = options.OVERWRITE
-    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), context._jsc.hadoopConfiguration())
-    files.rename(path(f"{root}/{POINTER}.{run_id}"), path(f"{root}/{POINTER}"), modes)
+    modes = context._gateway.new_array(context._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), context._jsc.hadoopConfiguration()).rename(aside, place, modes)
+    except Exception as e:
+        fs.delete(aside, False)
+        if versions(spark, root)[-1:] == [before["version"]]:
+            raise
+        raise PublishedMeanwhile(f"{root}: version {version} has been published by another run") from e
+    return version
+
+
+def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], verify: Callable[[dict[str, DataFrame]], None] = lambda _: None, stage: str | None = None) -> None:
+    """Writes ``tables`` under the run, verifies what was written, then publishes them; a failure leaves everything as it was.
+
+    With ``stage`` they take the place of the tables which that stage published before, and the tables of other stages stay; a
+    name that another stage has published is an error. Without, they are all that is published.
+    """
+    before = manifest(spark, root)
+    others = {name: t for name, t in before["tables"].items() if t["stage"] != stage} if stage else {}
+    taken = sorted(set(tables) & set(others))
+    if taken:
+        raise ValueError(f"{stage}: {', '.join(taken)} belong to {', '.join(sorted({str(others[t]['stage']) for t in taken}))}")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/run={run_id}/{name}")
+    verify({name: spark.read.parquet(f"{root}/run={run_id}/{name}") for name in tables})
+    _swap(spark, root, before, run_id, others | {name: {"run": run_id, "stage": stage} for name in tables})
 
 
-def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/run={current(spark, root)}/{name}")
+def read_published(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table as it is published, or as it was in an earlier ``version`` that hasn't been cleared."""
+    tables = manifest(spark, root, version)["tables"]
+    if name not in tables:
+        raise KeyError(f"{name} isn't published; {', '.join(sorted(tables)) or 'nothing'} is")
+    return spark.read.parquet(f"{root}/run={tables[name]['run']}/{name}")
+
+
+def show(spark: SparkSession, root: str, *names: str) -> None:
+    """Temporary views of published tables, of all of one manifest where none is named."""
+    tables = manifest(spark, root)["tables"]
+    for name in names or tables:
+        spark.read.parquet(f"{root}/run={tables[name]['run']}/{name}").createOrReplaceTempView(name)
+
+
+def clear(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Deletes all manifests but the last ``keep``, and the runs that none of these names; gives the runs deleted."""
+    fs, path = _fs(spark, root)
+    known = versions(spark, root)
+    used = {t["run"] for v in known[-keep:] for t in manifest(spark, root, v)["tables"].values()}
+    gone = [n for n in (s.getPath().getName().removeprefix("run=") for s in fs.listStatus(path(root)) if s.getPath().getName().startswith("run=")) if n not in used]
+    for v in known[:-keep]:
+        fs.delete(path(f"{root}/{MANIFESTS}/{v:08d}.json"), False)
+    for n in gone:
+        fs.delete(path(f"{root}/run={n}"), True)
+    return sorted(gone)
+
+
+class Reader:
+    """Queries over published tables, which keeps the results of the last ``size`` while the version they read is published.
+
+    A result is known by its SQL, its arguments and the version, so none outlives a publication: when the version moves all
+    are given up and the views are made anew. Results are cached by Spark, spilling to disk, not held by the driver.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, size: int = 512):
+        self.spark, self.root, self.size, self.version, self.kept = spark, root, size, None, OrderedDict()
+        self.hits = 0
+
+    def query(self, sql: str, args: dict | list | None = None) -> DataFrame:
+        """``sql`` with :name or ? for its arguments, over the tables by their names."""
+        known = versions(self.spark, self.root)
+        if self.version is None or known[-1:] != [self.version]:
+            self.forget()
+            self.version = known[-1] if known else 0
+            show(self.spark, self.root)
+        key = (sql, json.dumps(args, sort_keys=True, default=str))
+        if key in self.kept:
+            self.hits += 1
+            self.kept.move_to_end(key)
+            return self.kept[key]
+        self.kept[key] = self.spark.sql(sql, args).persist()
+        if len(self.kept) > self.size:
+            self.kept.popitem(last=False)[1].unpersist()
+        return self.kept[key]
+
+    def forget(self) -> None:
+        while self.kept:
+            self.kept.popitem()[1].unpersist()
 
 
 def append_history(df: DataFrame, root: str, name: str, run_id: str) -> None:
