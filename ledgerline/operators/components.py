@@ -5,18 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one will do only where the master is local."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the folder that spark.checkpoint.dir names; a local one will do only where the master is local."""
+    """Materialises ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

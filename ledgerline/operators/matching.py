@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.similarity import best_pair_score
 from ..functions.text import transpositions
@@ -23,6 +24,49 @@ def block_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
     return left.join(right, "block").filter("a < b").drop("block")
 
 
+def similar_candidates(names: DataFrame, key: str, name: str, floor: float = 80, block: bool = True) -> DataFrame:
+    """Unordered pairs a, b of distinct names that may score ``floor`` or more, with the names; all that do are among them.
+
+    The score is the better Indel ratio of two forms: sorted words, and no spaces. If a ratio is t, both strings have at least
+    t / (2 - t) of the other's length, and share at least (1.5 t - 1) of both lengths, less one, of their pairs of neighbouring
+    characters. So one of the rarest pairs of each, as many as may be missing and one more, is common to both, and names meet
+    by these alone; strings too short to say so meet by a common mark. ``block``: only names with the same first word.
+    """
+    if floor < 70:
+        raise ValueError("a floor under 70 leaves no pair of characters that similar names must share")
+    t = (floor - 0.05) / 100  # scores are rounded
+    least, near = (1.5 * t - 1) * (1 + t / (2 - t)), t / (2 - t)
+    short = int(1 / least + 1e-9) / near
+    words = F.filter(F.split("n", r"\s+"), lambda w: w != "")
+    forms = names.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("n")).agg(F.min(key).alias("k"))
+    ways = F.array(F.struct(F.lit(0).alias("form"), F.array_join(F.array_sort(words), " ").alias("s")), F.struct(F.lit(1).alias("form"), F.array_join(words, "").alias("s")))
+    strings = forms.select("k", "n", (F.split("n", " ")[0] if block else F.lit("")).alias("block"), F.explode(ways).alias("w")).select("k", "block", "w.form", "w.s", F.length("w.s").alias("n_chars"))
+    pairs = F.when(F.col("n_chars") > 1, F.transform(F.sequence(F.lit(1), F.col("n_chars") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # The second time that a pair stands in a string it is another token, so sharing is counted as often as it is there.
+    counted = strings.withColumn("g", pairs).withColumn("tokens", F.transform("g", lambda g, at: F.concat(g, F.size(F.filter(F.slice("g", F.lit(1), at), lambda x: x == g)).cast("string"))))
+    tokens = counted.select("k", "block", "form", "n_chars", F.explode("tokens").alias("token"))
+    rare = tokens.groupBy("form", "token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("k", "form").orderBy("df", "token"))
+    kept = F.col("n_chars") - 1 - F.greatest(F.ceil(F.col("n_chars") * least - 1 - 1e-9), F.lit(1)) + 1
+    prefix = tokens.join(rare, ["form", "token"]).withColumn("place", place).filter(F.col("place") <= kept).select("k", "block", "form", "n_chars", "token")
+    marked = strings.filter(F.col("n_chars") <= short).select("k", "block", "form", "n_chars", F.lit("").alias("token"))
+    index = prefix.unionByName(marked)
+    left, right = index.withColumnsRenamed({"k": "a", "n_chars": "_n"}), index.withColumnsRenamed({"k": "b", "n_chars": "_m"})
+    met = left.join(right, ["form", "block", "token"]).filter((F.col("a") < F.col("b")) & (F.least("_n", "_m") >= F.greatest("_n", "_m") * near - 1e-9)).select("a", "b").distinct()
+    return met.join(forms.toDF("name_a", "a"), "a").join(forms.toDF("name_b", "b"), "b").select("a", "b", "name_a", "name_b")
+
+
+def similar_pairs(names: DataFrame, key: str, name: str, floor: float = 80, block: bool = True) -> DataFrame:
+    """The pairs of similar_candidates() that do score ``floor`` or more, with their score."""
+    return similar_candidates(names, key, name, floor, block).withColumn("score", best_pair_score("name_a", "name_b")).filter(F.col("score") >= floor)
+
+
+def equal_names(names: DataFrame, key: str, name: str) -> DataFrame:
+    """Each key but the first of those with one name, linked to the first: a, b, name_a, name_b and score 100. A link a key, not a pair of each two."""
+    forms = names.groupBy(F.col(name).alias("name_a")).agg(F.min(key).alias("a"), F.count("*").alias("_same")).filter("_same > 1").drop("_same")
+    return names.select(F.col(key).alias("b"), F.col(name).alias("name_b")).join(forms, F.col("name_a") == F.col("name_b")).filter("a <> b").select("a", "b", "name_a", "name_b", F.lit(100.0).alias("score"))
+
+
 def score_pairs(pairs: DataFrame, auto: float = 95, review: float = 80) -> DataFrame:
     return pairs.withColumn("score", best_pair_score("name_a", "name_b")).withColumn("status", band(F.col("score"), auto, review))
 

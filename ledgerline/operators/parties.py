@@ -121,6 +121,27 @@ def job_links(written: DataFrame, jobs: DataFrame, customers: DataFrame, floor:
     return joined.withColumn("job_no", F.when(F.col("status") != "unmatched", F.col("job_no")))
 
 
+def job_crosswalk(jobs: DataFrame, finance: DataFrame, links: DataFrame) -> DataFrame:
+    """One row for each job, and one for each finance code that derives no job: job_no, finance_job_code, in_finance, ops_reference_forms, ops_rows, in_ops, confidence and weakest_link.
+
+    jobs: job_no; finance: code; links: the result of job_links(). A job's confidence is the least score of its accepted
+    references, and its weakest link the method of the lowest of them (the first as written, of equals).
+    """
+    known = jobs.select("job_no").filter("job_no is not null").distinct()
+    codes = finance.select("code", finance_job(F.col("code")).alias("job_no")).distinct()
+    one = codes.filter("job_no is not null").groupBy("job_no").agg(F.min("code").alias("finance_job_code"))
+    # A job is written in few ways; the rows behind them were counted before.
+    refs = links.filter("status = 'auto'").groupBy("job_no").agg(
+        F.array_join(F.array_sort(F.collect_set("written")), ", ").alias("_forms"), F.sum("n_rows").alias("_rows"), F.min("score").alias("_least"), F.min(F.struct("score", "written", "method"))["method"].alias("_method")
+    )
+    met = known.join(one, "job_no", "left").join(refs, "job_no", "left").select(
+        "job_no", "finance_job_code", F.col("finance_job_code").isNotNull().alias("in_finance"), F.coalesce("_forms", F.lit("")).alias("ops_reference_forms"), F.coalesce("_rows", F.lit(0)).cast("long").alias("ops_rows"), F.col("_rows").isNotNull().alias("in_ops"),
+        F.least(F.lit(100.0), "_least").alias("confidence"), F.coalesce("_method", F.lit("finance derived key")).alias("weakest_link"),
+    )
+    lost = codes.join(known, "job_no", "left_anti").select(F.lit(None).cast("string").alias("job_no"), F.col("code").alias("finance_job_code"), F.lit(True).alias("in_finance"), F.lit("").alias("ops_reference_forms"), F.lit(0).cast("long").alias("ops_rows"), F.lit(False).alias("in_ops"), F.lit(0.0).alias("confidence"), F.lit("no job").alias("weakest_link"))
+    return met.unionByName(lost)
+
+
 def unlinked(jobs: DataFrame, finance: DataFrame, links: DataFrame) -> DataFrame:
     """side, value and reason of all that is not linked: jobs that finance or the shop floor lacks, and what either writes in vain.
 

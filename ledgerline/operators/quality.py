@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,7 +142,7 @@ def evaluate(spark: SparkSession, rules: list[Rule], parameters: dict | None = N
     errors.
     """
     frames, errors = {}, {}
-    log = logging.getLogger("SQLQueryContextLogger")  # which would write the stack of every rule that breaks
+    log = PySparkLogger.getLogger("SQLQueryContextLogger")  # which would write the stack of every rule that breaks
     level = log.level
     log.setLevel(logging.CRITICAL + 1)
     for r in rules:

@@ -30,29 +30,33 @@ RISK = "decimal(20,6)"
 
 
 def three_way(lines: DataFrame, as_of: str, receipt_grace: int = 5, invoice_grace: int = 30, price_tolerance: float = 0.05, quantity_tolerance: float = 0.02) -> DataFrame:
-    """``lines`` with category, value_at_risk (decimal, so sums don't depend on their order) and exception_date.
+    """``lines`` with category, value_at_risk (decimal, so sums don't depend on their order), exception_date and reason.
 
-    Needs ordered, received, received_value, invoiced, order_value (decimals), promised and received_on (dates); received
-    and invoiced are null where there is none. The first test that holds decides: nothing received, nothing invoiced, price
-    beyond tolerance, quantity beyond tolerance, matched. A line whose grace ends after as_of is not yet due.
+    Needs ordered, received, received_value, invoiced, order_value (decimals), promised, received_on and invoiced_on (dates);
+    received and invoiced are null where there is none. The first test that holds decides: nothing received, nothing invoiced,
+    price beyond tolerance, quantity beyond tolerance, matched. A line whose grace ends after as_of is not yet due. What is
+    missing dates from when it was due or received, a variance from the invoice.
     """
     today = F.lit(as_of).cast("date")
     received, ordered, worth, billed = (F.col(c).cast("double") for c in ("received", "ordered", "received_value", "invoiced"))
-    waits = F.date_add("promised", receipt_grace) > today
-    unbilled = F.date_add("received_on", invoice_grace) > today
+    receipt_due, invoice_due = F.date_add("promised", receipt_grace), F.date_add("received_on", invoice_grace)
     over = beyond(billed - worth, worth * price_tolerance)
     short = beyond(received - ordered, ordered * quantity_tolerance)
-    none = F.lit(None).cast("date")
-    verdict = lambda category, risk, date: F.struct(F.lit(category).alias("category"), risk.cast(RISK).alias("value_at_risk"), date.alias("exception_date"))
-    zero = F.lit(0)
+    none, zero = F.lit(None).cast("date"), F.lit(0)
+    day, money = (lambda c: F.date_format(c, "dd/MM/yyyy")), (lambda c: F.concat(F.lit("£"), F.format_string("%,.2f", F.round(c, 2))))
+    near = lambda c, digits: F.floor(c * 10**digits + 0.5) / 10**digits
+    share = F.format_string("%+.1f%%", near(F.try_divide((received - ordered) * 100, ordered), 1))
+    verdict = lambda category, risk, date, *told: F.struct(F.lit(category).alias("category"), risk.cast(RISK).alias("value_at_risk"), date.alias("exception_date"), F.concat(*(F.lit(t) if isinstance(t, str) else t for t in told)).alias("reason"))
     ladder = (
-        F.when(F.col("received").isNull(), F.when(waits, verdict("not yet due", zero, none)).otherwise(verdict("missing GRN", F.col("order_value"), F.col("promised"))))
-        .when(F.col("invoiced").isNull(), F.when(unbilled, verdict("not yet due", zero, none)).otherwise(verdict("missing invoice", F.col("received_value"), F.col("received_on"))))
-        .when(over, verdict("price variance", F.abs(F.col("invoiced") - F.col("received_value")), F.col("received_on")))
-        .when(short, verdict("quantity variance", F.abs(received - ordered) * worth / received, F.col("received_on")))
-        .otherwise(verdict("matched", zero, none))
-    )
-    return lines.withColumn("_v", ladder).select("*", "_v.category", "_v.value_at_risk", "_v.exception_date").drop("_v")
+        F.when(F.col("received").isNull(), F.when(receipt_due > today, verdict("not yet due", zero, none, "promised ", day("promised"), "; not due for receipt until ", day(receipt_due)))
+               .otherwise(verdict("missing GRN", F.col("order_value"), F.col("promised"), "promised ", day("promised"), ", nothing received; ", money(F.col("order_value").cast("double")), " committed")))
+        .when(F.col("invoiced").isNull(), F.when(invoice_due > today, verdict("not yet due", zero, none, "received ", day("received_on"), "; invoice not due until ", day(invoice_due)))
+              .otherwise(verdict("missing invoice", F.col("received_value"), F.col("received_on"), "received ", day("received_on"), ", not invoiced; ", money(worth), " unaccrued")))
+        .when(over, verdict("price variance", F.abs(F.col("invoiced") - F.col("received_value")), F.col("invoiced_on"), "invoiced ", money(billed), " against ", money(worth), " expected; tolerance ", money(near(worth * price_tolerance, 2))))
+        .when(short, verdict("quantity variance", F.abs(received - ordered) * worth / received, F.col("invoiced_on"), "ordered ", F.format_string("%.0f", ordered), ", received ", F.format_string("%.0f", received), " (", share, f"); tolerance {quantity_tolerance:.0%}"))
+        .otherwise(verdict("matched", zero, none, "received ", F.format_string("%.0f", received), " of ", F.format_string("%.0f", ordered), "; invoice within ", money(near(worth * price_tolerance, 2))))
+    )
+    return lines.withColumn("_v", ladder).select("*", "_v.category", "_v.value_at_risk", "_v.exception_date", "_v.reason").drop("_v")
 
 
 def both_sides(orders: DataFrame, invoices: DataFrame, order_id: str, invoice_id: str) -> DataFrame:
@@ -61,11 +65,23 @@ def both_sides(orders: DataFrame, invoices: DataFrame, order_id: str, invoice_id
     return side(orders, "PO line", order_id).unionByName(side(invoices, "invoice", invoice_id))
 
 
-def exception_headlines(table: str, rows: DataFrame, as_of: str) -> list[Headline]:
-    """The match's figures, computed in one pass over ``rows``: value at risk, lines of each category, value of each exception, and lines over 90 days.
+def headlines(engine: str, table: str, rows: DataFrame, asked: list[tuple[str, str, str]]) -> list[Headline]:
+    """Figures (key, condition, aggregate) over ``rows``, all in one pass; a sum of no rows is 0.
 
-    Each names the published table, the condition and the aggregate that verify() recomputes it with.
+    Each names the published table, the condition and the aggregate that verify() recomputes it with. An aggregate is made of
+    counts and sums.
     """
+    whole = [(key, where, a if a.startswith("count") else f"coalesce({a}, 0)") for key, where, a in asked]
+    found = rows.agg(*(F.expr(_filtered(a, where)).cast("double").alias(key) for key, where, a in whole)).first()
+    return [Headline(engine, key, found[key], table, where, a) for key, where, a in whole]
+
+
+def _filtered(aggregate: str, where: str) -> str:
+    return re.sub(r"((?:count|sum)\((?:[^()]|\([^()]*\))*\))", rf"\1 FILTER (WHERE {where})", aggregate)
+
+
+def exception_headlines(table: str, rows: DataFrame, as_of: str) -> list[Headline]:
+    """The match's figures: value at risk, lines of each category, value of each exception, and lines over 90 days."""
     risk = "round(sum(value_at_risk), 2)"
     old = f"exception_date IS NOT NULL AND datediff(DATE '{as_of}', exception_date) > 90"
     asked = [("value_at_risk", "exception_date IS NOT NULL", risk), ("over_90_days", old, "count(*)")]
@@ -74,9 +90,7 @@ def exception_headlines(table: str, rows: DataFrame, as_of: str) -> list[Headlin
         asked.append((f"{key}_lines", f"category = '{c}'", "count(*)"))
         if c not in ("matched", "not yet due"):
             asked.append((f"{key}_value", f"category = '{c}'", risk))
-    figures = [F.expr(f"count_if({where})" if a == "count(*)" else f"round(coalesce(sum(value_at_risk) FILTER (WHERE {where}), 0), 2)").cast("double").alias(key) for key, where, a in asked]
-    found = rows.agg(*figures).first()
-    return [Headline("three_way", key, found[key], table, where, a if a == "count(*)" else f"coalesce({a}, 0)") for key, where, a in asked]
+    return headlines("three_way", table, rows, asked)
 
 
 def summary(rows: DataFrame, category: str, categories: tuple[str, ...], value: str) -> DataFrame:
@@ -123,7 +137,7 @@ def verify(spark: SparkSession, headlines: list[Headline]) -> None:
     wrong = []
     for name in sorted({h.table for h in headlines}):
         own = [h for h in headlines if h.table == name]
-        tests = [re.sub(r"(count\(\*\)|sum\([^()]*\))", rf"\1 FILTER (WHERE {h.where})", h.aggregate) for h in own]
+        tests = [_filtered(h.aggregate, h.where) for h in own]
         found = spark.sql(f"SELECT {', '.join(f'CAST({t} AS DOUBLE) AS _{k}' for k, t in enumerate(tests))} FROM {name}").first()
         wrong += [f"{h.engine}.{h.key}: {h.value} published, {v} found" for h, v in zip(own, found, strict=True) if v is None or abs(v - h.value) > max(0.011, 1e-9 * abs(h.value))]
     if wrong:

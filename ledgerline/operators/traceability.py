@@ -68,3 +68,39 @@ def rollup(lines: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n_lines"), F.sum("kg").alias("kg"), kg(whole).alias("kg_traced"), F.try_divide(kg(whole), F.sum("kg")).alias("coverage"), F.count_if(~whole).alias("broken_lines"),
         F.count_if("despatched").alias("despatched_lines"), F.count_if(risk).alias("exposed_lines"), kg(risk).alias("exposed_kg"), F.count_if(gap).alias("gap_lines"), kg(gap).alias("gap_kg"),
     )
+
+
+_SHARE, _TONNES = "round(100 * sum(CASE WHEN material_chain_complete THEN kg ELSE 0 END) / nullif(sum(kg), 0), 2)", "round(sum(kg) / 1000, 3)"
+#: The figures of traced lines, of their jobs and of receipts: key, condition and aggregate. Fixed values.
+HEADLINES = {
+    "traced_lines": [
+        ("coverage", "true", _SHARE), ("coverage_exc3", "traceability_required", _SHARE), ("coverage_exc2", "NOT traceability_required", _SHARE),
+        ("exposed_kg", "compliance_exposure", _TONNES), ("exposed_kg_exc3", f"exposure = '{EXPOSURES[0]}'", _TONNES), ("exposed_kg_s355", f"exposure = '{EXPOSURES[1]}'", _TONNES), ("gap_kg", "practice_gap", _TONNES),
+        *((f"break_{link.split(': ')[1].replace(' ', '_')}", f"break_at = '{link}'", "count(*)") for link in (*LINKS, NOT_DESPATCHED)),
+    ],
+    "trace_jobs": [
+        ("exposed_jobs", "en1090_exposure", "count(*)"), ("exposed_customers", "en1090_exposure", "count(DISTINCT customer)"), ("exposed_sales", "en1090_exposure", "round(sum(sales_value), 2)"), ("gap_jobs", "practice_gap", "count(*)"),
+    ],
+    "trace_receipts": [("s355_receipts_no_31", "s355 AND NOT document_31", "count(*)")],
+}
+NO_CUSTOMER = "(no finance customer)"
+
+
+def jobs(lines: DataFrame, sales: DataFrame) -> DataFrame:
+    """Traced lines, which have a job, by job: rollup() with customer and sales_value of ``sales`` (job, customer, sales_value, unique by job; 0 where it has none), en1090_exposure and practice_gap."""
+    met = rollup(lines, ["job"]).join(sales.select("job", "customer", "sales_value"), "job", "left")
+    return met.withColumns({"customer": F.coalesce("customer", F.lit(NO_CUSTOMER)), "sales_value": F.coalesce("sales_value", F.lit(0)), "en1090_exposure": F.col("exposed_lines") > 0, "practice_gap": F.col("gap_lines") > 0})
+
+
+def receipts_shown(receipts: DataFrame) -> DataFrame:
+    """``receipts`` (with grade and mill_cert_ref) with s355 and document_31: whether there is an inspection document."""
+    return receipts.withColumns({"s355": F.coalesce(F.col("grade"), F.lit("")).startswith("S355"), "document_31": F.col("mill_cert_ref").isNotNull()})
+
+
+def coverage_by(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Kilograms and the share of them whose chain is complete, in all and of what must be traced, by month, site, class or any other columns."""
+    kg = lambda test: F.sum(F.when(test, F.col("kg")).otherwise(0.0))
+    whole, needed = F.col("material_chain_complete"), F.col("traceability_required")
+    return lines.groupBy(*by).agg(
+        F.count("*").alias("n_lines"), F.sum("kg").alias("kg"), F.try_divide(kg(whole), F.sum("kg")).alias("coverage"), kg(needed).alias("required_kg"), F.try_divide(kg(whole & needed), kg(needed)).alias("required_coverage"), kg(F.col("compliance_exposure")).alias("exposed_kg")
+    )

@@ -19,14 +19,31 @@ def name_pairs_levenshtein(spark, sf):
     return matching.block_pairs(read(spark, sf, "part"), "p_partkey", "p_name").select("a", "b", F.levenshtein("name_a", "name_b").alias("distance"))
 
 
-@query("name_pairs_indel")
+def _lcs(a: str, b: str) -> str:
+    """The longest common subsequence of two texts, as a row of the usual table for each character of the second."""
+    codes = lambda x: f"list_transform(range(1, length({x}) + 1), lambda i: unicode(substr({x}, i, 1)))"
+    row = f"list_transform(range(1, length({a}) + 1), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda i: unicode(substr({a}, i, 1)) = c[1]), lambda i: coalesce(row[i - 1], 0) + 1)), 0)))"
+    return f"list_reduce([list_transform(range(length({a})), lambda i: 0)] || list_transform({codes(b)}, lambda x: [x]), lambda row, c: {row})[-1]"
+
+
+_SCORED = _PAIRS + f""", alike AS (SELECT *, array_to_string(list_sort(string_split(name_a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(name_b, ' ')), ' ') AS sb, replace(name_a, ' ', '') AS ca, replace(name_b, ' ', '') AS cb FROM pairs),
+scored AS (SELECT a, b, name_a, name_b, round(greatest(200.0::DOUBLE * {_lcs("sa", "sb")} / (length(sa) + length(sb)), 200.0::DOUBLE * {_lcs("ca", "cb")} / (length(ca) + length(cb))), 1) AS score FROM alike)"""
+_BANDS = "CASE WHEN score >= 90 THEN 'auto' WHEN score >= 70 THEN 'review' ELSE 'unmatched' END"
+
+
+@query("name_pairs_indel", f"{_SCORED} SELECT *, {_BANDS} AS status FROM scored")
 def name_pairs_indel(spark, sf):
     return matching.score_pairs(matching.block_pairs(read(spark, sf, "part"), "p_partkey", "p_name"), 90, 70)
 
 
-@query("match_review_queue")
+@query("name_pairs_similar", f"{_SCORED} SELECT * FROM scored WHERE score >= 70")
+def name_pairs_similar(spark, sf):
+    return matching.similar_pairs(read(spark, sf, "part"), "p_partkey", "p_name", 70)
+
+
+@query("match_review_queue", f"{_SCORED} SELECT *, 'review' AS status, CAST(row_number() OVER (ORDER BY score DESC, a, b) AS INT) AS place FROM scored WHERE score >= 70 AND score < 90")
 def match_review_queue(spark, sf):
-    return matching.review_queue(name_pairs_indel(spark, sf), ["a", "b"])
+    return matching.review_queue(name_pairs_similar(spark, sf).withColumn("status", matching.band(F.col("score"), 90, 70)), ["a", "b"])
 
 
 @query("name_components", _PAIRS.replace("WITH f", "WITH RECURSIVE f") + """

@@ -14,7 +14,7 @@ _M = "CAST({} AS DECIMAL(12,2))"
 
 
 def three_way_lines(spark, sf):
-    """Orders, those without lines too, with what their lines say was ordered, received (not returned) and invoiced (received, status F)."""
+    """Orders, those without lines too, with what their lines say was ordered, received (not returned) and invoiced (received, status F), nine days after."""
     line = read(spark, sf, "lineitem")
     money = lambda c: F.col(c).cast("decimal(12,2)")
     received, billed = F.col("l_returnflag") != "R", (F.col("l_returnflag") != "R") & (F.col("l_linestatus") == "F")
@@ -22,11 +22,11 @@ def three_way_lines(spark, sf):
         F.sum(money("l_quantity")).alias("ordered"), F.sum(F.when(received, money("l_quantity"))).alias("received"), F.sum(F.when(received, money("l_extendedprice"))).alias("received_value"),
         F.sum(money("l_extendedprice")).alias("line_value"),
         F.sum(F.when(billed, (money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)")) * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,6)"))).alias("invoiced"),
-        F.max(F.when(received, F.col("l_shipdate").cast("date"))).alias("received_on"),
+        F.max(F.when(received, F.col("l_shipdate").cast("date"))).alias("received_on"), F.max(F.when(billed, F.date_add(F.col("l_shipdate").cast("date"), 9))).alias("invoiced_on"),
     )
     joined = read(spark, sf, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(
-        "o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("promised"), "received_on", F.coalesce("ordered", F.lit(0)).alias("ordered"), "received", "received_value", "invoiced",
+        "o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("promised"), "received_on", "invoiced_on", F.coalesce("ordered", F.lit(0)).alias("ordered"), "received", "received_value", "invoiced",
         F.coalesce("line_value", money("o_totalprice")).alias("order_value"),
     )
 
@@ -35,15 +35,15 @@ _THREE = f"""
 WITH sums AS (SELECT l_orderkey, sum({_M.format('l_quantity')}) AS ordered, sum({_M.format('l_quantity')}) FILTER (WHERE l_returnflag <> 'R') AS received,
 sum({_M.format('l_extendedprice')}) FILTER (WHERE l_returnflag <> 'R') AS worth, sum({_M.format('l_extendedprice')}) AS line_value,
 sum(CAST({_M.format('l_extendedprice')} * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,6))) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS invoiced,
-max(CAST(l_shipdate AS DATE)) FILTER (WHERE l_returnflag <> 'R') AS received_on FROM lineitem GROUP BY 1),
-lines AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS promised, received_on, coalesce(ordered, 0) AS ordered, received, worth, invoiced, coalesce(line_value, {_M.format('o_totalprice')}) AS order_value,
+max(CAST(l_shipdate AS DATE)) FILTER (WHERE l_returnflag <> 'R') AS received_on, max(CAST(l_shipdate AS DATE) + 9) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS invoiced_on FROM lineitem GROUP BY 1),
+lines AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS promised, received_on, invoiced_on, coalesce(ordered, 0) AS ordered, received, worth, invoiced, coalesce(line_value, {_M.format('o_totalprice')}) AS order_value,
 CAST(received AS DOUBLE) AS r, CAST(coalesce(ordered, 0) AS DOUBLE) AS o, CAST(worth AS DOUBLE) AS w, CAST(invoiced AS DOUBLE) AS i FROM orders LEFT JOIN sums ON o_orderkey = l_orderkey),
 judged AS (SELECT *, CASE WHEN received IS NULL THEN CASE WHEN promised + 5 > DATE '{AS_OF}' THEN 'not yet due' ELSE 'missing GRN' END
 WHEN invoiced IS NULL THEN CASE WHEN received_on + 30 > DATE '{AS_OF}' THEN 'not yet due' ELSE 'missing invoice' END
 WHEN abs(i - w) > w * 0.05::DOUBLE + greatest(1.0::DOUBLE, w * 0.05::DOUBLE) * 1e-9 THEN 'price variance'
 WHEN abs(r - o) > o * 0.02::DOUBLE + greatest(1.0::DOUBLE, o * 0.02::DOUBLE) * 1e-9 THEN 'quantity variance' ELSE 'matched' END AS category FROM lines),
 risked AS (SELECT *, CASE category WHEN 'missing GRN' THEN CAST(order_value AS DECIMAL(20,6)) WHEN 'missing invoice' THEN CAST(worth AS DECIMAL(20,6)) WHEN 'price variance' THEN CAST(abs(invoiced - worth) AS DECIMAL(20,6)) WHEN 'quantity variance' THEN CAST(abs(r - o) * w / r AS DECIMAL(20,6)) ELSE CAST(0 AS DECIMAL(20,6)) END AS value_at_risk,
-CASE category WHEN 'missing GRN' THEN promised WHEN 'not yet due' THEN NULL WHEN 'matched' THEN NULL ELSE received_on END AS exception_date FROM judged),
+CASE category WHEN 'missing GRN' THEN promised WHEN 'missing invoice' THEN received_on WHEN 'price variance' THEN invoiced_on WHEN 'quantity variance' THEN invoiced_on END AS exception_date FROM judged),
 invoices AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS line_id, {_M.format('l_extendedprice')} AS amount, CAST(l_shipdate AS DATE) AS invoiced_on, CASE l_linenumber WHEN 7 THEN NULL WHEN 6 THEN l_orderkey + 100000000 ELSE l_orderkey END AS po_no, l_returnflag AS nominal FROM lineitem),
 whole AS (SELECT 'PO line' AS line_type, CAST(o_orderkey AS VARCHAR) AS line_id, category, value_at_risk, exception_date FROM risked
 UNION ALL SELECT 'invoice', line_id, 'invoice with no PO', CAST(amount AS DECIMAL(20,6)), invoiced_on FROM invoices v WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = po_no) AND nominal <> 'N')
@@ -60,6 +60,20 @@ def three_way_match(spark, sf):
     return matched_lines(spark, sf).select("o_orderkey", "category", *doubles, "exception_date")
 
 
+_DAY = "strftime({}, '%d/%m/%Y')"
+_MONEY = "'£' || printf('%,.2f', round(CAST({} AS DOUBLE), 2))"
+
+
+@query("three_way_reasons", _THREE + f"""
+SELECT o_orderkey, category, CASE WHEN received IS NULL THEN CASE category WHEN 'not yet due' THEN 'promised ' || {_DAY.format("promised")} || '; not due for receipt until ' || {_DAY.format("promised + 5")} ELSE 'promised ' || {_DAY.format("promised")} || ', nothing received; ' || {_MONEY.format("order_value")} || ' committed' END
+WHEN invoiced IS NULL THEN CASE category WHEN 'not yet due' THEN 'received ' || {_DAY.format("received_on")} || '; invoice not due until ' || {_DAY.format("received_on + 30")} ELSE 'received ' || {_DAY.format("received_on")} || ', not invoiced; ' || {_MONEY.format("w")} || ' unaccrued' END
+WHEN category = 'price variance' THEN 'invoiced ' || {_MONEY.format("i")} || ' against ' || {_MONEY.format("w")} || ' expected; tolerance ' || {_MONEY.format("floor(w * 0.05::DOUBLE * 100 + 0.5) / 100")}
+WHEN category = 'quantity variance' THEN 'ordered ' || printf('%.0f', o) || ', received ' || printf('%.0f', r) || ' (' || printf('%+.1f', floor((r - o) * 100 / o * 10 + 0.5) / 10) || '%); tolerance 2%'
+ELSE 'received ' || printf('%.0f', r) || ' of ' || printf('%.0f', o) || '; invoice within ' || {_MONEY.format("floor(w * 0.05::DOUBLE * 100 + 0.5) / 100")} END AS reason FROM risked""")
+def three_way_reasons(spark, sf):
+    return matched_lines(spark, sf).select("o_orderkey", "category", "reason")
+
+
 def whole_match(spark, sf):
     """Order lines and invoices that no order accounts for."""
     invoices = _invoices(spark, sf)

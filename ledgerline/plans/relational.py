@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import joins
+from ..operators import provenance
 from ..operators.provenance import number_tokens
 from ..sources import publish
 from .registry import query, read
@@ -127,6 +128,29 @@ def number_tokens_query(spark, sf):
     return number_tokens(read(spark, sf, "documents"), "doc_id", "text")
 
 
+#: A sentence on each order, with identifiers among its figures. SQL that both engines read.
+_SAID = """
+SELECT o_orderkey, concat('On ', CAST(CAST(o_orderdate AS DATE) AS {text}), ' job J-24-', lpad(CAST(o_orderkey % 10000 AS {text}), 4, '0'), ' (DQ-0', CAST(o_orderkey % 9 AS {text}), CASE WHEN o_orderkey % 3 = 0 THEN ', EN 1090-2, clause 6.2.1' ELSE '' END,
+') billed ', CAST(o_custkey AS {text}), ',250.75 for ', CAST(o_orderkey % 40 AS {text}), ' lines in phases 1, 2 and 3, ', CAST(o_orderkey % 7 AS {text}), ' of 12 late; Page ', CAST(o_orderkey % 5 AS {text}), ', M', CAST(o_orderkey % 12 AS {text}), ', 31/12/2024.') AS said FROM orders"""
+_MASKED = "said"
+for _, _pattern in provenance.MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', ' ', 'g')"
+
+
+def _said(spark, sf):
+    return spark.sql(_SAID.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=read(spark, sf, "orders"))
+
+
+@query("figure_tokens", f"SELECT o_orderkey, tokens[i] AS token, i - 1 AS place FROM (SELECT o_orderkey, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT o_orderkey, regexp_extract_all({_MASKED}, '[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?') AS tokens FROM ({_SAID.format(text='VARCHAR')})))")
+def figure_tokens(spark, sf):
+    return provenance.figure_tokens(_said(spark, sf), "o_orderkey", "said")
+
+
+@query("identifier_kinds", "SELECT * FROM (SELECT o_orderkey, unnest(['date', 'job', 'rule', 'standard', 'clause', 'page', 'month', 'phase']) AS kind, CAST(unnest([2, 1, 1, CAST(o_orderkey % 3 = 0 AS INT), CAST(o_orderkey % 3 = 0 AS INT), 1, 1, 1]) AS BIGINT) AS n FROM orders) WHERE n > 0")
+def identifier_kinds(spark, sf):
+    return provenance.structure(_said(spark, sf), "o_orderkey", "said")
+
+
 @query("one_to_one_merge", "SELECT o_orderkey, o_custkey, n_lines, quantity FROM orders JOIN (SELECT l_orderkey, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def one_to_one_merge(spark, sf):
     sums = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))

@@ -167,11 +167,46 @@ def replace_slices(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def described(spark: SparkSession, views: dict[str, str]) -> DataFrame:
-    """name and comment of the catalogue's tables and views; a name of ``views`` that is not there is an error."""
-    found = {t.name for t in spark.catalog.listTables()}
-    missing = sorted(set(views) - found)
-    if missing:
-        raise ValueError(f"described but not built: {missing}")
-    rows = [(name, text, len(spark.catalog.listColumns(name))) for name, text in sorted(views.items())]
-    return spark.createDataFrame(rows, "name string, comment string, n_columns int")
+def delete(spark: SparkSession, root: str) -> None:
+    """Deletes everything that was published at ``root``, and the databases of the catalogue that were made of it."""
+    for d in spark.catalog.listDatabases():
+        if d.locationUri and f"{root.split(':', 1)[-1].lstrip('/')}/catalogue/" in d.locationUri:
+            spark.sql(f"DROP DATABASE IF EXISTS {d.name} CASCADE")
+    fs, path = _fs(spark, root)
+    fs.delete(path(root), True)
+
+
+def expose(spark: SparkSession, root: str, database: str) -> list[str]:
+    """A database of the catalogue whose tables are those published at ``root``; gives their names."""
+    tables = manifest(spark, root)["tables"]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/catalogue/{database}'")
+    for name, t in tables.items():
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+        spark.sql(f"CREATE TABLE {database}.{name} USING parquet LOCATION '{root}/run={t['run']}/{name}'")
+    return sorted(tables)
+
+
+def create_views(spark: SparkSession, database: str, views: dict[str, str], comments: dict[str, str]) -> SparkSession:
+    """Views of a database, in order, each with its comment in the catalogue; their SQL names its tables and earlier views.
+
+    Gives a session of their own, in which these names mean the database's and not temporary views of ``spark``.
+    """
+    own = spark.newSession()
+    own.catalog.setCurrentDatabase(database)
+    for name, sql in views.items():
+        text = comments[name].replace("\\", "\\\\").replace("'", "\\'")
+        own.sql(f"CREATE OR REPLACE VIEW {database}.{name} COMMENT '{text}' AS {sql}")
+    return own
+
+
+def introspected(spark: SparkSession, database: str) -> DataFrame:
+    """name, kind (table or view), comment and n_columns of what a database holds, as the catalogue has them."""
+    rows = [(t.name, "view" if t.tableType == "VIEW" else "table", t.description, len(spark.catalog.listColumns(f"{database}.{t.name}"))) for t in spark.catalog.listTables(database) if not t.isTemporary]
+    return spark.createDataFrame(rows, "name string, kind string, comment string, n_columns int")
+
+
+def assert_described(spark: SparkSession, database: str, comments: dict[str, str]) -> None:
+    """Every view of the database has the comment that it is given here, and there is no other."""
+    built = {r.name: r.comment for r in introspected(spark, database).filter("kind = 'view'").collect()}
+    if built != comments:
+        raise ValueError(f"views built and described differ: {sorted(set(built.items()) ^ set(comments.items()))}")

@@ -165,8 +165,6 @@ def test_headlines_and_marts_refuse_what_does_not_add_up(spark):
         reconcile.verify(spark, [reconcile.Headline("e", "k", 4, "five", "true", "count(*)")])
     with pytest.raises(ValueError, match="built but not described"):
         marts.build(spark, {"v": "SELECT 1"}, [])
-    kpi = marts.Kpi("K", "n", "o", "word " * 20, "abs_lower", "SELECT 1", 2.0)
-    assert [marts.status(kpi, v) for v in (-2, 3, None)] == ["on target", "off target", "no data"]
 
 
 def test_tolerance_edges(spark):
@@ -183,7 +181,12 @@ def test_joins_keep_rows(spark):
 
 def test_provenance():
     assert provenance.attribute(["1", "2", "2", "9"], [("2", "b"), ("1", "a"), ("2", "c")]) == ["a", "c", "b", None]
-    assert "2024" not in provenance.masked("on 2024-03-01, DQ-12 and J-24-0871: 5") and (provenance.Traced(3.0, "t") * 2).origin == "t"
+
+
+def test_identifiers_are_no_figures(spark):
+    df = spark.createDataFrame([(1, "on 2024-03-01, DQ-12 and J-24-0871: 5 of 1,200"), (2, None), (3, "EN 1090-2 clause 5.2, 3 March 2025, phases 1, 2 and 3; 7.5")], "id int, text string")
+    assert sorted((r.id, r.token) for r in provenance.figure_tokens(df, "id", "text").collect()) == [(1, "1,200"), (1, "5"), (3, "7.5")]
+    assert {(r.id, r.kind): r.n for r in provenance.structure(df, "id", "text").collect()} == {(1, "date"): 1, (1, "rule"): 1, (1, "job"): 1, (3, "standard"): 1, (3, "clause"): 1, (3, "date"): 1, (3, "phase"): 1}
 
 
 def test_config(spark, tmp_path):
