@@ -104,7 +104,9 @@ def only_rows(docs: DataFrame, kept: DataFrame, h: Column, *first: Column) -> Da
     """``docs`` with one row for each row (doc_id, h) of ``kept``: the first by ``first`` of those with that doc_id and hash."""
     doc = F.col("doc_id").cast("long")
     key = F.struct(F.coalesce(doc, F.lit(0)).alias("id"), doc.isNull().alias("none"))
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), h.alias("h"), F.struct(F.lit(0), *first, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("place"))
+    # Maps and variants can't be hashed, but their JSON can.
+    told = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if re.search("map<|variant", kind) else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), h.alias("h"), F.struct(F.lit(0), *first, F.xxhash64(*told)).alias("place"))
     # Rows and verdicts meet by the same columns that number the rows, so texts are shuffled once.
     met = named.join(kept.select(key.alias("key"), "h").hint("shuffle_hash"), ["key", "h"], "left_semi")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("key", "h").orderBy("place")))

@@ -1,12 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame functions alone.
 
-Documents are put in a random order by a hash and cut into blocks, ranges of that hash. A source's target fixes how often
-its blocks are drawn: whole passes over the source and one partial pass, which ends within a document so the target is met
-exactly. The block draws of all sources are the population of the tree's root; each node deals half of its draws to its
-left child, a multivariate hypergeometric draw made source by source by inverting the distribution function, until the
-leaves hold the exact quotas of the output shards. Shards take disjoint stretches of each source's permuted draws and
-order what they hold by a hash. Running sums are made over blocks of a source and over documents of a block, so no task
-holds a source. What comes back is the same in every run.
+Documents are put in a random order by a hash and cut into blocks, ranges of that hash; so a source's blocks are permuted. Its
+blocks are the quotas of the tree's root: each node deals half of its blocks to its left child, a multivariate hypergeometric
+draw made source by source by inverting the distribution function, until the leaves hold the exact quotas of the output
+shards. Each shard takes its quota as a stretch of the source's permuted blocks, disjoint from the others', and draws its part
+of the source's target from it: whole passes over the stretch, and a partial pass from its beginning, which ends within a
+document so that the shards' words sum to the target. A shard orders what it has drawn by a hash. Running sums are made over
+blocks of a source and over documents of a block, so no task holds a source. What comes back is the same in every run.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from .common import cut
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix"
-BLOCK_DOCS, MAX_BLOCKS, SHARD_DOCS, MAX_SHARDS = 1024, 1 << 16, 1 << 16, 1 << 12
+#: Documents for each block and shard, and the most of both: beyond, blocks and shards grow and nothing is left out.
+BLOCK_DOCS, MAX_BLOCKS, SHARD_DOCS, MAX_SHARDS = 64, 1 << 16, 1 << 16, 1 << 12
 HASH_BITS = 60
 SIZE = r"[^\x20\x09-\x0D]+"
 
@@ -72,19 +73,20 @@ def hypergeometric(u: Column, population: Column, marked: Column, draws: Column)
 
 
 def _left(node: Column, quotas: Column, depth: Column) -> Column:
-    """The left child's quotas: half of the node's draws, dealt source by source."""
+    """The left child's quotas: half of the node's blocks, dealt source by source."""
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda s, q: s + q)
     zero = F.struct(total.alias("n"), F.floor(total / 2).cast("long").alias("d"), F.array().cast("array<bigint>").alias("out"))
 
     def deal(s, q):
-        u = (F.pmod(F.xxhash64(F.lit(SEED), depth, node, F.size(s["out"])), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        named = F.concat_ws(":", F.lit(SEED), depth.cast("string"), node.cast("string"), F.size(s["out"]).cast("string"))
+        u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
         return _let(hypergeometric(u, s["n"], q, s["d"]), lambda x: F.struct((s["n"] - q).alias("n"), (s["d"] - x).alias("d"), F.concat(s["out"], F.array(x)).alias("out")))
 
     return F.aggregate(quotas, zero, deal, lambda s: s["out"])
 
 
 def shard_quotas(root: DataFrame, shards: int) -> DataFrame:
-    """(node, quotas) for each of ``shards`` leaves, a power of two, from one row with the sources' draws as ``quotas``."""
+    """(node, quotas) for each of ``shards`` leaves, a power of two, from one row with the sources' blocks as ``quotas``."""
     tree, depth = root.select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"), "quotas"), 0
     left, right = _left(F.col("node"), F.col("quotas"), F.col("depth")), F.zip_with("quotas", "left", lambda q, x: q - x)
     child = lambda k, quotas: F.struct((2 * F.col("node") + k).alias("node"), (F.col("depth") + 1).alias("depth"), quotas.alias("quotas"))
@@ -119,14 +121,23 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _leaves(placed: DataFrame, shards: int) -> DataFrame:
+    """node, rank and end: how many of a source's blocks the shards up to this one take, in order."""
+    counts = placed.groupBy("rank").agg(F.max("n_blocks").alias("q"))
+    root = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "q"))), lambda x: x["q"]).alias("quotas"))
+    dealt = shard_quotas(root, shards).select("node", F.posexplode("quotas").alias("place", "q"))
+    return dealt.select("node", (F.col("place") + 1).alias("rank"), F.sum("q").over(Window.partitionBy("place").orderBy("node")).alias("end"))
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, h (a hash of the text), source, size, source_size, target, taken and draws (shard, pass, words, place).
+    """One row per row of ``docs``: doc_id, h (a hash of the text), source, size, source_size, target, shard, taken and draws (shard, pass, words, place).
 
     Size is the number of runs without ASCII white space; null and empty texts have 0 and are never drawn. Sources are
     ranked by code point, null last, and weigh ``weights`` in turn; together they get ``share`` of all sizes, none more
     than ``cap`` times its own, the excess reshared by weight. A draw takes a whole document, or its first words where the
-    partial pass ends; taken is the sum. No document is taken more than ceil(target / source_size) times its size. Repeated
-    rows are rows of their own; an empty table gives an empty result; other columns are ignored.
+    partial pass of its shard ends; taken is the sum of the draws. No document is taken more than ceil(target / source_size)
+    times its size. Repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
+    A node of the tree carries a number for each source, so sources may be thousands, not millions.
     """
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
     slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("h"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SIZE)).cast("long").alias("size"), hashed.alias("hash")))
@@ -139,28 +150,31 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     run = Window.partitionBy("source").orderBy("block")
     placed = blocks.select(
-        F.col("source"), "block", F.coalesce(F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.col("source"), "block", "words", F.coalesce(F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         (F.row_number().over(run) - 1).cast("long").alias("ordinal"), F.count("*").over(Window.partitionBy("source")).alias("n_blocks"),
     ).alias("b").join(sources.select("*", whole.alias("passes"), (F.floor("target").cast("long") - whole * F.col("source_size")).alias("rest")).alias("s"), F.expr("b.source <=> s.source")).drop(F.col("s.source"))
     placed = cut(placed)
-    counts = placed.groupBy("rank").agg((F.max("passes") * F.max("n_blocks") + F.count_if(F.col("before") < F.col("rest"))).alias("q"))
-    root = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "q"))), lambda x: x["q"]).alias("quotas"))
-    leaves = shard_quotas(root, shards).select("node", F.posexplode("quotas").alias("place", "q"))
-    ends = leaves.select("place", F.sum("q").over(Window.partitionBy("place").orderBy("node")).alias("end")).groupBy("place").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    shard_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.size(F.filter("ends", lambda e: e <= p * F.col("n_blocks") + F.col("ordinal"))))
-    dealt = placed.join(ends, placed["rank"] == ends["place"] + 1).select("source", "block", "before", "source_size", "target", "passes", "rest", shard_of.alias("shards"))
+    # A source's ends, one for each shard, tell where each of its blocks goes.
+    ends = _leaves(placed, shards).groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
+    dealt = placed.join(ends, "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("ordinal"))).cast("int"))
+    stretch = Window.partitionBy("source", "shard")
+    exact = lambda c: c.cast("decimal(19,0)")
+    upto = lambda words: F.when(F.col("source_size") > 0, F.floor(exact(F.col("rest")) * exact(words) / exact(F.col("source_size")))).otherwise(F.lit(0)).cast("long")
+    dealt = dealt.withColumns({"first": F.min("before").over(stretch), "last": F.max(F.col("before") + F.col("words")).over(stretch)})
+    # What a shard's partial pass takes of a source: its part of the rest, so that the parts sum to it.
+    dealt = dealt.select("source", "block", "shard", "source_size", "target", "passes", (F.col("before") - F.col("first")).alias("before"), (upto(F.col("last")) - upto(F.col("first"))).alias("rest"))
     rows = blocked.alias("d").join(dealt.alias("k"), F.expr("d.source <=> k.source and d.block = k.block")).drop(F.col("k.source")).drop(F.col("k.block"))
     inner = Window.partitionBy("source", "block").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     partial = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("before")))
 
-    def draw(shard, p):
+    def draw(p):
         words = F.when(p < F.col("passes"), F.col("size")).otherwise(partial)
-        return F.struct(shard.cast("int").alias("shard"), p.cast("int").alias("pass"), words.cast("long").alias("words"), F.xxhash64(F.lit(SEED), shard, F.col("doc_id"), p).alias("place"))
+        return F.struct(F.col("shard").alias("shard"), p.cast("int").alias("pass"), words.cast("long").alias("words"), F.xxhash64(F.lit(SEED), F.col("shard"), F.col("doc_id"), p).alias("place"))
 
-    draws = F.filter(F.transform("shards", draw), lambda x: x["words"] > 0)
+    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), draw), lambda x: x["words"] > 0)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return at.withColumn("draws", draws).select("doc_id", "h", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return at.withColumn("draws", draws).select("doc_id", "h", "source", "size", "source_size", "target", "shard", taken.alias("taken"), "draws")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -41,7 +41,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +111,34 @@ WITH texts AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_repla
 ranked AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM texts)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM ranked
 """,
-    "op8_mixture": """
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, CAST('0x' || substr(md5('mix:' || doc_id), 1, 15) AS BIGINT) AS hash FROM documents),
+    "op8_mixture": f"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, CAST('0x' || substr(md5('mix:' || doc_id), 1, 15) AS BIGINT) AS hash FROM documents),
+shape AS (SELECT greatest(0, CAST(ceil(log2(count(*) / {mixture.BLOCK_DOCS}.0)) AS INT)) AS bits, greatest(4, CAST(ceil(log2(count(*) / {mixture.SHARD_DOCS}.0)) AS INT)) AS levels FROM sized),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2.0::DOUBLE AS full_size FROM sources),
 levels AS (SELECT *, row_number() OVER w AS place, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(full_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM weighed WINDOW w AS (ORDER BY full_size / weight, rank)),
 chosen AS (SELECT arg_min(level, place) AS level FROM levels WHERE level * weight <= full_size),
-aimed AS (SELECT source, source_size, CAST(least(full_size, coalesce(c.level * weight, full_size)) AS DOUBLE) AS target FROM levels CROSS JOIN chosen c),
-ordered AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS passes, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized d JOIN aimed a ON d.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken FROM ordered
+aimed AS (SELECT source, rank, source_size, CAST(least(full_size, coalesce(c.level * weight, full_size)) AS DOUBLE) AS target FROM levels CROSS JOIN chosen c),
+passed AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS passes FROM aimed),
+blocked AS (SELECT d.*, rank, source_size, target, passes, CAST(floor(target) AS BIGINT) - passes * source_size AS rest, hash >> (60 - bits) AS block FROM sized d JOIN passed a ON d.source IS NOT DISTINCT FROM a.source CROSS JOIN shape),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY block) - 1 AS ordinal, coalesce(sum(words) OVER (PARTITION BY rank ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER (PARTITION BY rank) AS n_blocks FROM (SELECT rank, block, any_value(source_size) AS source_size, any_value(rest) AS rest, sum(size) AS words FROM blocked GROUP BY 1, 2)),
+root AS (SELECT list(n_blocks ORDER BY rank) AS quotas FROM (SELECT DISTINCT rank, n_blocks FROM blocks)),
+tree AS (
+  SELECT 0 AS depth, 0::BIGINT AS node, quotas, []::BIGINT[] AS dealt, CAST(list_sum(quotas) AS BIGINT) AS n, CAST(list_sum(quotas) // 2 AS BIGINT) AS d FROM root
+  UNION ALL
+  SELECT CASE WHEN done THEN depth + 1 ELSE depth END, CASE WHEN done THEN 2 * node + side ELSE node END, own, CASE WHEN done THEN []::BIGINT[] ELSE list_append(dealt, x) END,
+    CASE WHEN done THEN CAST(list_sum(own) AS BIGINT) ELSE n - k END, CASE WHEN done THEN CAST(list_sum(own) // 2 AS BIGINT) ELSE d - x END FROM (
+    SELECT *, CASE WHEN NOT done THEN quotas WHEN side = 0 THEN dealt ELSE list_transform(range(1, len(quotas) + 1), lambda i: quotas[i] - dealt[i]) END AS own,
+      CASE WHEN NOT done THEN coalesce(list_filter(range(lo, hi + 1), lambda y: list_sum(list_transform(range(lo, y + 1), lambda z: exp(lgamma(k + 1) - lgamma(z + 1) - lgamma(k - z + 1) + lgamma(n - k + 1) - lgamma(d - z + 1) - lgamma(n - k - d + z + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1)))) >= u)[1], hi) END AS x FROM (
+      SELECT *, greatest(0, d - (n - k)) AS lo, least(d, k) AS hi, unnest(CASE WHEN done THEN [0, 1] ELSE [0] END) AS side FROM (
+        SELECT t.*, len(dealt) = len(quotas) AS done, coalesce(quotas[len(dealt) + 1], 0) AS k, (CAST('0x' || substr(md5(concat_ws(':', 'mix', depth, node, len(dealt))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM tree t CROSS JOIN shape WHERE depth < levels) AS a) AS b) AS c),
+leaves AS (SELECT node, unnest(range(1, len(quotas) + 1)) AS rank, unnest(quotas) AS q FROM tree CROSS JOIN shape WHERE depth = levels AND len(dealt) = 0),
+ends AS (SELECT node, rank, sum(q) OVER (PARTITION BY rank ORDER BY node) AS upto FROM leaves),
+stretched AS (SELECT b.rank, b.block, before, words, source_size, rest, CAST(count(e.node) AS INT) AS shard FROM blocks b LEFT JOIN ends e ON e.rank = b.rank AND e.upto <= ordinal GROUP BY ALL),
+shared AS (SELECT *, min(before) OVER w AS since, max(before + words) OVER w AS until FROM stretched WINDOW w AS (PARTITION BY rank, shard)),
+parts AS (SELECT rank, block, shard, before - since AS ahead, CASE WHEN source_size > 0 THEN CAST(rest AS HUGEINT) * until // source_size - CAST(rest AS HUGEINT) * since // source_size ELSE 0 END AS part FROM shared),
+ordered AS (SELECT b.*, shard, part - ahead - coalesce(sum(size) OVER (PARTITION BY b.rank, b.block ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM blocked b JOIN parts p ON p.rank = b.rank AND p.block = b.block)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, room)) AS BIGINT) AS taken, shard FROM ordered
 """,
     "op10_line_dedup": f"""
 WITH lines AS (SELECT doc_id, pos, parts[pos] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
