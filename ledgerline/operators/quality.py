@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,39 +56,101 @@ def from_yaml(config: dict, functions: dict[str, Callable] | None = None) -> lis
     return rules
 
 
-def not_null(table: str, key: str, column: str) -> str:
-    return f"SELECT {key} AS record_key, {column} IS NOT NULL AS passed, CAST({column} AS STRING) AS observed FROM {table}"
+class RowCheck(str):
+    """A check of each row of a table alone, as SQL text; rules of one table are evaluated in one scan of it."""
 
+    def __new__(cls, table: str, key: str, test: str, observed: str = "NULL"):
+        self = super().__new__(cls, f"SELECT {key} AS record_key, {test} AS passed, CAST({observed} AS STRING) AS observed FROM {table}")
+        self.table, self.key, self.test, self.observed = table, key, test, observed
+        return self
 
-def predicate(table: str, key: str, test: str, observed: str = "NULL") -> str:
-    return f"SELECT {key} AS record_key, {test} AS passed, CAST({observed} AS STRING) AS observed FROM {table}"
+    def given(self, parameters: dict) -> RowCheck:
+        return RowCheck(*(substituted(x, parameters) for x in (self.table, self.key, self.test, self.observed)))
+
+
+class GroupCheck(str):
+    """A check of each group of a table's rows, as SQL text; rules of one table and one grouping are evaluated in one aggregation."""
+
+    def __new__(cls, table: str, keys: tuple[str, ...], test: str, observed: str):
+        key = f"concat_ws('/', {', '.join(keys)})" if len(keys) > 1 else keys[0]
+        self = super().__new__(cls, f"SELECT {key} AS record_key, {test} AS passed, {observed} AS observed FROM {table} GROUP BY {', '.join(keys)}")
+        self.table, self.keys, self.key, self.test, self.observed = table, keys, key, test, observed
+        return self
+
+    def given(self, parameters: dict) -> GroupCheck:
+        return GroupCheck(substituted(self.table, parameters), self.keys, substituted(self.test, parameters), substituted(self.observed, parameters))
+
+
+def not_null(table: str, key: str, column: str) -> RowCheck:
+    return RowCheck(table, key, f"{column} IS NOT NULL", column)
+
+
+def predicate(table: str, key: str, test: str, observed: str = "NULL") -> RowCheck:
+    return RowCheck(table, key, test, observed)
 
 
 def exists_in(child: str, key: str, column: str, parent: str, parent_column: str) -> str:
     return f"SELECT c.{key} AS record_key, p.k IS NOT NULL AS passed, CAST(c.{column} AS STRING) AS observed FROM {child} c LEFT JOIN (SELECT DISTINCT {parent_column} AS k FROM {parent}) p ON c.{column} = p.k"
 
 
-def one_value(table: str, key: str, column: str) -> str:
+def one_value(table: str, key: str, column: str) -> GroupCheck:
     """Every key has one value of a column, nulls apart; observed lists what was seen."""
-    return f"SELECT {key} AS record_key, count(DISTINCT {column}) <= 1 AS passed, array_join(array_sort(collect_set(CAST({column} AS STRING))), ', ') AS observed FROM {table} GROUP BY {key}"
+    return GroupCheck(table, (key,), f"count(DISTINCT {column}) <= 1", f"array_join(array_sort(collect_set(CAST({column} AS STRING))), ', ')")
 
 
-def unique(table: str, *keys: str) -> str:
+def unique(table: str, *keys: str) -> GroupCheck:
     """Every key stands once."""
-    named = ", ".join(keys)
-    return f"SELECT concat_ws('/', {named}) AS record_key, count(*) = 1 AS passed, count(*) AS observed FROM {table} GROUP BY {named}"
+    return GroupCheck(table, keys, "count(*) = 1", "CAST(count(*) AS STRING)")
 
 
-def by_kind(table: str, key: str, kind: str, column: str, allowed: dict[str, tuple[str, ...]], otherwise: tuple[str, ...]) -> str:
+def by_kind(table: str, key: str, kind: str, column: str, allowed: dict[str, tuple[str, ...]], otherwise: tuple[str, ...]) -> RowCheck:
     """A column's values are those that the row's kind allows."""
     listed = lambda values: f"{column} IN ({', '.join(repr(v) for v in values)})"
     cases = " ".join(f"WHEN {kind} = {k!r} THEN {listed(v)}" for k, v in allowed.items())
-    return predicate(table, key, f"CASE {cases} ELSE {listed(otherwise)} END", f"concat({kind}, ' in ', {column})")
+    return RowCheck(table, key, f"CASE {cases} ELSE {listed(otherwise)} END", f"concat({kind}, ' in ', {column})")
 
 
-def in_order(table: str, key: str, first: str, last: str) -> str:
+def in_order(table: str, key: str, first: str, last: str) -> RowCheck:
     """One date isn't after another; passes where either is missing."""
-    return predicate(table, key, f"coalesce({first} <= {last}, true)", f"concat({first}, ' to ', {last})")
+    return RowCheck(table, key, f"coalesce({first} <= {last}, true)", f"concat({first}, ' to ', {last})")
+
+
+def has_child(parent: str, key: str, child: str, child_key: str, where: str = "true") -> str:
+    """A parent that ``where`` holds for has a child."""
+    return f"SELECT p.{key} AS record_key, EXISTS (SELECT 1 FROM {child} c WHERE c.{child_key} = p.{key}) AS passed, NULL AS observed FROM {parent} p WHERE {where}"
+
+
+def in_sequence(parent: str, key: str, own: tuple[str, ...], children: tuple[tuple[str, str, str], ...]) -> str:
+    """The parent's own dates rise, and then the first dates of its children, each a table, its key and its date; what is missing is skipped with what is compared to it."""
+    joined = " ".join(f"LEFT JOIN (SELECT {k} AS k, min({at}) AS at FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}) c{i} ON c{i}.k = p.{key}" for i, (t, k, at) in enumerate(children))
+    dates = [f"p.{c}" for c in own] + [f"c{i}.at" for i in range(len(children))]
+    test = " AND ".join(f"coalesce({a} <= {b}, true)" for a, b in zip(dates, dates[1:], strict=False))
+    told = ", ".join(f"coalesce(date_format({d}, 'dd/MM/yyyy'), '-')" for d in dates)
+    return f"SELECT p.{key} AS record_key, {test} AS passed, concat_ws(', ', {told}) AS observed FROM {parent} p {joined}"
+
+
+def recorded_as(table: str, key: str, by: dict[str, str], xref: str, method: str, accepted: tuple[str, ...], observed: str) -> str:
+    """A record's form, found in a crosswalk by all of ``by`` (column to column, nulls equal), was resolved by an accepted method."""
+    same = " AND ".join(f"x.{theirs} IS NOT DISTINCT FROM t.{ours}" for ours, theirs in by.items())
+    return f"SELECT {key} AS record_key, x.{method} IN ({', '.join(map(repr, accepted))}) AS passed, CAST({observed} AS STRING) AS observed FROM {table} t JOIN {xref} x ON {same}"
+
+
+def one_code(xref: str, code: str, entity: str, of: str, suspects: str = "SELECT NULL AS code WHERE false") -> str:
+    """An entity has one code of the rows that ``of`` holds for, and none that ``suspects`` (SQL giving code) names as another's."""
+    return (
+        f"SELECT x.{code} AS record_key, n.codes <= 1 AND s.code IS NULL AS passed, CAST(n.codes AS STRING) AS observed FROM {xref} x "
+        f"JOIN (SELECT {entity} AS e, count(*) AS codes FROM {xref} WHERE {of} GROUP BY {entity}) n ON n.e = x.{entity} LEFT JOIN (SELECT DISTINCT code FROM ({suspects})) s ON s.code = x.{code} WHERE {of}"
+    )
+
+
+def not_quarantined(tables: tuple[str, ...], quarantine: str, rules: tuple[str, ...]) -> str:
+    """No row as received was rejected by one of the rules; records carry their file and line."""
+    rows = " UNION ALL ".join(f"SELECT _source_file, _source_row FROM {t}" for t in tables)
+    listed = ", ".join(map(repr, rules))
+    return (
+        f"SELECT concat(r._source_file, ':', r._source_row) AS record_key, q.rule IS NULL AS passed, concat_ws(' ', q.rule, q.failing_column, q.received_value) AS observed, r._source_file AS source_file, r._source_row AS source_row "
+        f"FROM ({rows}) r LEFT JOIN (SELECT _source_file, _source_row, rule, failing_column, received_value FROM {quarantine} WHERE rule IN ({listed})) q ON q._source_file = r._source_file AND q._source_row = r._source_row"
+    )
 
 
 def agrees(left: str, key: str, value: str, right: str, right_key: str, right_value: str, tolerance: float) -> str:
@@ -116,7 +179,7 @@ def all_of(*checks: str) -> str:
     return " UNION ALL ".join(f"SELECT CAST(record_key AS STRING) AS record_key, passed, CAST(observed AS STRING) AS observed FROM ({c})" for c in checks)
 
 
-def within(table: str, key: str, value: str, target: str, tolerance: str) -> str:
+def within(table: str, key: str, value: str, target: str, tolerance: str) -> RowCheck:
     return predicate(table, key, f"abs({value} - {target}) <= ({tolerance}) * abs({target})", f"{value} - {target}")
 
 
@@ -129,40 +192,85 @@ def substituted(sql: str, parameters: dict) -> str:
 
 @dataclass(frozen=True)
 class Evaluation:
-    checks: DataFrame  # rule_id, record_key, passed, observed
+    checks: DataFrame  # rule_id, record_key, passed, observed, source_file, source_row
     results: DataFrame
     errors: dict[str, str]
 
 
+RECORD = "rule_id string, record_key string, passed boolean, observed string, source_file string, source_row int"
+
+
+def _record(rule: str, key: Column, passed: Column, observed: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule_id"), key.cast("string").alias("record_key"), F.coalesce(passed, F.lit(False)).alias("passed"), observed.cast("string").alias("observed"))
+
+
+def _lines(df: DataFrame, file: str, row: str) -> tuple[Column, Column]:
+    """A record's file and line, null where the table doesn't say."""
+    has = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    return has(file).cast("string").alias("source_file"), has(row).cast("int").alias("source_row")
+
+
+def _alone(spark: SparkSession, rule: Rule, parameters: dict) -> DataFrame:
+    if isinstance(rule.check, RowCheck | GroupCheck):
+        return fused(spark, [rule], parameters)[0]
+    df = rule.check(spark, parameters) if callable(rule.check) else spark.sql(substituted(rule.check, parameters))
+    record = _record(rule.id, F.col("record_key"), F.col("passed"), F.col("observed"))
+    return df.select(record.alias("r"), *_lines(df, "source_file", "source_row")).select("r.*", "source_file", "source_row")
+
+
+def fused(spark: SparkSession, rules: list[Rule], parameters: dict) -> list[DataFrame]:
+    """The records of rules that can be analysed: one scan for all row checks of a table, one aggregation for all group checks of a grouping, one query for each other rule."""
+    rows, groups, out = {}, {}, []
+    for r in rules:
+        if isinstance(r.check, RowCheck):
+            check = r.check.given(parameters)
+            rows.setdefault(check.table, []).append(_record(r.id, F.expr(check.key), F.expr(check.test), F.expr(check.observed)))
+        elif isinstance(r.check, GroupCheck):
+            check = r.check.given(parameters)
+            groups.setdefault((check.table, check.keys), []).append((r.id, check))
+        else:
+            out.append(_alone(spark, r, parameters))
+    for table, records in rows.items():
+        df = spark.sql(f"SELECT * FROM {table}")
+        out.append(df.select(F.explode(F.array(*records)).alias("r"), *_lines(df, "_source_file", "_source_row")).select("r.*", "source_file", "source_row"))
+    for (table, keys), checks in groups.items():
+        once = spark.sql(f"SELECT * FROM {table}").groupBy(*map(F.expr, keys)).agg(*(F.struct(F.expr(c.test).alias("passed"), F.expr(c.observed).alias("observed")).alias(f"_{i}") for i, (_, c) in enumerate(checks)))
+        records = [_record(rule, F.expr(c.key), F.col(f"_{i}.passed"), F.col(f"_{i}.observed")) for i, (rule, c) in enumerate(checks)]
+        out.append(once.select(F.explode(F.array(*records)).alias("r")).select("r.*", F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("int").alias("source_row")))
+    return out
+
+
 def evaluate(spark: SparkSession, rules: list[Rule], parameters: dict | None = None) -> Evaluation:
     """All rules' records, tagged, and one row of results for each rule; a rule that fails to analyse is an error and not scored.
 
     pass_rate is 1 where nothing was checked; score = min(1, pass_rate / threshold); a null ``passed`` fails. The records are
-    written once. If that fails, for a cast that breaks on some row, each rule is tried alone and only those that break are
-    errors.
+    written once, by fused(). If that fails, for a cast that breaks on some row, each rule is tried alone and only those that
+    break are errors.
     """
-    frames, errors = {}, {}
+    given, sound, errors = parameters or {}, [], {}
     log = PySparkLogger.getLogger("SQLQueryContextLogger")  # which would write the stack of every rule that breaks
     level = log.level
     log.setLevel(logging.CRITICAL + 1)
-    for r in rules:
-        try:
-            df = r.check(spark, parameters or {}) if callable(r.check) else spark.sql(substituted(r.check, parameters or {}))
-            frames[r.id] = df.select(F.lit(r.id).alias("rule_id"), F.col("record_key").cast("string").alias("record_key"), F.coalesce(F.col("passed"), F.lit(False)).alias("passed"), F.col("observed").cast("string").alias("observed"))
-        except (AnalysisException, ValueError) as e:
-            errors[r.id] = str(e).splitlines()[0]
-    none = spark.createDataFrame([], "rule_id string, record_key string, passed boolean, observed string")
+    none = spark.createDataFrame([], RECORD)
     try:
-        checks = checkpointed(reduce(DataFrame.unionAll, frames.values(), none))
-    except Exception:  # whatever a rule's rows raise
-        whole = {}
-        for rule, frame in frames.items():
+        for r in rules:
             try:
-                whole[rule] = checkpointed(frame)
-            except Exception as e:
-                errors[rule] = str(e).splitlines()[0]
-        checks = reduce(DataFrame.unionAll, whole.values(), none)
-    log.setLevel(level)
+                _alone(spark, r, given)
+                sound.append(r)
+            except (AnalysisException, ValueError) as e:
+                errors[r.id] = str(e).splitlines()[0]
+        try:
+            checks = checkpointed(reduce(DataFrame.unionAll, fused(spark, sound, given), none))
+        except (PySparkException, Py4JJavaError):  # what a rule's rows raise
+            whole = {}
+            for r in sound:
+                try:
+                    whole[r.id] = checkpointed(_alone(spark, r, given))
+                except (PySparkException, Py4JJavaError) as e:
+                    errors[r.id] = str(e).splitlines()[0]
+            checks = reduce(DataFrame.unionAll, whole.values(), none)
+    finally:
+        log.setLevel(level)
     listed = spark.createDataFrame([(r.id, r.name, r.dimension, r.severity, SEVERITY[r.severity], r.system, r.owner, float(r.threshold), "error" if r.id in errors else "ok") for r in rules], "rule_id string, name string, dimension string, severity string, weight int, system string, owner string, threshold double, status string")
     counted = checks.groupBy("rule_id").agg(F.count("*").alias("checked"), F.count_if(~F.col("passed")).alias("failed"))
     rate = F.when(F.col("checked") > 0, 1 - F.col("failed").cast("double") / F.col("checked")).otherwise(1.0)
@@ -180,9 +288,9 @@ def index(results: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def exceptions(evaluation: Evaluation) -> DataFrame:
-    """Failing records with their rule's owner and severity, numbered within each rule by key."""
-    failing = numbered(evaluation.checks.filter(~F.col("passed")).select("rule_id", "record_key", "observed"), ["record_key", "observed"], group=["rule_id"])
-    return failing.join(F.broadcast(evaluation.results.select("rule_id", "severity", "owner")), "rule_id").select("rule_id", "place", "record_key", "observed", "severity", "owner")
+    """Failing records with the file and line they come from, where that is known, and their rule's owner and severity, numbered within each rule by key."""
+    failing = numbered(evaluation.checks.filter(~F.col("passed")).drop("passed"), ["record_key", "observed"], group=["rule_id"])
+    return failing.join(F.broadcast(evaluation.results.select("rule_id", "severity", "owner")), "rule_id").select("rule_id", "place", "record_key", "observed", "source_file", "source_row", "severity", "owner")
 
 
 def fingerprint(hashes: DataFrame, path: str = "path", digest: str = "sha256") -> str:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as dq
+from ..operators import staging
 from .registry import query, read, views
+from .staging import _JUDGED, CONTRACT, raw
 
 PARAMETERS = {"as_of": "2001-06-01", "grace": 90, "max_quantity": 50}
 
@@ -78,7 +80,7 @@ def dq_scorecard(spark, sf):
 
 @query("dq_exceptions", _CHECKS + "SELECT rule_id, row_number() OVER (PARTITION BY rule_id ORDER BY record_key, observed NULLS FIRST) AS place, record_key, observed, severity, owner FROM checks JOIN rules USING (rule_id) WHERE NOT passed")
 def dq_exceptions(spark, sf):
-    return dq.exceptions(evaluated(spark, sf))
+    return dq.exceptions(evaluated(spark, sf)).drop("source_file", "source_row")
 
 
 #: A rule of each shape that the first set lacks; the last breaks on its rows and so isn't scored.
@@ -92,6 +94,10 @@ SHAPES = [
     dq.Rule("DQ-27", "Orders and lines know each other", "integrity", "critical", "orders", "Production Controller", 1.0, dq.both_ways("orders", "o_orderkey", "lineitem", "l_orderkey")),
     dq.Rule("DQ-28", "Names are there", "completeness", "critical", "customer", "Finance Manager", 1.0, dq.all_of(dq.not_null("customer", "c_custkey", "c_name"), dq.not_null("supplier", "s_suppkey", "s_name"))),
     dq.Rule("DQ-29", "Price is near the list price", "accuracy", "low", "lineitem", "Finance Manager", 0.5, dq.within("part", "p_partkey", "p_retailprice", "1000", "0.3")),
+    dq.Rule("DQ-31", "Started orders have lines", "integrity", "high", "orders", "Production Controller", 1.0, dq.has_child("orders", "o_orderkey", "lineitem", "l_orderkey", "p.o_orderstatus <> 'O'")),
+    dq.Rule("DQ-32", "Dates in sequence", "consistency", "medium", "orders", "Production Controller", 0.95, dq.in_sequence("orders", "o_orderkey", ("o_orderdate",), (("lineitem", "l_orderkey", "l_shipdate"), ("(SELECT * FROM lineitem WHERE l_linestatus = 'F')", "l_orderkey", "l_shipdate")))),
+    dq.Rule("DQ-33", "Parts resolved by code", "consistency", "low", "part", "Quality Manager", 0.9, dq.recorded_as("part", "p_partkey", {"p_brand": "brand", "p_type": "type"}, "(SELECT DISTINCT p_brand AS brand, p_type AS type, CASE WHEN length(p_type) % 3 = 0 THEN 'exact' ELSE 'parsed' END AS method FROM part)", "method", ("exact",), "x.method")),
+    dq.Rule("DQ-34", "One supplier a nation", "uniqueness", "low", "supplier", "Finance Manager", 0.5, dq.one_code("supplier", "s_suppkey", "s_nationkey", "s_acctbal > 0", "SELECT s_suppkey AS code FROM supplier WHERE s_suppkey % 7 = 0")),
     dq.Rule("DQ-30", "A check that breaks on its rows", "validity", "low", "customer", "Quality Manager", 1.0, "SELECT c_custkey AS record_key, CAST(c_name AS INT) > 0 AS passed, NULL AS observed FROM customer"),
 ]
 
@@ -105,10 +111,25 @@ UNION ALL SELECT 'DQ-25', coalesce(abs(CAST(o_totalprice AS DOUBLE) - s) <= 0.25
 UNION ALL SELECT 'DQ-26', coalesce(max(l_shipdate) <= o_orderdate + INTERVAL 100 DAYS, true) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
 UNION ALL SELECT 'DQ-27', o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL FROM (SELECT DISTINCT o_orderkey FROM orders) FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey
 UNION ALL SELECT 'DQ-28', c_name IS NOT NULL FROM customer UNION ALL SELECT 'DQ-28', s_name IS NOT NULL FROM supplier
+UNION ALL SELECT 'DQ-31', o_orderkey IN (SELECT l_orderkey FROM lineitem) FROM orders WHERE o_orderstatus <> 'O'
+UNION ALL SELECT 'DQ-32', coalesce(o_orderdate <= s, true) AND coalesce(s <= f, true) FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS s, min(l_shipdate) FILTER (WHERE l_linestatus = 'F') AS f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+UNION ALL SELECT 'DQ-33', length(p_type) % 3 = 0 FROM part
+UNION ALL SELECT 'DQ-34', count(*) OVER (PARTITION BY s_nationkey) <= 1 AND s_suppkey % 7 <> 0 FROM supplier WHERE s_acctbal > 0
 UNION ALL SELECT 'DQ-29', abs(p_retailprice - 1000) <= 0.3::DOUBLE * 1000 FROM part)
 """
 
 
+@query("dq_quarantined", _JUDGED + """SELECT 'readings.csv:' || _source_row AS record_key, rule_id, NOT coalesce(hit, false) AS passed, 'readings.csv' AS source_file, _source_row AS source_row FROM (
+SELECT 'DQ-19' AS rule_id, _source_row, rule = 'ST-02' AS hit FROM judged UNION ALL SELECT 'DQ-20', _source_row, rule IN ('ST-03', 'ST-04', 'ST-05', 'ST-06', 'ST-07') FROM judged UNION ALL SELECT 'DQ-21', _source_row, rule = 'ST-08' FROM judged) AS v""")
+def dq_quarantined(spark, sf):
+    """Rows as received that the staging rules have rejected, by the rules that say so, with their file and line."""
+    received = raw(spark, sf)
+    received.createOrReplaceTempView("raw_readings")
+    staging.quarantine(staging.judge(received, CONTRACT)).createOrReplaceTempView("quarantined")
+    found = dq.evaluate(spark, [dq.Rule(i, "Readable", "validity", "high", "shop_floor", "Production Controller", 1.0, dq.not_quarantined(("raw_readings",), "quarantined", rules)) for i, rules in (("DQ-19", ("ST-02",)), ("DQ-20", ("ST-03", "ST-04", "ST-05", "ST-06", "ST-07")), ("DQ-21", ("ST-08",)))])
+    return found.checks.drop("observed")
+
+
 @query("dq_shapes", _SHAPES + "SELECT rule_id, 'ok' AS status, count(*) AS checked, count(*) FILTER (WHERE NOT passed) AS failed FROM checks GROUP BY 1 UNION ALL SELECT 'DQ-30', 'error', 0, 0")
 def dq_shapes(spark, sf):
     views(spark, sf, "orders", "customer", "lineitem", "supplier", "part")

@@ -37,7 +37,7 @@ class _Published:
 
 @query("stage_quality", _CHECKS + """, others AS (SELECT * FROM (""" + _SHAPES.replace("WITH checks AS (", "SELECT * FROM (", 1) + """) AS v)
 SELECT rule_id, checked, failed, pass_rate >= threshold::DOUBLE AS met FROM rated WHERE rule_id NOT IN ('DQ-09')
-UNION ALL SELECT rule_id, count(*), count(*) FILTER (WHERE NOT passed), 1 - CAST(count(*) FILTER (WHERE NOT passed) AS DOUBLE) / count(*) >= CASE WHEN rule_id IN ('DQ-23', 'DQ-25', 'DQ-26') THEN 0.9::DOUBLE WHEN rule_id = 'DQ-29' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END FROM others GROUP BY rule_id""")
+UNION ALL SELECT rule_id, count(*), count(*) FILTER (WHERE NOT passed), 1 - CAST(count(*) FILTER (WHERE NOT passed) AS DOUBLE) / count(*) >= CASE WHEN rule_id IN ('DQ-23', 'DQ-25', 'DQ-26', 'DQ-33') THEN 0.9::DOUBLE WHEN rule_id = 'DQ-32' THEN 0.95::DOUBLE WHEN rule_id IN ('DQ-29', 'DQ-34') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END FROM others GROUP BY rule_id""")
 def stage_quality(spark, sf):
     """Results of the quality stage as published."""
     at = _Published(spark, **{t: read(spark, sf, t) for t in ("orders", "customer", "lineitem", "labels", "supplier", "part")})

@@ -142,3 +142,21 @@ def test_matching_is_published_whole(spark, root):
         stages.run_match(spark, root, *arguments, run="m2")
     after = publish.manifest(spark, root)["tables"]
     assert {n for n, t in after.items() if t["stage"] == "match"} == {n for n, t in before["tables"].items() if t["stage"] == "match"} and after["match_quality"]["run"] == "m1"
+
+
+def test_rules_of_a_table_are_one_scan_and_know_their_lines(spark, tmp_path):
+    rows = [(k, k % 3, "f.csv", k + 2) for k in range(9)]
+    spark.createDataFrame(rows, "id int, g int, _source_file string, _source_row int").write.parquet(f"{tmp_path}/t")
+    spark.read.parquet(f"{tmp_path}/t").createOrReplaceTempView("fusable")
+    rule = lambda i, check: quality.Rule(i, i, "validity", "low", "s", "o", 1.0, check)
+    rules = [
+        rule("A", quality.predicate("fusable", "id", "id < ${most}", "id")), rule("B", quality.not_null("fusable", "id", "g")), rule("C", quality.unique("fusable", "g")), rule("D", quality.one_value("fusable", "g", "id")),
+        rule("E", quality.predicate("fusable", "id", "no_such > 1")), rule("F", quality.predicate("fusable", "id", "${unknown} > 1")),
+    ]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in quality.fused(spark, rules[:4], {"most": 7})]
+    assert len(plans) == 2 and all(p.count("Relation") == 1 for p in plans)
+    found = quality.evaluate(spark, rules, {"most": 7})
+    assert {r.rule_id: (r.status, r.checked, r.failed) for r in found.results.collect()} == {"A": ("ok", 9, 2), "B": ("ok", 9, 0), "C": ("ok", 3, 3), "D": ("ok", 3, 3), "E": ("error", 0, 0), "F": ("error", 0, 0)}
+    listed = quality.exceptions(found).filter("rule_id = 'A'").orderBy("place").collect()
+    assert [(r.record_key, r.observed, r.source_file, r.source_row) for r in listed] == [("7", "7", "f.csv", 9), ("8", "8", "f.csv", 10)]
+    assert found.checks.filter("rule_id = 'C'").select("observed", "source_row").distinct().collect() == [("3", None)]
