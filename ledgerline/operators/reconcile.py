@@ -27,6 +27,8 @@ CATEGORIES = ("matched", "quantity variance", "price variance", "missing GRN", "
 
 
 RISK = "decimal(20,6)"
+#: Where a row comes from; staging, core and reconciliations carry it along.
+ORIGIN = ("_source_file", "_source_row")
 
 
 def three_way(lines: DataFrame, as_of: str, receipt_grace: int = 5, invoice_grace: int = 30, price_tolerance: float = 0.05, quantity_tolerance: float = 0.02) -> DataFrame:
@@ -60,11 +62,17 @@ def three_way(lines: DataFrame, as_of: str, receipt_grace: int = 5, invoice_grac
 
 
 def both_sides(orders: DataFrame, invoices: DataFrame, order_id: str, invoice_id: str) -> DataFrame:
-    """Judged order lines and invoices without an order in one table: line_type, line_id, category, value_at_risk, exception_date."""
-    side = lambda df, kind, key: df.select(F.lit(kind).alias("line_type"), F.col(key).cast("string").alias("line_id"), "category", F.col("value_at_risk").cast(RISK).alias("value_at_risk"), "exception_date")
+    """Judged order lines and invoices without an order in one table: line_type, line_id, category, value_at_risk, exception_date, and the file and line of each where both sides have them."""
+    origin = [c for c in ORIGIN if c in orders.columns and c in invoices.columns]
+    side = lambda df, kind, key: df.select(F.lit(kind).alias("line_type"), F.col(key).cast("string").alias("line_id"), "category", F.col("value_at_risk").cast(RISK).alias("value_at_risk"), "exception_date", *origin)
     return side(orders, "PO line", order_id).unionByName(side(invoices, "invoice", invoice_id))
 
 
+def raw_behind(rows: DataFrame, received: DataFrame) -> DataFrame:
+    """The lines as received behind the rows of a figure, each once: ``received`` (_source_file, _source_row, line) of the files and lines that ``rows`` name."""
+    return received.join(rows.select(*ORIGIN).filter("_source_file is not null").distinct(), list(ORIGIN), "left_semi")
+
+
 def headlines(engine: str, table: str, rows: DataFrame, asked: list[tuple[str, str, str]]) -> list[Headline]:
     """Figures (key, condition, aggregate) over ``rows``, all in one pass; a sum of no rows is 0.
 

@@ -201,6 +201,16 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
     return _run(spark, root, "reconcile", run, build)
 
 
+def lines_behind(spark: SparkSession, root: str, engine: str, key: str, received: str = "raw_lines") -> DataFrame:
+    """From a published figure to the lines as received: the rows that its own query gives, by the files and lines they carry, in the published table ``received``."""
+    read = _reader(spark, root)
+    head = read("headline").filter((F.col("engine") == engine) & (F.col("key") == key)).first()
+    if head is None:
+        raise KeyError(f"no figure {engine}.{key} is published")
+    read(head["table"]).createOrReplaceTempView(head["table"])
+    return reconcile.raw_behind(spark.sql(head["rows_sql"]), read(received))
+
+
 def build_marts(spark: SparkSession, root: str, views: dict[str, str], kpis: list[marts.Kpi], helpers: dict[str, str] | None = None, run: str | None = None) -> str:
     """Builds the views (name to SQL, in order) over the published tables, in a database of the run with their descriptions, and publishes kpi_scorecard, kpi_definition and mart_views.
 

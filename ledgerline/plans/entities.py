@@ -120,3 +120,53 @@ FROM scored JOIN comp x ON a = x.node JOIN comp y ON b = y.node WHERE status = '
 def entity_review_queue(spark, sf):
     _, scored, components = _entities(spark, sf)
     return parties.entity_queue(scored, components)
+
+
+#: Customers as jobs, written in the shop's ways, and in finance's code. SQL that both engines read.
+_JOB = "concat('J-', CAST(10 + FLOOR(c_custkey / 10000) AS INT), '-', lpad(CAST(c_custkey % 10000 AS {text}), 4, '0'))"
+_REFERENCES = """
+SELECT CASE c_custkey % 6 WHEN 0 THEN job WHEN 1 THEN concat('j', substr(job, 2)) WHEN 2 THEN concat('J', substr(job, 3)) WHEN 3 THEN substr(job, 3) WHEN 4 THEN concat('j-', substr(job, 3, 3), CAST(c_custkey % 1000 AS {text})) ELSE concat('job ', CAST(c_custkey AS {text})) END AS written,
+CASE WHEN c_custkey % 5 = 0 OR c_custkey >= 1000 AND c_custkey % 6 = 4 THEN 'ZZ' ELSE c_mktsegment END AS customer, o_custkey, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT *, """ + _JOB + """ AS job FROM customer) c JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3"""
+_CODES = "SELECT concat(CAST(10 + FLOOR(c_custkey / 10000) AS INT), CAST(c_custkey % 10000 AS {text})) AS code FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 10000 > 0"
+
+_LINKS = f"""
+refs AS (SELECT written, customer, n_rows, o_custkey % 6 AS form, o_custkey FROM ({_REFERENCES.format(text="VARCHAR")})),
+meant AS (SELECT *, CASE WHEN form < 4 THEN o_custkey WHEN form = 4 THEN CAST(floor(o_custkey / 10000) AS BIGINT) * 10000 + o_custkey % 1000 END AS c, CASE form WHEN 0 THEN 'exact' WHEN 1 THEN 'case_normalised' WHEN 2 THEN 'missing_hyphen' WHEN 3 THEN 'missing_prefix' WHEN 4 THEN 'zero_padding_restored' ELSE 'unparsed' END AS m,
+  CASE form WHEN 0 THEN 100.0 WHEN 1 THEN 99.0 WHEN 2 THEN 97.0 WHEN 3 THEN 96.0 WHEN 4 THEN 95.0 ELSE 0.0 END::DOUBLE AS s FROM refs),
+likened AS (SELECT m.*, k.c_custkey IS NOT NULL AND k.c_custkey % 7 <> 0 AS found, CASE WHEN k.c_custkey IS NULL THEN NULL WHEN customer = k.c_mktsegment THEN 100.0 WHEN customer = 'ZZ' THEN 0.0 ELSE -1 END::DOUBLE AS liked, {_JOB.format(text="VARCHAR").replace("c_custkey", "m.c")} AS job FROM meant m LEFT JOIN customer k ON k.c_custkey = m.c),
+linked AS (SELECT written, CASE WHEN form < 5 THEN job END AS job, any_value(m) AS m, any_value(s) AS s, bool_or(found) AS found, CAST(sum(n_rows) AS BIGINT) AS n_rows, round(sum(liked * n_rows) / sum(n_rows), 1) AS agreement FROM likened GROUP BY 1, 2),
+links AS (SELECT written, n_rows, job, CASE WHEN job IS NULL THEN m WHEN NOT found THEN m || '_not_found' WHEN agreement < 80 THEN m || '+customer_disagrees' ELSE m END AS method, CASE WHEN NOT found THEN 0 WHEN agreement < 80 THEN least(s, 85) ELSE s END::DOUBLE AS score, CASE WHEN found THEN agreement END AS agreement FROM linked),
+judged AS (SELECT *, CASE WHEN score >= 95 THEN 'auto' WHEN score >= 80 THEN 'review' ELSE 'unmatched' END AS status FROM links),
+final AS (SELECT written, n_rows, CASE WHEN status <> 'unmatched' THEN job END AS job_no, method, score, agreement, status FROM judged),
+known AS (SELECT {_JOB.format(text="VARCHAR")} AS job_no FROM customer WHERE c_custkey % 7 <> 0),
+codes AS (SELECT DISTINCT code, 'J-' || substr(code, 1, 2) || '-' || lpad(substr(code, 3), 4, '0') AS job_no FROM ({_CODES.format(text="VARCHAR")}))"""
+
+
+def _jobs(spark, sf):
+    customer, orders = read(spark, sf, "customer"), read(spark, sf, "orders")
+    bound = lambda sql: spark.sql(sql.format(text="STRING").replace("FROM customer", "FROM {customer}").replace("JOIN orders", "JOIN {orders}"), customer=customer, **({"orders": orders} if "JOIN orders" in sql else {}))
+    jobs = bound(f"SELECT {_JOB} AS job_no FROM customer WHERE c_custkey % 7 <> 0")
+    own = bound(f"SELECT {_JOB} AS job_no, c_mktsegment AS customer FROM customer")
+    return jobs, bound(_CODES), parties.job_links(bound(_REFERENCES).drop("o_custkey"), jobs, own)
+
+
+@query("job_reference_links", "WITH " + _LINKS.strip() + " SELECT * FROM final")
+def job_reference_links(spark, sf):
+    return _jobs(spark, sf)[2]
+
+
+@query("job_crosswalk", "WITH " + _LINKS.strip() + """,
+best AS (SELECT job_no, string_agg(written, ', ' ORDER BY written) AS forms, CAST(sum(n_rows) AS BIGINT) AS n, min(score) AS least, arg_min(method, (score, written)) AS weakest FROM final WHERE status = 'auto' GROUP BY 1)
+SELECT k.job_no, c.code AS finance_job_code, c.code IS NOT NULL AS in_finance, coalesce(forms, '') AS ops_reference_forms, coalesce(n, 0) AS ops_rows, n IS NOT NULL AS in_ops, coalesce(least, 100.0::DOUBLE) AS confidence, coalesce(weakest, 'finance derived key') AS weakest_link FROM known k LEFT JOIN codes c USING (job_no) LEFT JOIN best b USING (job_no)
+UNION ALL SELECT NULL, code, true, '', 0, false, 0.0::DOUBLE, 'no job' FROM codes WHERE job_no NOT IN (SELECT job_no FROM known)""")
+def job_crosswalk(spark, sf):
+    return parties.job_crosswalk(*_jobs(spark, sf))
+
+
+@query("job_unlinked", "WITH " + _LINKS.strip() + """
+SELECT 'jobs' AS side, job_no AS value, 'no finance job code' AS reason FROM known WHERE job_no NOT IN (SELECT job_no FROM codes)
+UNION ALL SELECT 'jobs', job_no, 'no shop-floor delivery note' FROM known WHERE job_no NOT IN (SELECT job_no FROM final WHERE status = 'auto')
+UNION ALL SELECT 'finance', code, 'derived_key_not_found' FROM codes WHERE job_no NOT IN (SELECT job_no FROM known)
+UNION ALL SELECT 'shop_floor', written, CASE WHEN status = 'review' THEN 'held for review: ' ELSE '' END || method FROM final WHERE status <> 'auto'""")
+def job_unlinked(spark, sf):
+    return parties.unlinked(*_jobs(spark, sf))

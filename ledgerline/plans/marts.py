@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import conformance, marts
+from ..operators import conformance, joins, marts
 from ..operators.reconcile import age_bucket
 from .registry import query, read, views
 
@@ -188,3 +188,19 @@ def quality_cost_by_month(spark, sf):
     money, back = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_returnflag") == "R"
     sums = read(spark, sf, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.sum(money).cast("double").alias("shipped"), F.coalesce(F.sum(F.when(back, money)).cast("double"), F.lit(0.0)).alias("returned"), F.count_if(back).alias("n_returns"))
     return sums.withColumn("share", F.try_divide("returned", "shipped"))
+
+
+@query("quality_cost_of_all", """
+WITH r AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS cancelled, sum(CAST(o_totalprice AS DECIMAL(14,2))) AS cancelled_value FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+e AS (SELECT strftime(ts, '%Y-%m') AS month, count(*) AS complaints FROM events WHERE event_type = 'search' GROUP BY 1)
+SELECT month, CAST(coalesce(returned, 0) AS DOUBLE) AS returned, coalesce(cancelled, 0) AS cancelled, CAST(coalesce(cancelled_value, 0) AS DOUBLE) AS cancelled_value, coalesce(complaints, 0) AS complaints, CAST(coalesce(returned, 0) + coalesce(cancelled_value, 0) AS DOUBLE) AS cost FROM r FULL JOIN c USING (month) FULL JOIN e USING (month)""")
+def quality_cost_of_all(spark, sf):
+    """What three systems each record of poor quality, by month; a month that only one of them knows is there too."""
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("month")
+    money = lambda c, kind: F.sum(F.col(c).cast(kind))
+    returned = read(spark, sf, "lineitem").filter("l_returnflag = 'R'").groupBy(month("l_shipdate")).agg(money("l_extendedprice", "decimal(12,2)").alias("returned"))
+    cancelled = read(spark, sf, "orders").filter("o_orderstatus = 'P'").groupBy(month("o_orderdate")).agg(F.count("*").alias("cancelled"), money("o_totalprice", "decimal(14,2)").alias("cancelled_value"))
+    complaints = read(spark, sf, "events").filter("event_type = 'search'").groupBy(month("ts")).agg(F.count("*").alias("complaints"))
+    met = joins.full_outer([returned, cancelled, complaints], "month").na.fill(0)
+    return met.select("month", F.col("returned").cast("double").alias("returned"), "cancelled", F.col("cancelled_value").cast("double").alias("cancelled_value"), "complaints", (F.col("returned") + F.col("cancelled_value")).cast("double").alias("cost"))

@@ -114,13 +114,12 @@ def exact_duplicate_rows(spark, sf):
     return hashed.join(first, "h").filter(F.col("doc_id") != F.col("first")).select("doc_id")
 
 
-@query("conversation_turn_gaps", "SELECT conv_id, turn, turn - prev AS gap FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE turn - prev <> 1")
+@query("conversation_turn_gaps", "SELECT conv_id, role, turn, turn - prev AS gap FROM (SELECT conv_id, role, turn, lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, role, turn FROM conversations)) WHERE turn - prev <> 1")
 def conversation_turn_gaps(spark, sf):
-
-
-    turns = read(spark, sf, "conversations").select("conv_id", "turn").distinct()
-    gap = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.select("conv_id", "turn", gap.alias("gap")).filter("gap <> 1")
+    """Turns of a speaker that don't follow on the same speaker's last one."""
+    turns = read(spark, sf, "conversations").select("conv_id", "role", "turn").distinct()
+    gap = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return turns.select("conv_id", "role", "turn", gap.alias("gap")).filter("gap <> 1")
 
 
 @query("number_tokens", "SELECT doc_id, tokens[i] AS token, i - 1 AS place FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?') AS tokens FROM documents))")

@@ -63,9 +63,17 @@ def mart_catalogue(spark, sf):
     return at.taken(listed.join(counts[0].unionByName(counts[1]), "name").drop("database"))
 
 
+#: Orders and invoices as if received in two files, a line each. SQL that both engines read.
+_RECEIVED = """
+SELECT 'orders.csv' AS _source_file, CAST(o_orderkey + 2 AS INT) AS _source_row, concat_ws(',', o_orderkey, o_custkey, o_orderstatus) AS line FROM orders
+UNION ALL SELECT 'invoices.csv', CAST(l_orderkey * 10 + l_linenumber AS INT), concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_returnflag) FROM lineitem"""
+
+
 def _reconciled(spark, sf):
-    lines = reconciliation.three_way_lines(spark, sf).withColumnRenamed("o_orderkey", "order_id")
-    invoices = reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
+    origin = lambda df, file, row: df.withColumns({"_source_file": F.lit(file), "_source_row": F.expr(row).cast("int")})
+    lines = origin(reconciliation.three_way_lines(spark, sf).withColumnRenamed("o_orderkey", "order_id"), "orders.csv", "order_id + 2")
+    invoices = origin(reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "invoices.csv", "l_orderkey * 10 + l_linenumber")
+    received = spark.sql(_RECEIVED.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=read(spark, sf, "orders"), lineitem=read(spark, sf, "lineitem"))
     part = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("job"), F.when(F.col("p_size") % 2 == 0, "material").otherwise("labour").alias("component"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
     planned = part.select("job", F.lit("planned").alias("side"), "component", (F.col("price") * 10).cast("decimal(18,2)").alias("amount"))
     booked = read(spark, sf, "lineitem").filter("l_linestatus = 'F'").join(part, "l_partkey").select("job", F.lit("actual").alias("side"), "component", F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
@@ -81,7 +89,7 @@ def _reconciled(spark, sf):
     )
     sales = read(spark, sf, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("job"), F.col("c_mktsegment").alias("customer"), F.col("c_acctbal").cast("decimal(12,2)").alias("sales_value"))
     stock = reconciliation._stock(spark, sf).withColumnRenamed("l_partkey", "item")
-    return _Published(spark, order_lines=lines, invoices=invoices, cost_lines=planned.unionByName(booked), stock_counts=stock, receipts=receipts, issues=issues, job_sales=sales)
+    return _Published(spark, raw_lines=received, order_lines=lines, invoices=invoices, cost_lines=planned.unionByName(booked), stock_counts=stock, receipts=receipts, issues=issues, job_sales=sales)
 
 
 _TRACE = """
@@ -131,4 +139,14 @@ def headline_rows(spark, sf):
     stages.run_reconcile(spark, at.root, reconciliation.AS_OF, ("N",))
     reader = publish.Reader(spark, at.root)
     sql = reader.query("SELECT rows_sql FROM headline WHERE engine = :engine AND key = :key", {"engine": "three_way", "key": "over_90_days"}).first()["rows_sql"]
-    return at.taken(reader.query(sql).withColumn("value_at_risk", F.col("value_at_risk").cast("double")))
+    return at.taken(reader.query(sql).drop("_source_file", "_source_row").withColumn("value_at_risk", F.col("value_at_risk").cast("double")))
+
+
+@query("headline_raw_lines", "WITH h AS (" + reconciliation._THREE.strip() + f""" SELECT line_type, line_id FROM whole WHERE {reconciliation._OLD}), received AS ({_RECEIVED}),
+named AS (SELECT DISTINCT CASE line_type WHEN 'PO line' THEN 'orders.csv' ELSE 'invoices.csv' END AS _source_file, CAST(CASE line_type WHEN 'PO line' THEN CAST(line_id AS BIGINT) + 2 ELSE CAST(split_part(line_id, '-', 1) AS BIGINT) * 10 + CAST(split_part(line_id, '-', 2) AS BIGINT) END AS INT) AS _source_row FROM h)
+SELECT r.* FROM received r JOIN named USING (_source_file, _source_row)""")
+def headline_raw_lines(spark, sf):
+    """The lines as received behind the exceptions of over 90 days."""
+    at = _reconciled(spark, sf)
+    stages.run_reconcile(spark, at.root, reconciliation.AS_OF, ("N",))
+    return at.taken(stages.lines_behind(spark, at.root, "three_way", "over_90_days"))
