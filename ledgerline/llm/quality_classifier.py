@@ -138,10 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = 1500, n_grades: i
         keep = keep | ((F.col("grade") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < F.lit(2.0**53 * min(1.0, per_grade / n))))
     sample = rated.filter(keep)  # at most about per_grade rows of each grade, so it can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(sample), "doc_id")
-    frame = texts.select("doc_id", "grade", "text").mapInArrow(_bags, "doc_id long, grade int, buckets binary, values binary").toPandas()
+    bags = texts.select("doc_id", "grade", "text").mapInArrow(_bags, "doc_id long, grade int, buckets binary, values binary")
+    # A doc_id that many rows have gives one row here, whatever their texts.
+    frame = bags.groupBy("doc_id").agg(F.min(F.struct("grade", "buckets", "values")).alias("one")).select("doc_id", "one.*").toPandas()
     if not len(frame):
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.zeros(0))
-    frame = frame.sort_values(["doc_id", "grade", "buckets"]).drop_duplicates("doc_id")
+    frame = frame.sort_values("doc_id")
     rows = [(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32)) for b, v in zip(frame["buckets"], frame["values"], strict=True)]
     grade = frame["grade"].to_numpy().astype(np.int64)
     stands_for = np.array([count.get(k, 0) for k in range(n_grades)]) / np.maximum(np.bincount(grade, minlength=n_grades), 1)

@@ -2,9 +2,10 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerline.llm import mixture, queries
+from ledgerline.llm import mixture, quality_classifier, queries
 from ledgerline.llm.common import only_rows, table
 
 SF = "/root/testdata/sf0.01"
@@ -52,3 +53,16 @@ def test_rows_with_maps_are_told_apart(spark):
     kept = docs.select("doc_id", F.xxhash64("text").alias("h"))
     rows = only_rows(docs, kept, F.xxhash64("text"))
     assert rows.columns == docs.columns and sorted(r.doc_id for r in rows.collect()) == [1, 2]
+
+
+def test_a_rated_document_repeated_many_times_is_one_row_of_the_sample(spark, monkeypatch):
+    texts = [(k, f"word{k % 5} other{k % 3} {'good' * (k % 2)}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in texts], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = []
+    fit = quality_classifier.fit_ordinal
+    monkeypatch.setattr(quality_classifier, "fit_ordinal", lambda grade, bags, *rest: rows.append(len(bags)) or fit(grade, bags, *rest))
+    plain = quality_classifier.train(docs, labels)
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(texts[7][1]).alias("text"))
+    again = quality_classifier.train(docs.unionByName(copies), labels)
+    assert rows == [60, 60] and np.array_equal(plain.weights, again.weights) and np.array_equal(plain.thetas, again.thetas)
