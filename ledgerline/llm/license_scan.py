@@ -2,9 +2,9 @@
 
 All rolling word 2-gram hashes of every text are joined to their positions in the templates, a fixed list. A hit votes for
 the diagonal text position - template position, which is where the template would begin; votes are kept as one bit for
-each template position. Neighbouring diagonals merge, which bridges inserted and missing words, and a span is verified by
-the share of the template that it holds, in a stretch not much longer than the template. Phrases need all their positions
-on one diagonal, so they are found exactly.
+each template position, in masks of 63, so a template may be a whole license text. Neighbouring diagonals merge, which
+bridges inserted and missing words, and a span is verified by the share of the template that it holds, in a stretch not
+much longer than the template. Phrases need all their positions on one diagonal, so they are found exactly.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 COVERAGE, STRETCH, BAND = 0.75, 1.3, 2
+#: Positions of a template that one mask holds, and words of all templates together: their positions are broadcast.
+BITS, MOST_WORDS = 63, 1 << 20
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for the document itself among the grams, so a text without hits still gives a row.
 SELF = 0
@@ -54,18 +56,19 @@ def _grams(words: Column) -> Column:
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """One row for each template, by the fixed list: template, label, phrase, words, grams. Template 0 is the document itself."""
     rows = [(0, "", "", False)] + [(k, text, label, k <= len(phrases)) for k, (text, label) in enumerate([*phrases, *notices], 1)]
-    if any(not 2 <= len(text.split()) <= 63 for _, text, _, _ in rows[1:]):
-        raise ValueError("a template has 2 to 63 words")
+    lengths = [len(text.split()) for _, text, _, _ in rows[1:]]
+    if min(lengths, default=2) < 2 or sum(lengths) > MOST_WORDS:
+        raise ValueError(f"a template has 2 words or more, and all have {MOST_WORDS} at most")
     fields = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("template", "text", "label", "phrase"), row, strict=True))) for row in rows))
     each = spark.range(1).select(F.inline(fields)).withColumn("words", F.split("text", " "))
     return each.select("template", "label", "phrase", "words", (F.size("words") - 1).alias("grams"))
 
 
 def _positions(listed: DataFrame) -> DataFrame:
-    """One row for each 2-gram of each template: h, template, tpos, a, b, bit; and one for template 0."""
+    """One row for each 2-gram of each template: h, template, tpos, a, b, part, bit; and one for template 0."""
     grams = listed.filter("template > 0").select("template", F.posexplode(_grams(F.col("words"))).alias("tpos", "gram"))
-    itself = listed.filter("template = 0").select(F.lit(SELF).cast("long").alias("h"), "template", F.lit(-1).alias("tpos"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).cast("long").alias("bit"))
-    return grams.select("gram.h", "template", "tpos", "gram.a", "gram.b", F.expr("shiftleft(1L, tpos)").alias("bit")).unionByName(itself)
+    itself = listed.filter("template = 0").select(F.lit(SELF).cast("long").alias("h"), "template", F.lit(-1).alias("tpos"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("bit"))
+    return grams.select("gram.h", "template", "tpos", "gram.a", "gram.b", F.floor(F.col("tpos") / BITS).cast("int").alias("part"), F.expr(f"shiftleft(1L, tpos % {BITS})").alias("bit")).unionByName(itself)
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -90,17 +93,18 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame
     verified = ((F.col("template") == 0) & (F.col("pos") == 0)) | ((F.col("template") > 0) & (F.col("pos") > 0) & (F.col("one") == F.col("a")) & (F.col("two") == F.col("b")))
     # Both broadcasts are of the fixed list above. Hits are narrow, so votes are counted before they are shuffled.
     hits = grams.join(F.broadcast(_positions(listed)), "h").filter(verified).select(
-        "doc_id", "tid", "template", F.when(F.col("template") > 0, at - F.col("tpos")).alias("diagonal"), at.alias("at"), "bit",
+        "doc_id", "tid", "template", F.when(F.col("template") > 0, at - F.col("tpos")).alias("diagonal"), at.alias("at"), "part", "bit",
         F.when(F.col("template") == 0, F.col("n_words")).alias("n_words"),
     )
     by = ["doc_id", "tid", "template"]
-    votes = hits.groupBy(*by, "diagonal").agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("n_words").alias("copies"))
+    votes = hits.groupBy(*by, "diagonal", "part").agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("n_words").alias("copies"))
     votes = votes.join(F.broadcast(listed.select("template", "label", "phrase", "grams")), "template")
     run = Window.partitionBy(*by).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(run) > F.when(F.col("phrase"), 0).otherwise(BAND), F.lit(False))
-    merged = votes.withColumn("span", F.sum(apart.cast("int")).over(run)).groupBy(*by, "label", "phrase", "grams", "span").agg(
-        F.bit_count(F.bit_or("mask")).alias("found"), F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("copies").alias("copies")
-    )
+    spans = [*by, "label", "phrase", "grams", "span"]
+    rest = [F.max("n_words").alias("n_words"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("copies").alias("copies")]
+    parts = votes.withColumn("span", F.sum(apart.cast("int")).over(run)).groupBy(*spans, "part").agg(F.bit_count(F.bit_or("mask")).alias("found"), *rest)
+    merged = parts.groupBy(*spans).agg(F.sum("found").alias("found"), *rest)
     share = F.col("found") / F.greatest("grams", F.lit(1))
     tight = F.col("high") - F.col("low") + 1 <= F.ceil(F.col("grams") * STRETCH)
     base = F.col("phrase") & (F.col("found") == F.col("grams"))

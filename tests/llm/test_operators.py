@@ -110,6 +110,25 @@ def test_license_scan(docs, empty, rows):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_a_template_may_be_a_whole_license(spark):
+    """Templates of over 63 words take several masks; words that are missing, put in or changed are bridged."""
+    own = random.Random(5)
+    text = [own.choice(VOCABULARY) for _ in range(400)]
+    short, worn = text[:64], [w for k, w in enumerate(text) if k % 50]
+    worn[200:200] = ["put", "in"]
+    half = text[:240]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, f"before {' '.join(worn)} after"), (3, " ".join(half)), (4, " ".join(short)), (5, " ".join(text[63:130]))], "doc_id long, text string")
+    notices = ((" ".join(text), "whole"), (" ".join(short), "short"))
+    got = {r.doc_id: (r.labels, round(r.score, 3)) for r in license_scan.license_scan(docs, notices=notices).collect()}
+    assert got[1] == ("short,whole", 1.0) and got[4] == ("short", 1.0) and got[3] == ("short", 1.0) and got[5] == ("", 0.0)
+    pairs = {(a, b) for a, b in zip(worn, worn[1:], strict=False)}
+    held = sum(p in pairs for p in zip(text, text[1:], strict=False)) / 399
+    labels, score = got[2]
+    assert "whole" in labels.split(",") and 0.9 < score and (score == round(held, 3) or "short" in labels)
+    with pytest.raises(ValueError, match="2 words"):
+        license_scan.license_scan(docs, notices=(("one", "x"),))
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):
