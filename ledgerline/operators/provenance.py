@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import deque
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import numbers
+from .numbering import numbered
+from .scan import scanned
 
 #: What is written in figures but counts nothing: kind and pattern, masked in this order before a text is scanned. Fixed patterns.
 MASKS = (
@@ -49,44 +48,24 @@ def figure_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return number_tokens(df.select(F.col(key), masked(F.coalesce(F.col(text), F.lit(""))).alias("_text")), key, "_text")
 
 
-def attribute(tokens: list[str], ledger: list[tuple[str, str]]) -> list[str | None]:
-    """The origin of each token: of a longest run of entries (text, origin) in the same order, then of spare entries with its text.
-
-    Entries of a text are met in falling order, so a rising run of met entries, found by patience, takes each token once.
-    """
-    places: dict[str, list[int]] = {}
-    for at, (text, _) in enumerate(ledger):
-        places.setdefault(text, []).append(at)
-    tops: list[int] = []  # the smallest entry on which a run of each length ends
-    nodes: list[tuple] = []  # the same, as (token, entry, node before)
-    for place, token in enumerate(tokens):
-        for at in reversed(places.get(token, ())):
-            length = bisect_left(tops, at)
-            if length == len(tops) or at < tops[length]:
-                tops[length:length + 1] = [at]
-                nodes[length:length + 1] = [(place, at, nodes[length - 1] if length else None)]
-    met: dict[int, int] = {}
-    node = nodes[-1] if nodes else None
-    while node:
-        met[node[0]], node = node[1], node[2]
-    taken = set(met.values())
-    spare = {text: deque(at for at in found if at not in taken) for text, found in places.items()}
-    for place, token in enumerate(tokens):
-        if place not in met and spare.get(token):
-            met[place] = spare[token].popleft()
-    return [ledger[met[place]][1] if place in met else None for place in range(len(tokens))]
-
-
 def attributed(tokens: DataFrame, ledger: DataFrame, scope: str) -> DataFrame:
     """scope, place, token and origin (null if none) of tokens (scope, place, token), by the ledger (scope, place, text, origin).
 
-    A figure is vouched for within its own scope alone, such as a page of a report, so scopes are judged apart.
+    A figure is vouched for within its own scope alone, such as a page of a report, and each entry vouches once. Figures and
+    entries are paired by what they say and by what follows them, the first with the first; then those that are left by what
+    they say, again in order. So as many figures of a text have an origin as there are entries for it, and a figure printed
+    between the same neighbours as its entry was keeps it although other figures were added or left out. Scans over ranges of
+    (scope, place) number both sides, so a scope or a figure of any size spreads over tasks. Places tell the rows of a scope
+    apart; rows that share one are paired in any order. A null scope is a scope.
     """
-    kind = tokens.schema[scope].dataType.simpleString()
-
-    def judge(own: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        own, entries = own.sort_values("place"), entries.sort_values("place")
-        return own.assign(origin=attribute(own["token"].tolist(), list(zip(entries["text"], entries["origin"], strict=True))))
-
-    names = tokens.select(scope, F.col("place").cast("int").alias("place"), "token")
-    return names.groupBy(scope).cogroup(ledger.groupBy(scope)).applyInPandas(judge, f"{scope} {kind}, place int, token string, origin string")
+    said = scanned(tokens.select(scope, F.col("place").cast("int").alias("place"), "token"), [scope], ["place"], _after=("next", "token"))
+    held = ledger.select(F.col(scope).alias("_scope"), F.col("place").alias("_at"), F.col("text").alias("_text"), "origin", F.lit(True).alias("_met"))
+    held = scanned(held, ["_scope"], ["_at"], _next=("next", "_text"))
+    same = F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("token") == F.col("_text"))
+    said, held = numbered(said, ["place"], "_nth", [scope, "token", "_after"]), numbered(held, ["_at"], "_mth", ["_scope", "_text", "_next"])
+    beside = same & F.col("_after").eqNullSafe(F.col("_next")) & (F.col("_nth") == F.col("_mth"))
+    found, spare = said.join(held, beside, "left"), held.join(said, beside, "left_anti")
+    rest = numbered(found.filter("_met is null").select(scope, "place", "token"), ["place"], "_nth", [scope, "token"])
+    spare = numbered(spare.drop("_mth"), ["_at"], "_mth", ["_scope", "_text"])
+    out = [scope, "place", "token", "origin"]
+    return found.filter("_met").select(*out).unionByName(rest.join(spare, same & (F.col("_nth") == F.col("_mth")), "left").select(*out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerline.functions import similarity, text
-from ledgerline.operators import allocation, components, conformance, joins, marts, numbering, parties, profiling, provenance, quality, reconcile, reports, runs, staging
+from ledgerline.operators import allocation, components, conformance, governance, joins, marts, numbering, parties, profiling, provenance, quality, reconcile, reports, runs, staging, yields
 from ledgerline.plans import bindings
 from ledgerline.plans import staging as bound
 from ledgerline.sources import config, publish, raw
@@ -289,9 +289,72 @@ def test_extracts_split_within_quoted_cells(spark, tmp_path):
 
 
 def test_figures_are_attributed_within_their_scope(spark):
-    tokens = spark.createDataFrame([("p", 0, "1"), ("p", 1, "2"), ("q", 0, "2")], "page string, place int, token string")
-    ledger = spark.createDataFrame([("p", 0, "2", "b"), ("p", 1, "1", "a"), ("p", 2, "2", "c")], "page string, place int, text string, origin string")
-    assert {(r.page, r.place): r.origin for r in provenance.attributed(tokens, ledger, "page").collect()} == {("p", 0): "a", ("p", 1): "c", ("q", 0): None}
+    tokens = spark.createDataFrame([("p", 0, "1"), ("p", 1, "2"), ("q", 0, "2"), (None, 0, "5")], "page string, place int, token string")
+    ledger = spark.createDataFrame([("p", 0, "2", "b"), ("p", 1, "1", "a"), ("p", 2, "2", "c"), (None, 9, "5", None)], "page string, place int, text string, origin string")
+    # The figure 1 is followed by 2, as its entry is, and the last 2 by nothing, as the entry c is.
+    assert {(r.page, r.place): r.origin for r in provenance.attributed(tokens, ledger, "page").collect()} == {("p", 0): "a", ("p", 1): "c", ("q", 0): None, (None, 0): None}
+    assert provenance.attributed(tokens.limit(0), ledger, "page").count() == 0
+    assert [r.origin for r in provenance.attributed(tokens, ledger.limit(0), "page").collect()] == [None] * 4
+
+
+def test_attribution_equals_a_walk_and_gives_each_entry_once(spark):
+    rng = random.Random(12)
+    said = {s: [str(rng.randrange(4)) for _ in range(n)] for s, n in (("hot", 300), ("b", 20), ("c", 1))}
+    book = {s: [(t, f"{s}{k}") for k, t in enumerate(texts) if k % 7 != 3] + [("9", "spare"), ("1", "late")] for s, texts in said.items()}
+
+    def walk(texts, entries):
+        after = lambda xs, k: xs[k + 1] if k + 1 < len(xs) else None
+        words, out, used = [t for t, _ in entries], {}, set()
+        for sees in (lambda xs, k: (xs[k], after(xs, k)), lambda xs, k: xs[k]):
+            waiting = {}
+            for k in range(len(words)):
+                if k not in used:
+                    waiting.setdefault(sees(words, k), []).append(k)
+            for k in range(len(texts)):
+                if k not in out and waiting.get(sees(texts, k)):
+                    out[k] = waiting[sees(texts, k)].pop(0)
+            used |= set(out.values())
+        return [entries[out[k]][1] if k in out else None for k in range(len(texts))]
+
+    tokens = spark.createDataFrame([(s, k, t) for s, texts in said.items() for k, t in enumerate(texts)], "page string, place int, token string")
+    ledger = spark.createDataFrame([(s, k, t, o) for s, entries in book.items() for k, (t, o) in enumerate(entries)], "page string, place int, text string, origin string")
+    got = {}
+    for r in provenance.attributed(tokens.repartition(5), ledger.repartition(3), "page").collect():
+        got.setdefault(r.page, {})[r.place] = r.origin
+    for s, texts in said.items():
+        assert [got[s][k] for k in range(len(texts))] == walk(texts, book[s])
+        for t in set(texts):
+            assert sum(got[s][k] is not None for k, x in enumerate(texts) if x == t) == min(texts.count(t), sum(x == t for x, _ in book[s]))
+
+
+def test_bars_for_pieces(spark):
+    rows = [(1, "UB", "M", 10, 2500, 100, 6000), (2, "PLATE", "M", 10, 2500, 1, 6000), (3, "UB", "EA", 10, 2500, 7, 6000), (4, "UB", "M", 10, 7000, 1, 6000), (5, "UC", "M", 1, 6000, 30, 6000), (6, "UB", "M", None, 2500, 5, 6000), (7, None, "M", 5, 2500, 2, 6000)]
+    lines = spark.createDataFrame(rows, "id int, section_type string, uom string, qty int, length_mm int, kg int, bar_length_mm int")
+    cut = {r.id: (r.pieces, r.pieces_per_bar, r.bars, r.used_m, r.bought_m, r.offcut_m, r.bought_kg) for r in yields.cut_lines(lines).collect()}
+    assert cut == {1: (4, 2, 2, 10.0, 12.0, 2.0, 120.0), 5: (0, 1, 0, 0.0, 0.0, 0.0, None), 6: (None, 2, None, None, None, None, None)}
+    receipts = spark.createDataFrame([("a", 3, "KG"), ("a", 2, "M"), ("b", 2, "EA"), ("c", 1, "M"), ("gone", 5, "KG"), ("a", 9, "BOX")], "material_code string, qty int, uom string")
+    xref = spark.createDataFrame([("a", "U1", None, None), ("b", None, "U2", "U1"), ("c", None, None, "U3, U1")], "source_code string, canonical_code string, proposed_code string, candidates string")
+    golden = spark.createDataFrame([("U1", "UB", 10.0, 4.0), ("U2", "UB", 1.0, 50.0), ("U3", "UC", 6.0, 1.0)], "canonical_code string, section_type string, mass double, kg_per_ea double")
+    received = yields.received_weight(receipts, xref, golden)
+    assert sorted((r.material_code, r.section_type, r.kg) for r in received.collect() if r.kg is not None) == [("a", "UB", 3.0), ("a", "UB", 20.0), ("b", "UB", 100.0), ("c", "UC", 6.0), ("gone", None, 5.0)]
+    by = {r.section_type: r for r in yields.by_section(lines, received).collect()}
+    assert set(by) == {"UB", "PLATE", "UC", None}
+    ub = by["UB"]
+    assert (ub.bom_lines, ub.cut_used_kg, ub.cut_bought_kg, ub.issued_kg, ub.received_kg, ub.received_to_issued) == (2, 105.0, 120.0, 113.0, 123.0, 1.09)
+    assert by["PLATE"].bom_lines is None and by["PLATE"].received_kg is None and by["UC"].cut_yield_pct is None
+
+
+def test_governance_over_empty_and_unknown(spark):
+    results = spark.createDataFrame([("A", "critical", None, "x"), ("A", "low", False, "y"), ("B", "high", True, "x")], "owner string, severity string, met boolean, system string")
+    found, scored = spark.createDataFrame([("A", "low", "R1"), ("A", "high", "R2"), ("C", "low", "R1")], "owner string, severity string, rule_id string"), spark.createDataFrame([], "owner string, status string")
+    assert sorted(map(tuple, governance.ownership(results, found, scored).collect())) == [("A", 2, 1, 1, 2, 0, 0), ("B", 1, 0, 0, 0, 0, 0)]
+    assert sorted(map(tuple, governance.rules_by_system(results, ["x", "y", "z"]).collect())) == [("A", 1, 1, 0), ("B", 1, 0, 0)]
+    assert governance.chosen(found).count() == 3 and governance.chosen(found, ("A",), (), ("R2",)).count() == 1 and governance.chosen(found, ("A",), ("none",)).count() == 0
+    steps = spark.createDataFrame([("ST-02", 9, 8, 1), ("ST-02", 5, 5, 0), ("XX-01", 1, 1, 0)], "rule string, rows_in long, rows_out long, rows_rejected long")
+    ran = {r.rule: (r.layer, r.rows_in, r.rows_rejected) for r in governance.activity(governance.catalogue(spark), [steps]).collect()}
+    assert ran["ST-02"] == ("staging", 14, 1) and ran["RC-01"] == ("reconciliation", None, None) and ran["XX-01"] == (None, 1, 0) and len(ran) == 27
+    forms = spark.createDataFrame([(1, "1", 2, "bare", None), (1, "WO 1", 1, "prefix", None), (1, "1", 3, "bare", None), (2, "2", 9, "bare", 2), (None, "?", 4, "unparsed", None)], "parsed_number int, source_value string, row_count int, matched_on string, wo_no int")
+    assert sorted((tuple(r) for r in governance.unresolved(forms).collect()), key=str) == [(1, "1, WO 1", 6, "bare"), (None, "?", 4, "unparsed")]
 
 
 def test_conformance_keeps_rows_and_knows_nulls(spark):
