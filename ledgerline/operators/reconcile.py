@@ -45,7 +45,8 @@ def three_way(lines: DataFrame, as_of: str, receipt_grace: int = 5, invoice_grac
     over = beyond(billed - worth, worth * price_tolerance)
     short = beyond(received - ordered, ordered * quantity_tolerance)
     none, zero = F.lit(None).cast("date"), F.lit(0)
-    day, money = (lambda c: F.date_format(c, "dd/MM/yyyy")), (lambda c: F.concat(F.lit("£"), F.format_string("%,.2f", F.round(c, 2))))
+    # Pence are rounded as a double's hundredfold is: 1.005 is 1.00, for it lies below, though F.round(c, 2) goes by its digits.
+    day, money = (lambda c: F.date_format(c, "dd/MM/yyyy")), (lambda c: F.concat(F.lit("£"), F.format_string("%,.2f", F.round(c * 100) / 100)))
     near = lambda c, digits: F.floor(c * 10**digits + 0.5) / 10**digits
     share = F.format_string("%+.1f%%", near(F.try_divide((received - ordered) * 100, ordered), 1))
     verdict = lambda category, risk, date, *told: F.struct(F.lit(category).alias("category"), risk.cast(RISK).alias("value_at_risk"), date.alias("exception_date"), F.concat(*(F.lit(t) if isinstance(t, str) else t for t in told)).alias("reason"))

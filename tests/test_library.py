@@ -172,6 +172,18 @@ def test_tolerance_edges(spark):
     assert tuple(row) == (False, True, "0-30 days", "0-30 days", "31-60 days", "over 180 days")
 
 
+def test_pence_are_rounded_as_in_sql(spark):
+    """Half pence lie below or above their digits as doubles; the reasons round them as the SQL does."""
+    amounts = [f"{k}.{c:02}5" for k in (1, 8, 70976, 156558, 19735) for c in range(0, 100, 7)]
+    lines = spark.sql("SELECT stack({}, {}) AS billed".format(len(amounts), ", ".join(f"'{a}'" for a in amounts))).selectExpr(
+        "billed", "CAST(1 AS DECIMAL(12,2)) AS ordered", "CAST(1 AS DECIMAL(12,2)) AS received", "CAST(999999 AS DECIMAL(12,2)) AS received_value", "CAST(billed AS DECIMAL(18,6)) AS invoiced", "CAST(1 AS DECIMAL(12,2)) AS order_value",
+        "DATE '2001-01-01' AS promised", "DATE '2001-01-01' AS received_on", "DATE '2001-01-10' AS invoiced_on")
+    told = {r.billed: r.reason for r in reconcile.three_way(lines, "2001-06-01").collect()}
+    for a in amounts:
+        want = duckdb.connect().execute(f"SELECT '£' || printf('%,.2f', round(CAST(CAST({a} AS DECIMAL(18,6)) AS DOUBLE), 2))").fetchone()[0]
+        assert told[a].startswith(f"invoiced {want} against"), (a, told[a])
+
+
 def test_joins_keep_rows(spark):
     child = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "i int, k string")
     parent = spark.createDataFrame([("a", 9), ("a", 8), (None, 7)], "k2 string, v int")
