@@ -11,11 +11,11 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.logger import PySparkLogger
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import checkpointed
+from .components import stored
 from .numbering import numbered
 
 #: Weights of severities. Fixed values.
@@ -192,7 +192,8 @@ def substituted(sql: str, parameters: dict) -> str:
 
 @dataclass(frozen=True)
 class Evaluation:
-    checks: DataFrame  # rule_id, record_key, passed, observed, source_file, source_row
+    checks: DataFrame  # rule_id, record_key, passed, observed, source_file, source_row; read again from the tables when used
+    failing: DataFrame  # those that fail, stored
     results: DataFrame
     errors: dict[str, str]
 
@@ -220,38 +221,53 @@ def _alone(spark: SparkSession, rule: Rule, parameters: dict) -> DataFrame:
 
 def fused(spark: SparkSession, rules: list[Rule], parameters: dict) -> list[DataFrame]:
     """The records of rules that can be analysed: one scan for all row checks of a table, one aggregation for all group checks of a grouping, one query for each other rule."""
+    return [df for _, df in _fused(spark, rules, parameters)]
+
+
+def _fused(spark: SparkSession, rules: list[Rule], parameters: dict) -> list[tuple[list[Rule], DataFrame]]:
     rows, groups, out = {}, {}, []
     for r in rules:
         if isinstance(r.check, RowCheck):
             check = r.check.given(parameters)
-            rows.setdefault(check.table, []).append(_record(r.id, F.expr(check.key), F.expr(check.test), F.expr(check.observed)))
+            rows.setdefault(check.table, []).append((r, _record(r.id, F.expr(check.key), F.expr(check.test), F.expr(check.observed))))
         elif isinstance(r.check, GroupCheck):
             check = r.check.given(parameters)
-            groups.setdefault((check.table, check.keys), []).append((r.id, check))
+            groups.setdefault((check.table, check.keys), []).append((r, check))
         else:
-            out.append(_alone(spark, r, parameters))
-    for table, records in rows.items():
+            out.append(([r], _alone(spark, r, parameters)))
+    for table, checks in rows.items():
         df = spark.sql(f"SELECT * FROM {table}")
-        out.append(df.select(F.explode(F.array(*records)).alias("r"), *_lines(df, "_source_file", "_source_row")).select("r.*", "source_file", "source_row"))
+        records = [record for _, record in checks]
+        out.append(([r for r, _ in checks], df.select(F.explode(F.array(*records)).alias("r"), *_lines(df, "_source_file", "_source_row")).select("r.*", "source_file", "source_row")))
     for (table, keys), checks in groups.items():
         once = spark.sql(f"SELECT * FROM {table}").groupBy(*map(F.expr, keys)).agg(*(F.struct(F.expr(c.test).alias("passed"), F.expr(c.observed).alias("observed")).alias(f"_{i}") for i, (_, c) in enumerate(checks)))
-        records = [_record(rule, F.expr(c.key), F.col(f"_{i}.passed"), F.col(f"_{i}.observed")) for i, (rule, c) in enumerate(checks)]
-        out.append(once.select(F.explode(F.array(*records)).alias("r")).select("r.*", F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("int").alias("source_row")))
+        records = [_record(r.id, F.expr(c.key), F.col(f"_{i}.passed"), F.col(f"_{i}.observed")) for i, (r, c) in enumerate(checks)]
+        out.append(([r for r, _ in checks], once.select(F.explode(F.array(*records)).alias("r")).select("r.*", F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("int").alias("source_row"))))
     return out
 
 
+def _tried(rules: list[Rule], records: DataFrame) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """The records that fail, stored, and how many of each rule there are and fail, counted as they go by."""
+    seen = Observation()
+    own = lambda r: F.col("rule_id") == r.id
+    counts = [F.count_if(test).alias(f"{name}_{i}") for i, r in enumerate(rules) for name, test in (("checked", own(r)), ("failed", own(r) & ~F.col("passed")))]
+    failing = stored(records.observe(seen, *counts).filter(~F.col("passed")))
+    return failing, [(r.id, seen.get[f"checked_{i}"], seen.get[f"failed_{i}"]) for i, r in enumerate(rules)]
+
+
 def evaluate(spark: SparkSession, rules: list[Rule], parameters: dict | None = None) -> Evaluation:
     """All rules' records, tagged, and one row of results for each rule; a rule that fails to analyse is an error and not scored.
 
-    pass_rate is 1 where nothing was checked; score = min(1, pass_rate / threshold); a null ``passed`` fails. The records are
-    written once, by fused(). If that fails, for a cast that breaks on some row, each rule is tried alone and only those that
-    break are errors.
+    pass_rate is 1 where nothing was checked; score = min(1, pass_rate / threshold); a null ``passed`` fails. Each query of
+    fused() runs once and on its own: records that pass are counted, those that fail are stored, so that the disk holds these
+    and the shuffles of one query at a time. If a query breaks, for a cast that breaks on some row, each of its rules is tried
+    alone and only those that break are errors.
     """
     given, sound, errors = parameters or {}, [], {}
     log = PySparkLogger.getLogger("SQLQueryContextLogger")  # which would write the stack of every rule that breaks
     level = log.level
     log.setLevel(logging.CRITICAL + 1)
-    none = spark.createDataFrame([], RECORD)
+    none, checks, failing, counts = spark.createDataFrame([], RECORD), [], [], []
     try:
         for r in rules:
             try:
@@ -259,25 +275,29 @@ def evaluate(spark: SparkSession, rules: list[Rule], parameters: dict | None = N
                 sound.append(r)
             except (AnalysisException, ValueError) as e:
                 errors[r.id] = str(e).splitlines()[0]
-        try:
-            checks = checkpointed(reduce(DataFrame.unionAll, fused(spark, sound, given), none))
-        except (PySparkException, Py4JJavaError):  # what a rule's rows raise
-            whole = {}
-            for r in sound:
-                try:
-                    whole[r.id] = checkpointed(_alone(spark, r, given))
-                except (PySparkException, Py4JJavaError) as e:
-                    errors[r.id] = str(e).splitlines()[0]
-            checks = reduce(DataFrame.unionAll, whole.values(), none)
+        waiting = _fused(spark, sound, given)
+        while waiting:
+            own, records = waiting.pop(0)
+            try:
+                failed, counted = _tried(own, records)
+            except (PySparkException, Py4JJavaError) as e:  # what a rule's rows raise
+                if len(own) > 1:
+                    waiting += [([r], _alone(spark, r, given)) for r in own]
+                else:
+                    errors[own[0].id] = str(e).splitlines()[0]
+                continue
+            checks.append(records)
+            failing.append(failed)
+            counts += counted
     finally:
         log.setLevel(level)
     listed = spark.createDataFrame([(r.id, r.name, r.dimension, r.severity, SEVERITY[r.severity], r.system, r.owner, float(r.threshold), "error" if r.id in errors else "ok") for r in rules], "rule_id string, name string, dimension string, severity string, weight int, system string, owner string, threshold double, status string")
-    counted = checks.groupBy("rule_id").agg(F.count("*").alias("checked"), F.count_if(~F.col("passed")).alias("failed"))
+    counted = spark.createDataFrame(counts, "rule_id string, checked long, failed long")
     rate = F.when(F.col("checked") > 0, 1 - F.col("failed").cast("double") / F.col("checked")).otherwise(1.0)
     joined = listed.join(F.broadcast(counted), "rule_id", "left").fillna(0, ["checked", "failed"]).withColumn("pass_rate", rate)
     ok = F.col("status") == "ok"
     results = joined.withColumn("met", F.when(ok, F.col("pass_rate") >= F.col("threshold"))).withColumn("score", F.when(ok, F.least(F.lit(1.0), F.col("pass_rate") / F.col("threshold"))))
-    return Evaluation(checks, results, errors)
+    return Evaluation(*(reduce(DataFrame.unionAll, x, none) for x in (checks, failing)), results, errors)
 
 
 def index(results: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -289,7 +309,7 @@ def index(results: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def exceptions(evaluation: Evaluation) -> DataFrame:
     """Failing records with the file and line they come from, where that is known, and their rule's owner and severity, numbered within each rule by key."""
-    failing = numbered(evaluation.checks.filter(~F.col("passed")).drop("passed"), ["record_key", "observed"], group=["rule_id"])
+    failing = numbered(evaluation.failing.drop("passed"), ["record_key", "observed"], group=["rule_id"])
     return failing.join(F.broadcast(evaluation.results.select("rule_id", "severity", "owner")), "rule_id").select("rule_id", "place", "record_key", "observed", "source_file", "source_row", "severity", "owner")
 
 

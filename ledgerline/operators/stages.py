@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_name
 from ..sources import publish as store
 from . import allocation, marts, matching, materials, parties, quality, reconcile, traceability
-from .components import checkpointed, connected_components
+from .components import checkpointed, connected_components, released, stored
 from .runs import run_id
 
 
-def _run(spark: SparkSession, root: str, stage: str, run: str | None, build: Callable[[str], tuple[dict[str, DataFrame], Callable]]) -> str:
+def _run(spark: SparkSession, root: str, stage: str, run: str | None, build: Callable[[str], tuple[dict[str, DataFrame | None], Callable]]) -> str:
     run, status = run or run_id(), "failed"
     try:
         tables, verify = build(run)
@@ -129,7 +129,7 @@ def run_quality(spark: SparkSession, root: str, rules: list[quality.Rule], param
         found = quality.evaluate(spark, rules, parameters)
         listed = spark.createDataFrame([(r.id, r.name, r.dimension, r.severity, r.system, r.owner, float(r.threshold), r.action, ", ".join(map(str, r.covers))) for r in rules], "rule_id string, name string, dimension string, severity string, system string, owner string, threshold double, action string, covers string")
         actions = listed.select("rule_id", "action")
-        results = checkpointed(found.results)
+        results = stored(found.results)
         raised = quality.exceptions(found).join(F.broadcast(actions), "rule_id")
 
         def verify(written: dict[str, DataFrame]) -> None:
@@ -158,24 +158,26 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
     there stops the publication.
     """
 
-    def build(_run_id: str):
+    def build(run: str):
         read = _reader(spark, root)
+        built = lambda name, df: store.built(spark, root, run, name, df)
         lines, orders = read("order_lines"), read("order_lines").select(F.col("order_id").alias("po_no"))
         lost = reconcile.without_order(read("invoices"), orders, exempt)
-        match = checkpointed(reconcile.both_sides(reconcile.three_way(lines, as_of), lost, "order_id", "line_id"))
+        match = built("three_way_lines", reconcile.both_sides(reconcile.three_way(lines, as_of), lost, "order_id", "line_id"))
         age = F.datediff(F.lit(as_of).cast("date"), "exception_date")
         ageing = match.filter("exception_date is not null").groupBy("category", reconcile.age_bucket(age).alias("bucket")).agg(F.count("*").alias("n_rows"), F.sum("value_at_risk").alias("total"))
-        costs = checkpointed(reconcile.gaps(read("cost_lines"), ["job"], "side", ("planned", "actual"), "component", ("material", "labour"), "amount"))
+        costs = built("job_cost", reconcile.gaps(read("cost_lines"), ["job"], "side", ("planned", "actual"), "component", ("material", "labour"), "amount"))
         difference = F.col("counted") - F.col("book")
-        stock = checkpointed(read("stock_counts").withColumns({"difference": difference, "accurate": ~reconcile.beyond(difference.cast("double"), F.abs(F.col("book").cast("double")) * stock_tolerance)}))
+        stock = built("stock_lines", read("stock_counts").withColumns({"difference": difference, "accurate": ~reconcile.beyond(difference.cast("double"), F.abs(F.col("book").cast("double")) * stock_tolerance)}))
         issues, receipts = read("issues"), read("receipts")
-        met = allocation.fifo_with_deadline(receipts.select("key", "supply_id", "at", "quantity"), issues.select("key", "demand_id", "at", "deadline", "quantity"), "key")
-        allocated = checkpointed(met.select("key", F.col("supply_id").alias("receipt_id"), F.col("demand_id").alias("line_id"), F.col("allocated").alias("kg")))
+        with released(spark):  # the scans of the allocation, which nothing reads once it is written
+            met = allocation.fifo_with_deadline(receipts.select("key", "supply_id", "at", "quantity"), issues.select("key", "demand_id", "at", "deadline", "quantity"), "key")
+            allocated = built("allocations", met.select("key", F.col("supply_id").alias("receipt_id"), F.col("demand_id").alias("line_id"), F.col("allocated").alias("kg")))
         needs = issues.select(F.col("demand_id").alias("line_id"), "job", F.col("quantity").cast("double").alias("kg"), "unconfirmed", "finished", "despatched", "execution_class", "grade")
         papers = receipts.select(F.col("supply_id").alias("receipt_id"), "heat_number", "mill_cert_ref")
-        traced = checkpointed(traceability.traced(traceability.coverage(needs, allocated, papers)))
-        shown = checkpointed(traceability.receipts_shown(receipts))
-        by_job = checkpointed(traceability.jobs(traced, read("job_sales")))
+        traced = built("traced_lines", traceability.traced(traceability.coverage(needs, allocated, papers)))
+        shown = built("trace_receipts", traceability.receipts_shown(receipts))
+        by_job = built("trace_jobs", traceability.jobs(traced, read("job_sales")))
         breaks = traced.groupBy("break_at").agg(F.count("*").alias("n_lines"), F.sum("kg").alias("kg"))
         figures = [
             *reconcile.exception_headlines("three_way_lines", match, as_of),
@@ -187,8 +189,8 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
         listed = spark.createDataFrame([(i, h.engine, h.key, float(h.value), h.table, h.value_sql, h.rows_sql) for i, h in enumerate(figures, 1)], "ordinal int, engine string, key string, value double, table string, value_sql string, rows_sql string")
         exposure = spark.createDataFrame([(h.engine, h.key, float(h.value)) for h in figures if exposed[h.engine] == h.key], "engine string, label string, exposure double")
         tables = {
-            "three_way_lines": match, "three_way_summary": reconcile.summary(match, "category", reconcile.CATEGORIES, "value_at_risk"), "three_way_ageing": ageing, "job_cost": costs, "stock_lines": stock,
-            "allocations": allocated, "traced_lines": traced, "trace_jobs": by_job, "trace_breaks": breaks, "trace_receipts": shown, "headline": listed, "exposure": exposure,
+            **dict.fromkeys(("three_way_lines", "job_cost", "stock_lines", "allocations", "traced_lines", "trace_jobs", "trace_receipts")), "three_way_summary": reconcile.summary(match, "category", reconcile.CATEGORIES, "value_at_risk"),
+            "three_way_ageing": ageing, "trace_breaks": breaks, "headline": listed, "exposure": exposure,
         }
 
         def verify(written: dict[str, DataFrame]) -> None:

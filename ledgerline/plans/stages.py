@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import stages
-from ..operators.components import checkpointed, shared_folder
+from ..operators.components import scratch, shared_folder, stored
 from ..sources import publish
 from . import marts as mart_plans
 from . import reconciliation
@@ -20,14 +20,19 @@ COMMENTS = {name: text for k in mart_plans.KPIS for name, text in k.views.items(
 
 
 class _Published:
-    """A root of its own in the shared folder, with tables published as stage ``core``; gone when the result has been read."""
+    """A root of its own in the shared folder, with tables published as stage ``core``; gone, with what its stages have stored, when the result has been read."""
 
     def __init__(self, spark, **tables):
         self.spark, self.root = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
-        publish.publish(spark, self.root, "core", tables, stage="core")
+        with scratch(self.root):
+            publish.publish(spark, self.root, "core", tables, stage="core")
+
+    def run(self, stage, *arguments):
+        with scratch(self.root):
+            return stage(self.spark, self.root, *arguments)
 
     def taken(self, df):
-        out = checkpointed(df)
+        out = stored(df)
         publish.delete(self.spark, self.root)
         return out
 
@@ -41,14 +46,14 @@ UNION ALL SELECT rule_id, count(*), count(*) FILTER (WHERE NOT passed), 1 - CAST
 def stage_quality(spark, sf):
     """Results of the quality stage as published."""
     at = _Published(spark, **{t: read(spark, sf, t) for t in ("orders", "customer", "lineitem", "labels", "supplier", "part")})
-    stages.run_quality(spark, at.root, STAGED_RULES, PARAMETERS)
+    at.run(stages.run_quality, STAGED_RULES, PARAMETERS)
     return at.taken(at.read("dq_results").select("rule_id", "checked", "failed", "met"))
 
 
 @query("stage_scorecard", ORACLES["kpi_scorecard"])
 def stage_scorecard(spark, sf):
     at = _Published(spark, **{t: read(spark, sf, t) for t in ("orders", "lineitem")})
-    stages.build_marts(spark, at.root, mart_plans.VIEWS, mart_plans.KPIS)
+    at.run(stages.build_marts, mart_plans.VIEWS, mart_plans.KPIS)
     return at.taken(at.read("kpi_scorecard"))
 
 
@@ -56,7 +61,7 @@ def stage_scorecard(spark, sf):
 def mart_catalogue(spark, sf):
     """The views of the marts stage, as the catalogue describes them, with the rows they give."""
     at = _Published(spark, **{t: read(spark, sf, t) for t in ("orders", "lineitem")})
-    stages.build_marts(spark, at.root, mart_plans.VIEWS, mart_plans.KPIS)
+    at.run(stages.build_marts, mart_plans.VIEWS, mart_plans.KPIS)
     listed = at.read("mart_views")
     database = listed.first()["database"]
     counts = [spark.table(f"{database}.{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name in mart_plans.VIEWS]
@@ -69,11 +74,11 @@ SELECT 'orders.csv' AS _source_file, CAST(o_orderkey + 2 AS INT) AS _source_row,
 UNION ALL SELECT 'invoices.csv', CAST(l_orderkey * 10 + l_linenumber AS INT), concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_returnflag) FROM lineitem"""
 
 
-def _reconciled(spark, sf):
+def _reconciled(spark, sf, **others):
+    """The tables that the reconciliation stage reads, and any ``others``, published."""
     origin = lambda df, file, row: df.withColumns({"_source_file": F.lit(file), "_source_row": F.expr(row).cast("int")})
     lines = origin(reconciliation.three_way_lines(spark, sf).withColumnRenamed("o_orderkey", "order_id"), "orders.csv", "order_id + 2")
-    invoices = origin(reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "invoices.csv", "l_orderkey * 10 + l_linenumber")
-    received = spark.sql(_RECEIVED.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=read(spark, sf, "orders"), lineitem=read(spark, sf, "lineitem"))
+    invoices = origin(reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "invoices.csv", "l_orderkey * 10 + l_linenumber").drop("l_orderkey", "l_linenumber", "l_partkey")
     part = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("job"), F.when(F.col("p_size") % 2 == 0, "material").otherwise("labour").alias("component"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
     planned = part.select("job", F.lit("planned").alias("side"), "component", (F.col("price") * 10).cast("decimal(18,2)").alias("amount"))
     booked = read(spark, sf, "lineitem").filter("l_linestatus = 'F'").join(part, "l_partkey").select("job", F.lit("actual").alias("side"), "component", F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
@@ -89,7 +94,7 @@ def _reconciled(spark, sf):
     )
     sales = read(spark, sf, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("job"), F.col("c_mktsegment").alias("customer"), F.col("c_acctbal").cast("decimal(12,2)").alias("sales_value"))
     stock = reconciliation._stock(spark, sf).withColumnRenamed("l_partkey", "item")
-    return _Published(spark, raw_lines=received, order_lines=lines, invoices=invoices, cost_lines=planned.unionByName(booked), stock_counts=stock, receipts=receipts, issues=issues, job_sales=sales)
+    return _Published(spark, **others, order_lines=lines, invoices=invoices, cost_lines=planned.unionByName(booked), stock_counts=stock, receipts=receipts, issues=issues, job_sales=sales)
 
 
 _TRACE = """
@@ -128,7 +133,7 @@ def _told(engine, with_, asked):
 def stage_headlines(spark, sf):
     """Every figure that the reconciliation stage publishes, each computed again from its rows before it was."""
     at = _reconciled(spark, sf)
-    stages.run_reconcile(spark, at.root, reconciliation.AS_OF, ("N",))
+    at.run(stages.run_reconcile, reconciliation.AS_OF, ("N",))
     return at.taken(at.read("headline").select("engine", "key", "value"))
 
 
@@ -136,7 +141,7 @@ def stage_headlines(spark, sf):
 def headline_rows(spark, sf):
     """The rows behind one published figure, by the query that the figure itself carries."""
     at = _reconciled(spark, sf)
-    stages.run_reconcile(spark, at.root, reconciliation.AS_OF, ("N",))
+    at.run(stages.run_reconcile, reconciliation.AS_OF, ("N",))
     reader = publish.Reader(spark, at.root)
     sql = reader.query("SELECT rows_sql FROM headline WHERE engine = :engine AND key = :key", {"engine": "three_way", "key": "over_90_days"}).first()["rows_sql"]
     return at.taken(reader.query(sql).drop("_source_file", "_source_row").withColumn("value_at_risk", F.col("value_at_risk").cast("double")))
@@ -147,6 +152,7 @@ named AS (SELECT DISTINCT CASE line_type WHEN 'PO line' THEN 'orders.csv' ELSE '
 SELECT r.* FROM received r JOIN named USING (_source_file, _source_row)""")
 def headline_raw_lines(spark, sf):
     """The lines as received behind the exceptions of over 90 days."""
-    at = _reconciled(spark, sf)
-    stages.run_reconcile(spark, at.root, reconciliation.AS_OF, ("N",))
+    received = spark.sql(_RECEIVED.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=read(spark, sf, "orders"), lineitem=read(spark, sf, "lineitem"))
+    at = _reconciled(spark, sf, raw_lines=received)
+    at.run(stages.run_reconcile, reconciliation.AS_OF, ("N",))
     return at.taken(stages.lines_behind(spark, at.root, "three_way", "over_90_days"))

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import remove, written
+
 MANIFESTS = "manifests"
 
 
@@ -66,11 +68,17 @@ def _swap(spark: SparkSession, root: str, before: dict, run_id: str, tables: dic
     return version
 
 
-def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame], verify: Callable[[dict[str, DataFrame]], None] = lambda _: None, stage: str | None = None) -> None:
+def built(spark: SparkSession, root: str, run_id: str, name: str, df: DataFrame) -> DataFrame:
+    """Writes a table of a run before publish(), which is given None for it and takes it as it stands; gives what was written."""
+    return written(df, f"{root}/run={run_id}/{name}")
+
+
+def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame | None], verify: Callable[[dict[str, DataFrame]], None] = lambda _: None, stage: str | None = None) -> None:
     """Writes ``tables`` under the run, verifies what was written, then publishes them; a failure leaves everything as it was.
 
     With ``stage`` they take the place of the tables which that stage published before, and the tables of other stages stay; a
-    name that another stage has published is an error. Without, they are all that is published.
+    name that another stage has published is an error. Without, they are all that is published. A table that built() has
+    written for this run is None here.
     """
     before = manifest(spark, root)
     others = {name: t for name, t in before["tables"].items() if t["stage"] != stage} if stage else {}
@@ -78,7 +86,8 @@ def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataF
     if taken:
         raise ValueError(f"{stage}: {', '.join(taken)} belong to {', '.join(sorted({str(others[t]['stage']) for t in taken}))}")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/run={run_id}/{name}")
+        if df is not None:
+            built(spark, root, run_id, name, df)
     verify({name: spark.read.parquet(f"{root}/run={run_id}/{name}") for name in tables})
     _swap(spark, root, before, run_id, others | {name: {"run": run_id, "stage": stage} for name in tables})
 
@@ -172,8 +181,7 @@ def delete(spark: SparkSession, root: str) -> None:
     for d in spark.catalog.listDatabases():
         if d.locationUri and f"{root.split(':', 1)[-1].lstrip('/')}/catalogue/" in d.locationUri:
             spark.sql(f"DROP DATABASE IF EXISTS {d.name} CASCADE")
-    fs, path = _fs(spark, root)
-    fs.delete(path(root), True)
+    remove(spark, root)
 
 
 def expose(spark: SparkSession, root: str, database: str) -> list[str]:

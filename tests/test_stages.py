@@ -1,13 +1,15 @@
 """The stages: what each replaces, what a failure leaves, and what readers see."""
 
 import datetime
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.similarity import pair_score
-from ledgerline.operators import marts, matching, quality, stages
+from ledgerline.operators import components, marts, matching, quality, stages
+from ledgerline.plans import bindings
 from ledgerline.sources import publish
 
 DAY = datetime.date
@@ -160,3 +162,35 @@ def test_rules_of_a_table_are_one_scan_and_know_their_lines(spark, tmp_path):
     listed = quality.exceptions(found).filter("rule_id = 'A'").orderBy("place").collect()
     assert [(r.record_key, r.observed, r.source_file, r.source_row) for r in listed] == [("7", "7", "f.csv", 9), ("8", "8", "f.csv", 10)]
     assert found.checks.filter("rule_id = 'C'").select("observed", "source_row").distinct().collect() == [("3", None)]
+
+
+def held(spark):
+    """Bytes in the shared folder."""
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(components.shared_folder(spark)) for f in files)
+
+
+@pytest.mark.parametrize("name", ["stage_quality", "headline_rows"])
+def test_stages_leave_their_result_alone_on_disk(spark, name):
+    """Nothing of what a stage stores outlives its query but the rows that this gives, and these are columns, not rows as in memory."""
+    before = held(spark)
+    n = bindings.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert held(spark) - before < 20_000 + 60 * n
+
+
+def test_only_records_that_fail_are_stored(spark):
+    spark.range(1000).createOrReplaceTempView("many")
+    rules = [quality.Rule(i, i, "validity", "low", "s", "o", 1.0, check) for i, check in (("A", quality.predicate("many", "id", "id <> 7", "id")), ("B", quality.predicate("many", "id", "id >= 0")), ("C", "SELECT id AS record_key, id < 998 AS passed, NULL AS observed FROM many"), ("D", quality.predicate("many", "id", "CAST(concat('x', id) AS INT) > 0")))]
+    found = quality.evaluate(spark, rules)
+    assert {r.rule_id: (r.status, r.checked, r.failed) for r in found.results.collect()} == {"A": ("ok", 1000, 1), "B": ("ok", 1000, 0), "C": ("ok", 1000, 2), "D": ("error", 0, 0)}
+    assert sorted((r.rule_id, r.record_key) for r in found.failing.collect()) == [("A", "7"), ("C", "998"), ("C", "999")]
+    assert found.checks.count() == 3000
+
+
+def test_what_is_released_is_gone_and_what_outlives_it_stays(spark):
+    before = held(spark)
+    with components.released(spark) as outer:
+        aside = components.stored(spark.range(1000))
+        kept = components.stored(aside.groupBy((F.col("id") % 7).alias("k")).count(), outer)
+        assert held(spark) > before
+    assert kept.agg(F.sum("count")).first()[0] == 1000
+    assert held(spark) - before < 10_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
