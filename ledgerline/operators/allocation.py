@@ -6,15 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import released, stored
 from .scan import scanned
 
 
-def _served(ends: DataFrame, key: str, amount: Column) -> DataFrame:
-    """The stretches between neighbouring ``_to`` of a key: each goes from the next supply to end to the next demand to end.
+def _cuts(ends: DataFrame, key: str) -> DataFrame:
+    """Where a key's quantity is cut. ``ends``: key, _to, supply_id, demand_id, one of them null, unique by key, _to and side."""
+    return ends.groupBy(key, "_to").agg(F.max("supply_id").alias("supply_id"), F.max("demand_id").alias("demand_id"))
 
-    ``ends``: key, _to, supply_id, demand_id, one of them null, unique by key, _to and side.
-    """
-    cuts = ends.groupBy(key, "_to").agg(F.max("supply_id").alias("supply_id"), F.max("demand_id").alias("demand_id"))
+
+def _served(cuts: DataFrame, key: str, amount: Column) -> DataFrame:
+    """The stretches between neighbouring ``_to`` of a key's cuts: each goes from the next supply to end to the next demand to end."""
     looked = scanned(cuts, [key], [F.col("_to").desc()], s=("last", "supply_id"), d=("last", "demand_id"), _from=("next", "_to"))
     served = looked.select(key, F.col("s").alias("supply_id"), F.col("d").alias("demand_id"), (F.col("_to") - F.coalesce("_from", F.lit(0))).alias("allocated"))
     return served.filter("supply_id IS NOT NULL AND demand_id IS NOT NULL").withColumn("allocated", amount)
@@ -30,7 +32,9 @@ def fifo(supply: DataFrame, demand: DataFrame, key: str, supply_order: list[str]
     """
     side = lambda df, name, order: df.filter(F.col(quantity) > 0).select(key, F.lit(name).alias("_side"), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).alias("_o"), F.col(quantity).alias("_q"), F.col(f"{name}_id"))
     both = side(supply, "supply", supply_order).unionByName(side(demand, "demand", demand_order), allowMissingColumns=True)
-    return _served(scanned(both, [key, "_side"], ["_o"], _to=("sum", "_q")), key, F.col("allocated"))
+    with released(supply.sparkSession) as outer:
+        cuts = stored(_cuts(scanned(both, [key, "_side"], ["_o"], _to=("sum", "_q")), key), outer)
+    return _served(cuts, key, F.col("allocated"))
 
 
 EXACT = "decimal(38,6)"
@@ -45,24 +49,27 @@ def fifo_with_deadline(supply: DataFrame, demand: DataFrame, key: str) -> DataFr
     demands: a running minimum, so such keys spread over partitions. Where they don't, what a demand may take depends on what
     each earlier one has left, and the key is walked in one task.
     """
-    exact = lambda df: df.filter(F.col("quantity") > 0).withColumn("_q", F.col("quantity").cast(EXACT))
+    exact = lambda df: df.filter(F.col("quantity") > 0).withColumn("_q", F.col("quantity").cast(EXACT)).drop("quantity")
     supply, demand = exact(supply), exact(demand)
     came = supply.select(key, F.col("at").alias("_t"), F.lit(0).alias("_kind"), F.col("supply_id").alias("_id"), "_q")
     due = demand.select(key, F.col("deadline").alias("_t"), F.lit(1).alias("_kind"), F.col("demand_id").alias("_id"), F.lit(0).cast(EXACT).alias("_q"))
-    timed = scanned(came.unionByName(due), [key], ["_t", "_kind", "_id"], _to=("sum", "_q"))
-    wanted = scanned(demand, [key], ["at", "demand_id"], _wanted=("sum", "_q"), _later=("next", "deadline"))
-    back = wanted.filter("_later < deadline").select(F.col(key).alias("_back")).distinct()
-    walked = back.head(1)
-    if walked:
-        wanted = wanted.join(back, F.col(key).eqNullSafe(F.col("_back")), "left_anti")
-    until = timed.filter("_kind = 1").select(F.col(key).alias("_key"), F.col("_id"), F.col("_to").alias("_supplied"))
-    met = wanted.join(until, F.col(key).eqNullSafe(F.col("_key")) & (F.col("demand_id") == F.col("_id"))).withColumn("_room", F.col("_supplied") - F.col("_wanted"))
-    taken = scanned(met.select(key, "at", "demand_id", "_wanted", "_room"), [key], ["at", "demand_id"], _least=("min", "_room"))
-    upto = taken.select(key, "at", "demand_id", (F.col("_wanted") + F.least(F.lit(0).cast(EXACT), "_least")).cast(EXACT).alias("_to"))
-    # Of demands that take all until one end only the first takes anything.
-    first = upto.filter("_to > 0").groupBy(key, "_to").agg(F.min(F.struct("at", "demand_id"))["demand_id"].alias("demand_id"))
-    ends = timed.filter("_kind = 0").select(key, F.col("_to").cast(EXACT).alias("_to"), F.col("_id").alias("supply_id")).unionByName(first, allowMissingColumns=True)
-    out = _served(ends, key, F.round("allocated", 3).cast("double"))
+    # Joins are stored before they are scanned, and scans go when what is made of them is stored: fewer stand on disk at a time.
+    with released(supply.sparkSession) as outer:
+        timed = scanned(came.unionByName(due), [key], ["_t", "_kind", "_id"], _to=("sum", "_q"))
+        wanted = scanned(demand, [key], ["at", "demand_id"], _wanted=("sum", "_q"), _later=("next", "deadline"))
+        back = stored(wanted.filter("_later < deadline").select(F.col(key).alias("_back")).distinct(), outer)
+        walked = back.head(1)
+        if walked:
+            wanted = wanted.join(back, F.col(key).eqNullSafe(F.col("_back")), "left_anti")
+        until = timed.filter("_kind = 1").select(F.col(key).alias("_key"), F.col("_id"), F.col("_to").alias("_supplied"))
+        met = wanted.join(until, F.col(key).eqNullSafe(F.col("_key")) & (F.col("demand_id") == F.col("_id"))).withColumn("_room", F.col("_supplied") - F.col("_wanted"))
+        taken = scanned(stored(met.select(key, "at", "demand_id", "_wanted", "_room")), [key], ["at", "demand_id"], _least=("min", "_room"))
+        upto = taken.select(key, "at", "demand_id", (F.col("_wanted") + F.least(F.lit(0).cast(EXACT), "_least")).cast(EXACT).alias("_to"))
+        # Of demands that take all until one end only the first takes anything.
+        first = upto.filter("_to > 0").groupBy(key, "_to").agg(F.min(F.struct("at", "demand_id"))["demand_id"].alias("demand_id"))
+        ends = timed.filter("_kind = 0").select(key, F.col("_to").cast(EXACT).alias("_to"), F.col("_id").alias("supply_id")).unionByName(first, allowMissingColumns=True)
+        cuts = stored(_cuts(ends, key), outer)
+    out = _served(cuts, key, F.round("allocated", 3).cast("double"))
     return out.unionByName(_walked(*(df.join(back, F.col(key).eqNullSafe(F.col("_back")), "left_semi") for df in (supply, demand)), key)) if walked else out
 
 

@@ -50,13 +50,15 @@ def three_way(lines: DataFrame, as_of: str, receipt_grace: int = 5, invoice_grac
     near = lambda c, digits: F.floor(c * 10**digits + 0.5) / 10**digits
     share = F.format_string("%+.1f%%", near(F.try_divide((received - ordered) * 100, ordered), 1))
     verdict = lambda category, risk, date, *told: F.struct(F.lit(category).alias("category"), risk.cast(RISK).alias("value_at_risk"), date.alias("exception_date"), F.concat(*(F.lit(t) if isinstance(t, str) else t for t in told)).alias("reason"))
+    # A double becomes a risk by its millionfold, rounded, as in SQL, and not by its digits.
+    exact = lambda c: F.round(c * 10**6).cast("decimal(26,0)") * F.lit("0.000001").cast("decimal(6,6)")
     ladder = (
         F.when(F.col("received").isNull(), F.when(receipt_due > today, verdict("not yet due", zero, none, "promised ", day("promised"), "; not due for receipt until ", day(receipt_due)))
                .otherwise(verdict("missing GRN", F.col("order_value"), F.col("promised"), "promised ", day("promised"), ", nothing received; ", money(F.col("order_value").cast("double")), " committed")))
         .when(F.col("invoiced").isNull(), F.when(invoice_due > today, verdict("not yet due", zero, none, "received ", day("received_on"), "; invoice not due until ", day(invoice_due)))
               .otherwise(verdict("missing invoice", F.col("received_value"), F.col("received_on"), "received ", day("received_on"), ", not invoiced; ", money(worth), " unaccrued")))
         .when(over, verdict("price variance", F.abs(F.col("invoiced") - F.col("received_value")), F.col("invoiced_on"), "invoiced ", money(billed), " against ", money(worth), " expected; tolerance ", money(near(worth * price_tolerance, 2))))
-        .when(short, verdict("quantity variance", F.abs(received - ordered) * worth / received, F.col("invoiced_on"), "ordered ", F.format_string("%.0f", ordered), ", received ", F.format_string("%.0f", received), " (", share, f"); tolerance {quantity_tolerance:.0%}"))
+        .when(short, verdict("quantity variance", exact(F.abs(received - ordered) * worth / received), F.col("invoiced_on"), "ordered ", F.format_string("%.0f", ordered), ", received ", F.format_string("%.0f", received), " (", share, f"); tolerance {quantity_tolerance:.0%}"))
         .otherwise(verdict("matched", zero, none, "received ", F.format_string("%.0f", received), " of ", F.format_string("%.0f", ordered), "; invoice within ", money(near(worth * price_tolerance, 2))))
     )
     return lines.withColumn("_v", ladder).select("*", "_v.category", "_v.value_at_risk", "_v.exception_date", "_v.reason").drop("_v")
