@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import stored
+from .components import checkpointed, scratched, stored
 
 
 def scanned(df: DataFrame, group: list[str], order: list[Column | str], **made: tuple[str, str | None]) -> DataFrame:
@@ -27,7 +27,8 @@ def scanned(df: DataFrame, group: list[str], order: list[Column | str], **made:
         "last": lambda c: F.last(c, ignorenulls=True).over(upto), "next": lambda c: F.lead(c).over(within),
     }
     placed = df.repartitionByRange(*group, *order).withColumn("_scan_p", F.spark_partition_id())
-    own = stored(placed.withColumns({name: here[kind](c) for name, (kind, c) in made.items()} | {"_scan_n": F.row_number().over(within), "_scan_ends": F.lead(F.lit(1)).over(within).isNull()}))
+    keep = stored if scratched() else checkpointed  # small files are read back in fewer tasks than a checkpoint
+    own = keep(placed.withColumns({name: here[kind](c) for name, (kind, c) in made.items()} | {"_scan_n": F.row_number().over(within), "_scan_ends": F.lead(F.lit(1)).over(within).isNull()}))
     # What each part of a group comes to: its last row's running values, and what its first row shows to the part before.
     held = own.groupBy("_scan_p", *group).agg(*((F.min_by(c, "_scan_n") if kind == "next" else F.max_by(name, "_scan_n")).alias(f"_scan_of_{name}") for name, (kind, c) in made.items()))
     parts = Window.partitionBy(*group).orderBy("_scan_p")
