@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_name
 from ..sources import publish as store
 from . import allocation, marts, matching, materials, parties, quality, reconcile, traceability
-from .components import checkpointed, connected_components, released, stored
+from .components import checkpointed, connected_components, stored
 from .runs import run_id
 
+#: Rows of receipts and issues that are allocated at a time, and the most slices that they are dealt into.
+SLICE, SLICES = 500_000, 8
+
 
 def _run(spark: SparkSession, root: str, stage: str, run: str | None, build: Callable[[str], tuple[dict[str, DataFrame | None], Callable]]) -> str:
     run, status = run or run_id(), "failed"
@@ -170,12 +173,17 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
         difference = F.col("counted") - F.col("book")
         stock = built("stock_lines", read("stock_counts").withColumns({"difference": difference, "accurate": ~reconcile.beyond(difference.cast("double"), F.abs(F.col("book").cast("double")) * stock_tolerance)}))
         issues, receipts = read("issues"), read("receipts")
-        with released(spark):  # the scans of the allocation, which nothing reads once it is written
-            met = allocation.fifo_with_deadline(receipts.select("key", "supply_id", "at", "quantity"), issues.select("key", "demand_id", "at", "deadline", "quantity"), "key")
-            allocated = built("allocations", met.select("key", F.col("supply_id").alias("receipt_id"), F.col("demand_id").alias("line_id"), F.col("allocated").alias("kg")))
+        slices = min(SLICES, -(-(receipts.count() + issues.count()) // SLICE)) or 1
+
+        def met(of: Callable) -> DataFrame:
+            out = allocation.fifo_with_deadline(of(receipts, "key").select("key", "supply_id", "at", "quantity"), of(issues, "key").select("key", "demand_id", "at", "deadline", "quantity"), "key")
+            return out.select("key", F.col("supply_id").alias("receipt_id"), F.col("demand_id").alias("line_id"), F.col("allocated").alias("kg")).sortWithinPartitions("key", "line_id")
+
+        # Rows that stand in order take up less.
+        allocated = store.built_in_slices(spark, root, run, "allocations", slices, met)
         needs = issues.select(F.col("demand_id").alias("line_id"), "job", F.col("quantity").cast("double").alias("kg"), "unconfirmed", "finished", "despatched", "execution_class", "grade")
         papers = receipts.select(F.col("supply_id").alias("receipt_id"), "heat_number", "mill_cert_ref")
-        traced = built("traced_lines", traceability.traced(traceability.coverage(needs, allocated, papers)))
+        traced = store.built_in_slices(spark, root, run, "traced_lines", slices, lambda of: traceability.traced(traceability.coverage(of(needs, "line_id"), of(allocated, "line_id"), papers)).sortWithinPartitions("line_id"))
         shown = built("trace_receipts", traceability.receipts_shown(receipts))
         by_job = built("trace_jobs", traceability.jobs(traced, read("job_sales")))
         breaks = traced.groupBy("break_at").agg(F.count("*").alias("n_lines"), F.sum("kg").alias("kg"))

@@ -24,8 +24,11 @@ class _Published:
 
     def __init__(self, spark, **tables):
         self.spark, self.root = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+        self.add("core", **tables)
+
+    def add(self, stage, **tables):
         with scratch(self.root):
-            publish.publish(spark, self.root, "core", tables, stage="core")
+            publish.publish(self.spark, self.root, stage, tables, stage=stage)
 
     def run(self, stage, *arguments):
         with scratch(self.root):
@@ -74,8 +77,8 @@ SELECT 'orders.csv' AS _source_file, CAST(o_orderkey + 2 AS INT) AS _source_row,
 UNION ALL SELECT 'invoices.csv', CAST(l_orderkey * 10 + l_linenumber AS INT), concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_returnflag) FROM lineitem"""
 
 
-def _reconciled(spark, sf, **others):
-    """The tables that the reconciliation stage reads, and any ``others``, published."""
+def _reconciled(spark, sf):
+    """The tables that the reconciliation stage reads, published."""
     origin = lambda df, file, row: df.withColumns({"_source_file": F.lit(file), "_source_row": F.expr(row).cast("int")})
     lines = origin(reconciliation.three_way_lines(spark, sf).withColumnRenamed("o_orderkey", "order_id"), "orders.csv", "order_id + 2")
     invoices = origin(reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "invoices.csv", "l_orderkey * 10 + l_linenumber").drop("l_orderkey", "l_linenumber", "l_partkey")
@@ -86,15 +89,15 @@ def _reconciled(spark, sf, **others):
     key = F.col("l_partkey")
     paper = lambda every: F.when(F.col("supply_id") % every != 0, "on file")
     steel = F.when(key % 3 == 0, "S355J2").otherwise("S275JR")
-    receipts = supply.select(key.alias("key"), (key * 1000000000 + F.col("supply_id")).alias("supply_id"), "at", "quantity", steel.alias("grade"), paper(17).alias("heat_number"), paper(11).alias("mill_cert_ref"))
+    receipts = supply.select(key.alias("key"), (key * 1000000000 + F.col("supply_id")).alias("supply_id"), "at", "quantity", steel.alias("grade"), paper(17).alias("heat_number"), paper(11).alias("mill_cert_ref")).sortWithinPartitions("key", "supply_id")
     line = key * 1000000000 + F.col("demand_id")
     issues = demand.select(
         key.alias("key"), line.alias("demand_id"), (key % 50).alias("job"), "at", (F.col("at") + F.expr("INTERVAL 30 DAYS")).alias("deadline"), "quantity", (key % 5 == 0).alias("unconfirmed"), (line % 2 == 0).alias("finished"), (line % 3 != 0).alias("despatched"),
         F.when(key % 4 == 1, "EXC3").when(key % 4 != 0, "EXC2").alias("execution_class"), steel.alias("grade"),
-    )
+    ).sortWithinPartitions("key", "demand_id")
     sales = read(spark, sf, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("job"), F.col("c_mktsegment").alias("customer"), F.col("c_acctbal").cast("decimal(12,2)").alias("sales_value"))
     stock = reconciliation._stock(spark, sf).withColumnRenamed("l_partkey", "item")
-    return _Published(spark, **others, order_lines=lines, invoices=invoices, cost_lines=planned.unionByName(booked), stock_counts=stock, receipts=receipts, issues=issues, job_sales=sales)
+    return _Published(spark, order_lines=lines, invoices=invoices, cost_lines=planned.unionByName(booked), stock_counts=stock, receipts=receipts, issues=issues, job_sales=sales)
 
 
 _TRACE = """
@@ -153,6 +156,7 @@ SELECT r.* FROM received r JOIN named USING (_source_file, _source_row)""")
 def headline_raw_lines(spark, sf):
     """The lines as received behind the exceptions of over 90 days."""
     received = spark.sql(_RECEIVED.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=read(spark, sf, "orders"), lineitem=read(spark, sf, "lineitem"))
-    at = _reconciled(spark, sf, raw_lines=received)
+    at = _reconciled(spark, sf)
     at.run(stages.run_reconcile, reconciliation.AS_OF, ("N",))
+    at.add("raw", raw_lines=received)
     return at.taken(stages.lines_behind(spark, at.root, "three_way", "over_90_days"))

@@ -4,11 +4,12 @@ import datetime
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.similarity import pair_score
-from ledgerline.operators import components, marts, matching, quality, stages
+from ledgerline.operators import allocation, components, marts, matching, quality, stages
 from ledgerline.plans import bindings
 from ledgerline.sources import publish
 
@@ -194,3 +195,33 @@ def test_what_is_released_is_gone_and_what_outlives_it_stays(spark):
         assert held(spark) > before
     assert kept.agg(F.sum("count")).first()[0] == 1000
     assert held(spark) - before < 10_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_material_is_allocated_and_traced_in_slices(spark, monkeypatch):
+    """No allocation sees all receipts and issues, and every figure is as in SQL."""
+    sizes, whole = [], allocation.fifo_with_deadline
+
+    def counted(supply, demand, key):
+        sizes.append(supply.count() + demand.count())
+        return whole(supply, demand, key)
+
+    monkeypatch.setattr(allocation, "fifo_with_deadline", counted)
+    monkeypatch.setattr(stages, "SLICE", 3500, raising=False)
+    found = {(r.engine, r.key): r.value for r in bindings.QUERIES["stage_headlines"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(sizes) >= 2 and max(sizes) < 0.75 * sum(sizes)
+    sql = duckdb.connect()
+    for t in ("orders", "lineitem", "customer", "part", "supplier"):
+        sql.execute(f"CREATE VIEW {t} AS FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    assert found == {(e, k): pytest.approx(v, abs=1e-6) for e, k, v in sql.execute(bindings.ORACLES["stage_headlines"]).fetchall()}
+
+
+def test_lines_as_received_are_published_when_the_stage_is_done(spark, monkeypatch):
+    names, publication = [], publish.publish
+
+    def listed(spark, root, run, tables, *others, **named):
+        names.append(list(tables))
+        return publication(spark, root, run, tables, *others, **named)
+
+    monkeypatch.setattr(publish, "publish", listed)
+    bindings.QUERIES["headline_raw_lines"](spark, "/root/testdata/sf0.001").count()
+    assert names[-1] == ["raw_lines"] and "raw_lines" not in names[0]
