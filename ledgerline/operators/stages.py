@@ -7,6 +7,7 @@ history under ``stages``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_name
 from ..sources import publish as store
 from . import allocation, marts, matching, materials, parties, quality, reconcile, traceability
-from .components import checkpointed, connected_components, stored
+from .components import checkpointed, connected_components, in_slices, shared_folder, stored
 from .runs import run_id
 
-#: Rows of receipts and issues that are allocated at a time, and the most slices that they are dealt into.
+#: Rows of receipts and issues that are allocated at a time, or of lines as received that are looked up, and the most slices that they are dealt into.
 SLICE, SLICES = 500_000, 8
 
 
@@ -45,6 +46,10 @@ def _must(test: bool, text: str) -> None:
         raise AssertionError(text)
 
 
+def _slices(rows: int) -> int:
+    return min(SLICES, -(-rows // SLICE)) or 1
+
+
 def _once(df: DataFrame, keys: list[str], name: str) -> None:
     again = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").first()
     _must(again is None, f"{name}: {again} stands more than once")
@@ -154,7 +159,7 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
     invoiced_on), ``cost_lines`` (job, side planned or actual, component material or labour, amount), ``stock_counts`` (item,
     site, book, counted), ``receipts`` (key, supply_id, at, quantity, grade, heat_number, mill_cert_ref), ``issues``
     (key, demand_id, job, at, deadline, quantity, unconfirmed, finished, despatched, execution_class, grade) and ``job_sales``
-    (job, customer, sales_value).
+    (job, customer, sales_value). The ids of receipts and of issues are unique over all keys.
 
     Publishes three_way_lines, three_way_summary, three_way_ageing, job_cost, stock_lines, allocations, traced_lines,
     trace_jobs, trace_breaks, trace_receipts, headline and exposure. Every headline is computed again from its table as written; one that isn't found
@@ -173,7 +178,7 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
         difference = F.col("counted") - F.col("book")
         stock = built("stock_lines", read("stock_counts").withColumns({"difference": difference, "accurate": ~reconcile.beyond(difference.cast("double"), F.abs(F.col("book").cast("double")) * stock_tolerance)}))
         issues, receipts = read("issues"), read("receipts")
-        slices = min(SLICES, -(-(receipts.count() + issues.count()) // SLICE)) or 1
+        slices = _slices(receipts.count() + issues.count())
 
         def met(of: Callable) -> DataFrame:
             out = allocation.fifo_with_deadline(of(receipts, "key").select("key", "supply_id", "at", "quantity"), of(issues, "key").select("key", "demand_id", "at", "deadline", "quantity"), "key")
@@ -181,9 +186,9 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
 
         # Rows that stand in order take up less.
         allocated = store.built_in_slices(spark, root, run, "allocations", slices, met)
-        needs = issues.select(F.col("demand_id").alias("line_id"), "job", F.col("quantity").cast("double").alias("kg"), "unconfirmed", "finished", "despatched", "execution_class", "grade")
-        papers = receipts.select(F.col("supply_id").alias("receipt_id"), "heat_number", "mill_cert_ref")
-        traced = store.built_in_slices(spark, root, run, "traced_lines", slices, lambda of: traceability.traced(traceability.coverage(of(needs, "line_id"), of(allocated, "line_id"), papers)).sortWithinPartitions("line_id"))
+        needs = issues.select("key", F.col("demand_id").alias("line_id"), "job", F.col("quantity").cast("double").alias("kg"), "unconfirmed", "finished", "despatched", "execution_class", "grade")
+        papers = receipts.select("key", F.col("supply_id").alias("receipt_id"), "heat_number", "mill_cert_ref")
+        traced = store.built_in_slices(spark, root, run, "traced_lines", slices, lambda of: traceability.traced(traceability.coverage(*(of(df, "key").drop("key") for df in (needs, allocated, papers)))).sortWithinPartitions("line_id"))
         shown = built("trace_receipts", traceability.receipts_shown(receipts))
         by_job = built("trace_jobs", traceability.jobs(traced, read("job_sales")))
         breaks = traced.groupBy("break_at").agg(F.count("*").alias("n_lines"), F.sum("kg").alias("kg"))
@@ -212,13 +217,18 @@ def run_reconcile(spark: SparkSession, root: str, as_of: str, exempt: tuple[str,
 
 
 def lines_behind(spark: SparkSession, root: str, engine: str, key: str, received: str = "raw_lines") -> DataFrame:
-    """From a published figure to the lines as received: the rows that its own query gives, by the files and lines they carry, in the published table ``received``."""
+    """From a published figure to the lines as received: the rows that its own query gives, by the files and lines they carry, in the published table ``received``.
+
+    They are looked up by slices of files and lines, and stored outside ``root``.
+    """
     read = _reader(spark, root)
     head = read("headline").filter((F.col("engine") == engine) & (F.col("key") == key)).first()
     if head is None:
         raise KeyError(f"no figure {engine}.{key} is published")
     read(head["table"]).createOrReplaceTempView(head["table"])
-    return reconcile.raw_behind(spark.sql(head["rows_sql"]), read(received))
+    rows, lines = spark.sql(head["rows_sql"]), read(received)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    return in_slices(spark, path, _slices(lines.count()), lambda of: reconcile.raw_behind(*(of(df, *reconcile.ORIGIN) for df in (rows, lines))))
 
 
 def build_marts(spark: SparkSession, root: str, views: dict[str, str], kpis: list[marts.Kpi], helpers: dict[str, str] | None = None, run: str | None = None) -> str:

@@ -35,7 +35,9 @@ class _Published:
             return stage(self.spark, self.root, *arguments)
 
     def taken(self, df):
-        out = stored(df)
+        return self.gone(stored(df))
+
+    def gone(self, out):
         publish.delete(self.spark, self.root)
         return out
 
@@ -80,8 +82,8 @@ UNION ALL SELECT 'invoices.csv', CAST(l_orderkey * 10 + l_linenumber AS INT), co
 def _reconciled(spark, sf):
     """The tables that the reconciliation stage reads, published."""
     origin = lambda df, file, row: df.withColumns({"_source_file": F.lit(file), "_source_row": F.expr(row).cast("int")})
-    lines = origin(reconciliation.three_way_lines(spark, sf).withColumnRenamed("o_orderkey", "order_id"), "orders.csv", "order_id + 2")
-    invoices = origin(reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "invoices.csv", "l_orderkey * 10 + l_linenumber").drop("l_orderkey", "l_linenumber", "l_partkey")
+    lines = origin(reconciliation.three_way_lines(spark, sf).withColumnRenamed("o_orderkey", "order_id").drop("o_orderpriority"), "orders.csv", "order_id + 2")
+    invoices = origin(reconciliation._invoices(spark, sf).withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")), "invoices.csv", "l_orderkey * 10 + l_linenumber").drop("l_orderkey", "l_linenumber", "l_partkey").sortWithinPartitions("_source_row")
     part = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("job"), F.when(F.col("p_size") % 2 == 0, "material").otherwise("labour").alias("component"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
     planned = part.select("job", F.lit("planned").alias("side"), "component", (F.col("price") * 10).cast("decimal(18,2)").alias("amount"))
     booked = read(spark, sf, "lineitem").filter("l_linestatus = 'F'").join(part, "l_partkey").select("job", F.lit("actual").alias("side"), "component", F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
@@ -158,5 +160,6 @@ def headline_raw_lines(spark, sf):
     received = spark.sql(_RECEIVED.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=read(spark, sf, "orders"), lineitem=read(spark, sf, "lineitem"))
     at = _reconciled(spark, sf)
     at.run(stages.run_reconcile, reconciliation.AS_OF, ("N",))
-    at.add("raw", raw_lines=received)
-    return at.taken(stages.lines_behind(spark, at.root, "three_way", "over_90_days"))
+    publish.retain(spark, at.root, "three_way_lines", "headline")
+    at.add("raw", raw_lines=received.sortWithinPartitions("_source_file", "_source_row"))
+    return at.gone(stages.lines_behind(spark, at.root, "three_way", "over_90_days"))

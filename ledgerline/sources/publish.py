@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import released, remove, written
+from ..operators.components import in_slices, remove, written
 
 MANIFESTS = "manifests"
 
@@ -73,17 +73,9 @@ def built(spark: SparkSession, root: str, run_id: str, name: str, df: DataFrame)
     return written(df, f"{root}/run={run_id}/{name}")
 
 
-def built_in_slices(spark: SparkSession, root: str, run_id: str, name: str, slices: int, rows: Callable[[Callable[[DataFrame, str], DataFrame]], DataFrame]) -> DataFrame:
-    """As built(), a slice at a time, so that only one slice's shuffles and scans stand on disk.
-
-    ``rows`` makes the table of a slice, given a function that takes a table and a column to the rows of the slice by that
-    column. Rows with equal values fall into one slice, nulls too; what ``rows`` makes of one mustn't depend on the others.
-    """
-    for i in range(slices):
-        of = lambda df, column, i=i: df.filter(F.pmod(F.xxhash64(column), F.lit(slices)) == i) if slices > 1 else df
-        with released(spark):
-            out = written(rows(of), f"{root}/run={run_id}/{name}", "append" if i else "overwrite")
-    return out
+def built_in_slices(spark: SparkSession, root: str, run_id: str, name: str, slices: int, rows: Callable[[Callable[..., DataFrame]], DataFrame]) -> DataFrame:
+    """As built(), by in_slices()."""
+    return in_slices(spark, f"{root}/run={run_id}/{name}", slices, rows)
 
 
 def publish(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame | None], verify: Callable[[dict[str, DataFrame]], None] = lambda _: None, stage: str | None = None) -> None:
@@ -133,6 +125,16 @@ def clear(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     return sorted(gone)
 
 
+def retain(spark: SparkSession, root: str, *names: str) -> None:
+    """Publishes no tables but ``names``, as they stand, and deletes the others and all earlier manifests."""
+    before = manifest(spark, root)
+    _swap(spark, root, before, before["run"], {name: before["tables"][name] for name in names})
+    clear(spark, root, keep=1)
+    for name, t in before["tables"].items():
+        if name not in names:
+            remove(spark, f"{root}/run={t['run']}/{name}")
+
+
 class Reader:
     """Queries over published tables, which keeps the results of the last ``size`` while the version they read is published.
 

@@ -1,15 +1,17 @@
 """The stages: what each replaces, what a failure leaves, and what readers see."""
 
 import datetime
+import glob
 import os
 import random
 
 import duckdb
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.similarity import pair_score
-from ledgerline.operators import allocation, components, marts, matching, quality, stages
+from ledgerline.operators import allocation, components, marts, matching, quality, reconcile, stages, traceability
 from ledgerline.plans import bindings
 from ledgerline.sources import publish
 
@@ -225,3 +227,65 @@ def test_lines_as_received_are_published_when_the_stage_is_done(spark, monkeypat
     monkeypatch.setattr(publish, "publish", listed)
     bindings.QUERIES["headline_raw_lines"](spark, "/root/testdata/sf0.001").count()
     assert names[-1] == ["raw_lines"] and "raw_lines" not in names[0]
+
+
+def test_tables_that_are_retained_are_all_that_is_left(spark, root):
+    publish.publish(spark, root, "r1", {"a": spark.range(1), "b": spark.range(2)}, stage="one")
+    publish.publish(spark, root, "r2", {"c": spark.range(3)}, stage="two")
+    with pytest.raises(KeyError):
+        publish.retain(spark, root, "b", "d")
+    assert set(publish.manifest(spark, root)["tables"]) == {"a", "b", "c"}
+    publish.retain(spark, root, "b")
+    assert publish.manifest(spark, root)["tables"] == {"b": {"run": "r1", "stage": "one"}} and publish.versions(spark, root) == [3]
+    assert publish.read_published(spark, root, "b").count() == 2 and glob.glob(f"{root.removeprefix('file://')}/run=*/*") == [f"{root.removeprefix('file://')}/run=r1/b"]
+
+
+def test_what_the_lookup_of_lines_does_not_read_goes_before_they_are_published(spark, monkeypatch):
+    """And lines are published in order, in which they take up less."""
+    left, rising, publication = [], [], publish.publish
+
+    def seen(spark, root, run, tables, *others, **named):
+        at = root.removeprefix("file://")
+        if "raw_lines" in tables:
+            left.extend(sorted(os.path.basename(d) for d in glob.glob(f"{at}/run=*/*")))
+        publication(spark, root, run, tables, *others, **named)
+        for name in {"raw_lines", "invoices"} & set(tables):
+            for f in glob.glob(f"{at}/run={run}/{name}/*.parquet"):
+                rows = pyarrow.parquet.ParquetFile(f).read(["_source_file", "_source_row"]).to_pylist()
+                rising.append([tuple(r.values()) for r in rows] == sorted(tuple(r.values()) for r in rows))
+
+    monkeypatch.setattr(publish, "publish", seen)
+    bindings.QUERIES["headline_raw_lines"](spark, "/root/testdata/sf0.001").count()
+    assert left == ["headline", "three_way_lines"] and len(rising) >= 2 and all(rising)
+
+
+def test_lines_are_looked_up_in_slices(spark, monkeypatch):
+    """No lookup sees all lines, and those found are as in SQL."""
+    sizes, whole = [], reconcile.raw_behind
+
+    def counted(rows, received):
+        sizes.append(received.count())
+        return whole(rows, received)
+
+    monkeypatch.setattr(reconcile, "raw_behind", counted)
+    monkeypatch.setattr(stages, "SLICE", 2000)
+    found = sorted(tuple(r) for r in bindings.QUERIES["headline_raw_lines"](spark, "/root/testdata/sf0.001").collect())
+    assert len(sizes) >= 3 and max(sizes) < 0.5 * sum(sizes)
+    sql = duckdb.connect()
+    for t in ("orders", "lineitem", "customer", "part", "supplier"):
+        sql.execute(f"CREATE VIEW {t} AS FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    assert found == sorted(sql.execute(bindings.ORACLES["headline_raw_lines"]).fetchall())
+
+
+def test_a_slice_of_lines_is_traced_with_its_own_receipts(spark, monkeypatch):
+    sizes, whole = [], traceability.coverage
+
+    def counted(lines, allocations, receipts):
+        sizes.append(receipts.count())
+        return whole(lines, allocations, receipts)
+
+    monkeypatch.setattr(traceability, "coverage", counted)
+    monkeypatch.setattr(stages, "SLICE", 2000)
+    bindings.QUERIES["stage_headlines"](spark, "/root/testdata/sf0.001").count()
+    every = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_linestatus = 'F'").select("l_orderkey", "l_linenumber", "l_partkey").distinct().count()
+    assert len(sizes) >= 2 and sum(sizes) == every and max(sizes) < 0.75 * every
